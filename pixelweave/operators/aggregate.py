@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators.blocks import exact_quantiles
 from pixelweave.operators.masks import roi_trace
-from pixelweave.schemas import frame_keys, movie_keys, pixel_keys
+from pixelweave.schemas import frame_keys, movie_keys, pixel_keys, val
 from pixelweave.session import attach, cut_lineage
 
-V = F.col("value")
 
 
 def ratio_baseline(df: DataFrame, first_frame: int, n_frames: int, kind: str = "average", black_level: float = 0.0) -> DataFrame:
@@ -25,10 +24,10 @@ def ratio_baseline(df: DataFrame, first_frame: int, n_frames: int, kind: str = "
     stat = {"average": F.avg, "standard deviation": F.stddev_pop}[kind]
     keys, movie = pixel_keys(df), movie_keys(df)
     base = df.where(F.col("frame").between(first_frame, first_frame + n_frames - 1)).groupBy(*keys).agg(
-        stat(V - black_level).alias("_b"))
+        stat(val() - black_level).alias("_b"))
     least = base.groupBy(*movie).agg(F.min(F.when(F.col("_b") != 0, F.abs("_b"))).alias("_least"))
     base = attach(base, least, movie).withColumn("_b", F.when(F.col("_b") == 0, F.col("_least")).otherwise(F.col("_b"))).drop("_least")
-    return attach(df, base, keys).withColumn("value", (V - black_level) / F.col("_b")).drop("_b")
+    return attach(df, base, keys).withColumn("value", (val() - black_level) / F.col("_b")).drop("_b")
 
 
 def dff_image(df: DataFrame, start: int = 0, stop: int | None = None, method: str = "mean") -> DataFrame:
@@ -42,7 +41,7 @@ def dff_image(df: DataFrame, start: int = 0, stop: int | None = None, method: st
     agg = F.percentile("value", F.lit(0.5)) if method == "median" else F.avg("value")
     f0 = rows.groupBy(*keys).agg(agg.alias("_f0"))
     f0 = f0.withColumn("_f0", F.when(F.abs("_f0") > 1e-12, F.col("_f0")).otherwise(1e-12))
-    return attach(df, f0, keys).withColumn("value", (V - F.col("_f0")) / F.col("_f0")).drop("_f0")
+    return attach(df, f0, keys).withColumn("value", (val() - F.col("_f0")) / F.col("_f0")).drop("_f0")
 
 
 def background_stat(df: DataFrame, method: str = "Mean", per_frame: bool = True) -> DataFrame:
@@ -88,7 +87,7 @@ def background_roi(df: DataFrame, mask: DataFrame) -> DataFrame:
     """Subtract the mean of the ROI traces frame by frame."""
     keys = frame_keys(df)
     trace = roi_trace(df, mask).groupBy(*keys).agg(F.avg("value").alias("_bg"))
-    return attach(df, trace, keys).withColumn("value", V - F.col("_bg")).drop("_bg")
+    return attach(df, trace, keys).withColumn("value", val() - F.col("_bg")).drop("_bg")
 
 
 def background_subtract(df: DataFrame, method: str = "stat", stat: str = "Mean", per_frame: bool = True,
@@ -106,7 +105,7 @@ def background_subtract(df: DataFrame, method: str = "stat", stat: str = "Mean",
     else:
         bg = background_stat(df, stat, per_frame)
         keys = frame_keys(df) if per_frame else movie_keys(df)
-    return attach(df, bg, keys).withColumn("value", V - F.col("background")).drop("background")
+    return attach(df, bg, keys).withColumn("value", val() - F.col("background")).drop("background")
 
 
 def bleach_ratio(df: DataFrame) -> DataFrame:
@@ -115,7 +114,7 @@ def bleach_ratio(df: DataFrame) -> DataFrame:
     frames = cut_lineage(df.groupBy(*keys).agg(F.avg("value").alias("_fm"), F.sum("value").alias("_s"), F.count("value").alias("_c")))
     whole = frames.groupBy(*movie).agg((F.sum("_s") / F.sum("_c")).alias("_gm"))
     scale = attach(frames, whole, movie).select(*keys, F.when(F.col("_fm") > 1e-10, F.col("_gm") / F.col("_fm")).otherwise(1.0).alias("_k"))
-    return attach(df, scale, keys).withColumn("value", V * F.col("_k")).drop("_k")
+    return attach(df, scale, keys).withColumn("value", val() * F.col("_k")).drop("_k")
 
 
 def bleach_histogram(df: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def histogram_equalize(df: DataFrame, nbins: int = 256) -> DataFrame:
                    (F.col("_hi") + F.when(F.col("_flat"), 0.5).otherwise(0.0)).alias("_hi")))
     rows = attach(df, ext, keys)
     width = (F.col("_hi") - F.col("_lo")) / nbins
-    bin_ = F.least(F.floor((V - F.col("_lo")) / width), F.lit(nbins - 1))
+    bin_ = F.least(F.floor((val() - F.col("_lo")) / width), F.lit(nbins - 1))
     counts = rows.groupBy(*keys, bin_.cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_bin")
     cum = counts.withColumn("_cdf", F.sum("_c").over(w) / F.sum("_c").over(Window.partitionBy(*keys)))
@@ -166,7 +165,7 @@ def histogram_equalize(df: DataFrame, nbins: int = 256) -> DataFrame:
         F.filter("_held", lambda e: e["_bin"] <= b), -1)["_cdf"])
     table = table.select(*keys, dense.alias("_table"))
     # position in bin-centre units, then the share at the two neighbouring centres
-    pos = F.least(F.greatest((V - F.col("_lo")) / width - 0.5, F.lit(0.0)), F.lit(float(nbins - 1)))
+    pos = F.least(F.greatest((val() - F.col("_lo")) / width - 0.5, F.lit(0.0)), F.lit(float(nbins - 1)))
     k = F.floor(pos).cast("int")
 
     out = attach(rows, table, keys).withColumn("_k", k).withColumn("_f", pos - k)
@@ -202,7 +201,12 @@ def roi_histogram(df: DataFrame, mask: DataFrame, frame: int, bins: int) -> Data
 
 # -- pixel pairs ------------------------------------------------------------
 
-X, Y = F.col("v1"), F.col("v2")
+def _x() -> Column:
+    return F.col("v1")
+
+
+def _y() -> Column:
+    return F.col("v2")
 
 
 def pearson(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -213,12 +217,12 @@ def manders(pairs: DataFrame, keys: list[str], t1: float = 0.0, t2: float = 0.0)
     def share(v, cond):
         return F.when(F.sum(v) != 0, F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0)) / F.sum(v)).otherwise(0.0)
 
-    return pairs.groupBy(*keys).agg(share(X, Y > t2).alias("m1"), share(Y, X > t1).alias("m2"))
+    return pairs.groupBy(*keys).agg(share(_x(), _y() > t2).alias("m1"), share(_y(), _x() > t1).alias("m2"))
 
 
 def li_icq(pairs: DataFrame, keys: list[str]) -> DataFrame:
     means = pairs.groupBy(*keys).agg(F.avg("v1").alias("_m1"), F.avg("v2").alias("_m2"))
-    product = (X - F.col("_m1")) * (Y - F.col("_m2"))
+    product = (_x() - F.col("_m1")) * (_y() - F.col("_m2"))
     return attach(pairs, means, keys).groupBy(*keys).agg((F.avg((product > 0).cast("double")) - 0.5).alias("icq"))
 
 
@@ -235,7 +239,7 @@ def costes_threshold(pairs: DataFrame, keys: list[str], iterations: int = 64) ->
         live = state.where("not done").withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
         if live.isEmpty():
             break
-        above = attach(pairs, live.select(*keys, "mid"), keys, "inner").where(X > F.col("mid")).groupBy(*keys).agg(
+        above = attach(pairs, live.select(*keys, "mid"), keys, "inner").where(_x() > F.col("mid")).groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.corr("v1", "v2").alias("_r"))
         step = live.join(above, keys, "left")
         r = F.when((F.col("_n") >= 2) & ~F.isnan("_r"), F.col("_r"))
@@ -247,10 +251,10 @@ def costes_threshold(pairs: DataFrame, keys: list[str], iterations: int = 64) ->
                             F.when(better, r).otherwise(F.col("best_r")).alias("best_r"),
                             (r.isNotNull() & ((hi - lo) < 1e-6 * (F.col("span") + 1e-12))).alias("done"))
         state = cut_lineage(state.where("done").unionByName(moved))
-    above, below = X > F.col("best"), X <= F.col("best")
+    above, below = _x() > F.col("best"), _x() <= F.col("best")
 
     def corr(cond):
-        return F.when(F.count(F.when(cond, 1)) >= 2, F.corr(F.when(cond, X), F.when(cond, Y)))
+        return F.when(F.count(F.when(cond, 1)) >= 2, F.corr(F.when(cond, _x()), F.when(cond, _y())))
 
     return attach(pairs, state, keys).groupBy(*keys).agg(
         F.first("best").alias("threshold1"), (F.first("slope") * F.first("best") + F.first("intercept")).alias("threshold2"),
@@ -266,13 +270,13 @@ def fret_stats(df: DataFrame, keys: list[str], column: str = "e") -> DataFrame:
 
 def frap_normalize(traces: DataFrame, pre_frames: int, bleach_frame: int) -> DataFrame:
     """(I - min post) / (mean pre - min post); zeros when the two coincide."""
-    pre = F.when(F.col("t").between(max(0, bleach_frame - pre_frames), bleach_frame - 1), V)
+    pre = F.when(F.col("t").between(max(0, bleach_frame - pre_frames), bleach_frame - 1), val())
     stats = traces.groupBy("trace_id").agg(
         F.coalesce(F.avg(pre), F.min_by("value", "t")).alias("_pre"),
-        F.coalesce(F.min(F.when(F.col("t") >= bleach_frame, V)), F.lit(0.0)).alias("_post"))
+        F.coalesce(F.min(F.when(F.col("t") >= bleach_frame, val())), F.lit(0.0)).alias("_post"))
     d = F.col("_pre") - F.col("_post")
     return attach(traces, stats, ["trace_id"]).withColumn(
-        "normalized", F.when(F.abs(d) < 1e-12, 0.0).otherwise((V - F.col("_post")) / d)).drop("_pre", "_post")
+        "normalized", F.when(F.abs(d) < 1e-12, 0.0).otherwise((val() - F.col("_post")) / d)).drop("_pre", "_post")
 
 
 # -- regions and texture ----------------------------------------------------
@@ -332,7 +336,7 @@ def texture_glcm(df: DataFrame, n_bins: int = 32) -> DataFrame:
     keys = frame_keys(df)
     ext = df.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     rows = attach(df, ext, keys).where(F.col("_hi") - F.col("_lo") >= 1e-12)
-    q = F.least(F.floor((V - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (n_bins - 1)), F.lit(n_bins - 1)).cast("int")
+    q = F.least(F.floor((val() - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (n_bins - 1)), F.lit(n_bins - 1)).cast("int")
     w = Window.partitionBy(*keys, "y").orderBy("x")
     pairs = rows.withColumn("_i", q).withColumn("_j", F.lead("_i").over(w)).where("_j is not null")
     glcm = pairs.groupBy(*keys, "_i", "_j").agg(F.count(F.lit(1)).alias("_c"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pixelweave.schemas import frame_keys, pixel_keys
 from pixelweave.session import attach
 
-A, B = F.col("v1"), F.col("v2")
-
 _OPERATIONS = {
     "Add": lambda a, b: a + b,
     "Subtract": lambda a, b: a - b,
@@ -18,8 +16,8 @@ _OPERATIONS = {
     "AND": lambda a, b: ((a != 0) & (b != 0)).cast("int"),
     "OR": lambda a, b: ((a != 0) | (b != 0)).cast("int"),
     "XOR": lambda a, b: ((a != 0) != (b != 0)).cast("int"),
-    "Min": F.least,
-    "Max": F.greatest,
+    "Min": lambda a, b: F.least(a, b),
+    "Max": lambda a, b: F.greatest(a, b),
     "Average": lambda a, b: (a + b) / 2,
 }
 
@@ -38,12 +36,12 @@ def pair(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def image_calculator(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
-    return pair(a, b).withColumn("value", _OPERATIONS[operation](A, B)).drop("v1", "v2")
+    return pair(a, b).withColumn("value", _OPERATIONS[operation](F.col("v1"), F.col("v2"))).drop("v1", "v2")
 
 
 def calculate_pair(wide: DataFrame, operation: str) -> DataFrame:
     """The same on a table that already holds v1 and v2."""
-    return wide.withColumn("value", _OPERATIONS[operation](A, B)).drop("v1", "v2")
+    return wide.withColumn("value", _OPERATIONS[operation](F.col("v1"), F.col("v2"))).drop("v1", "v2")
 
 
 def logically_combine(a: DataFrame, b: DataFrame, operator: str) -> DataFrame:

@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.schemas import frame_keys, movie_keys
+from pixelweave.schemas import frame_keys, movie_keys, val
 from pixelweave.session import attach
 
-V = F.col("value")
 
 
 def in_rectangle(x0: float, y0: float, x1: float, y1: float) -> Column:
@@ -101,7 +100,7 @@ def point_trace(df: DataFrame, x: int, y: int) -> DataFrame:
 def center_surround_trace(df: DataFrame, mask: DataFrame) -> DataFrame:
     zones = attach(df, mask.select("zone", "y", "x"), ["y", "x"], "inner")
     return zones.groupBy(*frame_keys(df)).agg(
-        (F.avg(F.when(F.col("zone") == "center", V)) - F.avg(F.when(F.col("zone") == "surround", V))).alias("value"))
+        (F.avg(F.when(F.col("zone") == "center", val())) - F.avg(F.when(F.col("zone") == "surround", val()))).alias("value"))
 
 
 def sample_points(spark: SparkSession, points: list[tuple[float, float]], width: int = 1) -> DataFrame:
@@ -131,7 +130,7 @@ def sample_values(df: DataFrame, samples: DataFrame) -> DataFrame:
         ((F.lit(1.0) - F.abs(F.col("sy") - (F.floor("sy") + dy))) * (F.lit(1.0) - F.abs(F.col("sx") - (F.floor("sx") + dx)))).alias("wt"))
         for dy in (0, 1) for dx in (0, 1)]))).where("wt > 0")
     hit = attach(df, corners, ["y", "x"], "inner")
-    return hit.groupBy(*frame_keys(df), "pos", "off").agg(F.sum(V * F.col("wt")).alias("value"))
+    return hit.groupBy(*frame_keys(df), "pos", "off").agg(F.sum(val() * F.col("wt")).alias("value"))
 
 
 def band_trace(df: DataFrame, points: list[tuple[float, float]], width: int = 3) -> DataFrame:

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import columns as fn
 from pixelweave.operators.blocks import exact_quantiles
-from pixelweave.schemas import frame_keys, movie_keys
+from pixelweave.schemas import frame_keys, movie_keys, val
 from pixelweave.session import attach
 
-V = F.col("value")
 
 
 def map_value(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
@@ -64,7 +63,7 @@ def change_datatype(df: DataFrame, datatype: str) -> DataFrame:
         return map_value(df, lambda v: v.cast("long"))
     size = 1 << _WRAP[datatype]
     target = {"uint8": "short", "uint16": "int", "uint32": "long", "int8": "byte", "int16": "short", "int32": "int"}[datatype]
-    whole = F.pmod(V.cast("long"), F.lit(size))
+    whole = F.pmod(val().cast("long"), F.lit(size))
     if not datatype.startswith("u"):
         whole = F.when(whole >= size // 2, whole - size).otherwise(whole)
     return df.withColumn("value", whole.cast(target))
@@ -74,7 +73,7 @@ def convert_uint8(df: DataFrame) -> DataFrame:
     """(v - min) * 255 / (max - min) of each movie, truncated."""
     keys = movie_keys(df)
     ext = df.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    scaled = F.floor((V - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo"))).cast("short")
+    scaled = F.floor((val() - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo"))).cast("short")
     return attach(df, ext, keys).withColumn("value", F.when(F.col("_hi") > F.col("_lo"), scaled).otherwise(F.lit(0).cast("short"))).drop("_lo", "_hi")
 
 
@@ -86,7 +85,7 @@ def set_value(df: DataFrame, value: float, first: int, last: int, mask: DataFram
         df = attach(df, mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"])
         inside = F.coalesce(F.col("_in"), F.lit(False))
         hit = hit & (~inside if outside else inside)
-    return df.withColumn("value", F.when(hit, F.lit(float(value))).otherwise(V)).drop("_in")
+    return df.withColumn("value", F.when(hit, F.lit(float(value))).otherwise(val())).drop("_in")
 
 
 def threshold(df: DataFrame, value: float, dark_background: bool = False) -> DataFrame:
@@ -140,7 +139,7 @@ def channels_wide(df: DataFrame, names: dict[int, str]) -> DataFrame:
     """Channel rows to columns: one scan and one shuffle instead of a self-join."""
     keys = [k for k in ("movie_id", "z", "frame", "y", "x") if k in df.columns]
     carry = [F.first(k).alias(k) for k in ("h", "w") if k in df.columns]
-    wide = df.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == i, V)).alias(n) for i, n in names.items()], *carry)
+    wide = df.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == i, val())).alias(n) for i, n in names.items()], *carry)
     return wide.where(" and ".join(f"{n} is not null" for n in names.values()))
 
 
@@ -197,20 +196,20 @@ def concatenate_stacks(a: DataFrame, b: DataFrame) -> DataFrame:
 def normalize(df: DataFrame, method: str = "Min-Max (0-1)") -> DataFrame:
     """Min-Max, Z-Score or Percentile scaling of each movie; zero range gives zeros."""
     keys = movie_keys(df)
-    clean = F.when(~F.isnan("value"), V)
+    clean = F.when(~F.isnan("value"), val())
     if method == "Percentile (1-99%)":
         stats = exact_quantiles(df, keys, "value", {"_a": 0.01, "_b": 0.99})
         out = attach(df, stats, keys)
-        scaled = (V - F.col("_a")) / (F.col("_b") - F.col("_a"))
+        scaled = (val() - F.col("_a")) / (F.col("_b") - F.col("_a"))
         return out.withColumn("value", F.when(F.col("_b") > F.col("_a"), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
                               .otherwise(0.0)).drop("_a", "_b")
     if method == "Z-Score":
         stats = df.groupBy(*keys).agg(F.avg(clean).alias("_a"), F.stddev_pop(clean).alias("_b"))
         return attach(df, stats, keys).withColumn(
-            "value", F.when(F.col("_b") > 0, (V - F.col("_a")) / F.col("_b")).otherwise(0.0)).drop("_a", "_b")
+            "value", F.when(F.col("_b") > 0, (val() - F.col("_a")) / F.col("_b")).otherwise(0.0)).drop("_a", "_b")
     stats = df.groupBy(*keys).agg(F.min(clean).alias("_a"), F.max(clean).alias("_b"))
     return attach(df, stats, keys).withColumn(
-        "value", F.when(F.col("_b") > F.col("_a"), (V - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)).drop("_a", "_b")
+        "value", F.when(F.col("_b") > F.col("_a"), (val() - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)).drop("_a", "_b")
 
 
 def frame_time(df: DataFrame, dt: float) -> DataFrame:
@@ -270,7 +269,7 @@ def resize(df: DataFrame, factor: int) -> DataFrame:
             .withColumn("_x", F.explode(targets("x", "w"))).where("_x.wt > 0"))
     return rows.groupBy(*keys, F.col("_y.t").cast("int").alias("y"), F.col("_x.t").cast("int").alias("x"),
                         (F.col("h") * factor).alias("h"), (F.col("w") * factor).alias("w")).agg(
-        F.sum(V * F.col("_y.wt") * F.col("_x.wt")).alias("value"))
+        F.sum(val() * F.col("_y.wt") * F.col("_x.wt")).alias("value"))
 
 
 def shear_transform(df: DataFrame, theta: float, shift_factor: float) -> DataFrame:

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelweave.operators.blocks import block_window, core, exact_quantiles, halo, pad_axis, prefix_sum
-from pixelweave.schemas import frame_keys, movie_keys, pixel_keys
+from pixelweave.schemas import frame_keys, movie_keys, pixel_keys, val
 from pixelweave.session import attach
 
-V = F.col("value")
 
 
 def _time_windows(df: DataFrame, before: int, after: int, mode: str, block: int = 1024):
@@ -43,13 +42,13 @@ def _filter(df: DataFrame, before: int, after: int, mode: str, make) -> DataFram
 
 
 def difference_filter(df: DataFrame) -> DataFrame:
-    return _filter(df, 1, 0, "none", lambda w: F.coalesce(V - F.lag("value").over(w), F.lit(0.0)))
+    return _filter(df, 1, 0, "none", lambda w: F.coalesce(val() - F.lag("value").over(w), F.lit(0.0)))
 
 
 def boxcar_differential(df: DataFrame, min_n: int, max_n: int) -> DataFrame:
     """v[t] - min(v[t - max_n : t - min_n]) from frame max_n on, else 0."""
     return _filter(df, max_n, 0, "none", lambda w: F.when(
-        F.col("frame") >= max_n, V - F.min("value").over(w.rowsBetween(-max_n, -(min_n + 1)))).otherwise(0.0))
+        F.col("frame") >= max_n, val() - F.min("value").over(w.rowsBetween(-max_n, -(min_n + 1)))).otherwise(0.0))
 
 
 def mean_filter(df: DataFrame, n: int) -> DataFrame:
@@ -65,7 +64,7 @@ def variance_filter(df: DataFrame, n: int) -> DataFrame:
     def make(w):
         frame = w.rowsBetween(-before, after)
         mean = F.avg("value").over(frame)
-        return F.greatest(F.avg(V * V).over(frame) - mean * mean, F.lit(0.0))
+        return F.greatest(F.avg(val() * val()).over(frame) - mean * mean, F.lit(0.0))
 
     return _filter(df, before, after, "nearest", make)
 
@@ -91,7 +90,7 @@ def flash_detect(df: DataFrame, window_size: int = 50) -> DataFrame:
     back, ahead = window_size // 2, (window_size - 1) // 2
     rows = halo(means, "frame", back, ahead, 4096)
     w = block_window(keys, "frame").rowsBetween(-back, ahead)
-    dev = core(rows.withColumn("_dev", V - F.sum("value").over(w) / window_size))
+    dev = core(rows.withColumn("_dev", val() - F.sum("value").over(w) / window_size))
     stats = dev.groupBy(*keys).agg((F.stddev_pop("_dev") * 3).alias("_limit"), F.count(F.lit(1)).alias("_n"))
     hit = (F.abs(F.col("_dev")) > F.col("_limit")) & (F.col("_n") >= window_size)
     return attach(dev, stats, keys).groupBy(*keys).agg(
@@ -112,13 +111,13 @@ def flash_interpolate(df: DataFrame, flashes: DataFrame) -> DataFrame:
     post = F.least(F.col("flash_end") + 1, F.col("_last"))
     keys = pixel_keys(df)
     ends = rows.where((F.col("frame") == pre) | (F.col("frame") == post)).groupBy(*keys).agg(
-        F.max(F.when(F.col("frame") == pre, V)).alias("_pre"), F.max(F.when(F.col("frame") == post, V)).alias("_post"))
+        F.max(F.when(F.col("frame") == pre, val())).alias("_pre"), F.max(F.when(F.col("frame") == post, val())).alias("_post"))
     n = F.col("flash_end") - F.col("flash_start") + 1
     alpha = (F.col("frame") - F.col("flash_start") + 1) / (n + 1)
     inside = F.col("frame").between(F.col("flash_start"), F.col("flash_end"))
     whole = (pre == F.col("flash_start")) & (post == F.col("flash_end"))
     return (attach(rows, ends, keys).withColumn("value", F.when(
-        inside & ~whole, alpha * F.col("_post") + (1 - alpha) * F.col("_pre")).otherwise(V))
+        inside & ~whole, alpha * F.col("_post") + (1 - alpha) * F.col("_pre")).otherwise(val()))
         .drop("_pre", "_post", "_last", "flash_start", "flash_end"))
 
 
@@ -132,8 +131,8 @@ def flash_noise_scale(df: DataFrame, flashes: DataFrame, window_size: int = 50)
     baseline = rows.where(around).groupBy(*keys).agg(F.avg("value").alias("_bm"), F.stddev_pop("value").alias("_bs"))
     frames = rows.where(inside).groupBy(*fkeys).agg(F.avg("value").alias("_fm"), F.stddev_pop("value").alias("_fs"))
     out = attach(attach(rows, baseline, keys), frames, fkeys)
-    scaled = F.col("_bm") + F.when(F.col("_fs") > 0, (V - F.col("_fm")) / F.col("_fs") * F.when(F.col("_bs") == 0, 1.0).otherwise(F.col("_bs"))).otherwise(0.0)
-    return (out.withColumn("value", F.when(inside & F.col("_bm").isNotNull(), scaled).otherwise(V))
+    scaled = F.col("_bm") + F.when(F.col("_fs") > 0, (val() - F.col("_fm")) / F.col("_fs") * F.when(F.col("_bs") == 0, 1.0).otherwise(F.col("_bs"))).otherwise(0.0)
+    return (out.withColumn("value", F.when(inside & F.col("_bm").isNotNull(), scaled).otherwise(val()))
             .drop("_bm", "_bs", "_fm", "_fs", "_last", "flash_start", "flash_end"))
 
 
@@ -245,7 +244,7 @@ def dff_trace(traces: DataFrame, start: int | None = None, stop: int | None = No
     else:
         f0 = exact_quantiles(base, key, "value", {"_f0": 0.5 if method == "median" else percentile / 100.0})
     return attach(traces, f0, key).withColumn(
-        "dff", F.when(F.abs(F.col("_f0")) < 1e-12, 0.0).otherwise((V - F.col("_f0")) / F.col("_f0"))).drop("_f0")
+        "dff", F.when(F.abs(F.col("_f0")) < 1e-12, 0.0).otherwise((val() - F.col("_f0")) / F.col("_f0"))).drop("_f0")
 
 
 def calcium_events(traces: DataFrame, threshold: float = 2.0, min_duration: int = 3, min_interval: int = 5,
@@ -264,7 +263,7 @@ def calcium_events(traces: DataFrame, threshold: float = 2.0, min_duration: int
     base = quiet.groupBy(*key).agg(F.stddev_pop("value").alias("_q"), F.first("_all").alias("_a"), F.first("_n").alias("_len"))
     std = F.when(F.col("_q") >= 1e-12, F.col("_q")).when(F.col("_a") >= 1e-12, F.col("_a"))
     limits = base.where(F.col("_len") >= min_duration).select(*key, (std * threshold).alias("_limit"))
-    rows = attach(traces, limits, key, "inner").withColumn("_above", F.coalesce(V > F.col("_limit"), F.lit(False)))
+    rows = attach(traces, limits, key, "inner").withColumn("_above", F.coalesce(val() > F.col("_limit"), F.lit(False)))
     marked = halo(rows, "t", 1, 0, block)
     w = block_window(key, "t")
     marked = core(marked.withColumn("_start", (F.col("_above") & ~F.coalesce(F.lag("_above").over(w), F.lit(False))).cast("int")))
@@ -335,14 +334,14 @@ def smooth_savgol(traces: DataFrame, window: int = 7, order: int = 3) -> DataFra
     w = block_window(["trace_id"], "t")
 
     def at(offset: int) -> Column:
-        return V if offset == 0 else (F.lag("value", -offset).over(w) if offset < 0 else F.lead("value", offset).over(w))
+        return val() if offset == 0 else (F.lag("value", -offset).over(w) if offset < 0 else F.lead("value", offset).over(w))
 
     def fit(position: int) -> Column:
         weights = savgol_weights(window, order, position)
         return sum((float(c) * at(i - position) for i, c in enumerate(weights)), F.lit(0.0))
 
     t, n = F.col("t"), F.col("_n")
-    new = F.when(n < window, V)
+    new = F.when(n < window, val())
     for p in range(r):
         new = new.when(t == p, fit(p)).when(t == n - 1 - p, fit(window - 1 - p))
     return core(rows.withColumn("_new", new.otherwise(fit(r)))).withColumn("value", F.col("_new")).drop("_new", "_n")

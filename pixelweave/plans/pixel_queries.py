@@ -175,13 +175,13 @@ def _(spark, sf):
 def region(name, predicate, inside):
     @query(name, f"WITH {ST} SELECT {PX}, value FROM stack WHERE {predicate}", "value")
     def _(spark, sf):
-        return out(fx.stack(spark, sf).where(inside))
+        return out(fx.stack(spark, sf).where(inside()))
 
 
-region("roi_rectangle", "x >= 1.5 AND x < 6 AND y >= 2 AND y < 5", M.in_rectangle(1.5, 2, 6, 5))
-region("roi_ellipse", "((x - 3.5) / 3.2) ** 2 + ((y - 3) / 2.1) ** 2 < 1", M.in_ellipse(3.5, 3.0, 3.2, 2.1))
-region("roi_line", "y = floor((2 * 4 * x + 7) / 14)", M.on_line(0, 0, 7, 4))
-region("roi_point", "x = 3 AND y = 5", M.at_point(3, 5))
+region("roi_rectangle", "x >= 1.5 AND x < 6 AND y >= 2 AND y < 5", lambda: M.in_rectangle(1.5, 2, 6, 5))
+region("roi_ellipse", "((x - 3.5) / 3.2) ** 2 + ((y - 3) / 2.1) ** 2 < 1", lambda: M.in_ellipse(3.5, 3.0, 3.2, 2.1))
+region("roi_line", "y = floor((2 * 4 * x + 7) / 14)", lambda: M.on_line(0, 0, 7, 4))
+region("roi_point", "x = 3 AND y = 5", lambda: M.at_point(3, 5))
 
 
 @query("roi_polygon")
@@ -274,10 +274,6 @@ def _(spark, sf):
 @query("roi_shape")
 def _(spark, sf):
     s = fx.stack(spark, sf)
-    return M_shape(s)
-
-
-def M_shape(s):
     return A.roi_shape(M.mask_from(s, M.in_ellipse(3.5, 3.0, 3.2, 2.1)))
 
 

@@ -12,7 +12,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOCS = T.StructType([
@@ -57,3 +58,8 @@ def pixel_keys(df: DataFrame) -> list[str]:
 
 def track_keys(df: DataFrame) -> list[str]:
     return [k for k in ("movie_id", "track_id") if k in df.columns]
+
+
+def val() -> Column:
+    """The pixel or trace value."""
+    return F.col("value")
