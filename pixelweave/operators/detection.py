@@ -323,16 +323,17 @@ def detect_particles(df: DataFrame, image_filter: str = "wavelet", filter_args:
     rows = attach(filtered, frame_threshold(filtered, threshold), keys)
     border = max(5, int(1.5 * fit_radius))
     found = border_filter(DETECTORS[detector](rows, F.col("threshold"), border=0), border)
-    candidates = found.select(*keys, F.struct("y", "x").alias("id"), "y", "x")
+    raster = (F.col("frame").cast("long") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")
+    candidates = found.select(*keys, raster.alias("id"), "y", "x")
     fits = LOCALIZERS[localizer](image, candidates, max(roi_size, 3))
     size = df.select(*keys, "h", "w").distinct()
     fits = attach(fits, size, keys)
     inside = (F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h"))
     fits = fits.where(inside).withColumn("uncertainty", localization_precision(
-        F.col("intensity"), F.col("background"), (F.col("sigma_x") + F.col("sigma_y")) / 2, 1.0, False, emccd)).drop("h", "w", "id")
+        F.col("intensity"), F.col("background"), (F.col("sigma_x") + F.col("sigma_y")) / 2, 1.0, False, emccd))
     if pixel_size is not None:
         fits = fits.withColumns({c: F.col(c) * pixel_size for c in ("x", "y", "sigma_x", "sigma_y", "uncertainty")})
-    return fits.select(*keys, "x", "y", "intensity", "sigma_x", "sigma_y", "background", "uncertainty")
+    return fits.select(*keys, "id", "x", "y", "intensity", "sigma_x", "sigma_y", "background", "uncertainty")
 
 
 def localization_filter(df: DataFrame, min_intensity: float | None = None, max_intensity: float | None = None,

@@ -59,16 +59,15 @@ def _(spark, sf):
 
 
 RGB = fx.STACK + """,
-rgb AS (SELECT movie_id, frame, y, CAST(x // 3 AS INT) AS x, CAST(x % 3 AS INT) AS c, value FROM stack WHERE x < 6),
-rgbw AS (SELECT movie_id, frame, y, x, max(value) FILTER (WHERE c = 0) AS r, max(value) FILTER (WHERE c = 1) AS g, max(value) FILTER (WHERE c = 2) AS b FROM rgb GROUP BY ALL),
+rgb AS (SELECT movie_id, CAST(frame // 3 AS INT) AS frame, y, x, CAST(frame % 3 AS INT) AS c, value FROM stack),
+rgbw AS (SELECT movie_id, frame, y, x, max(value) FILTER (WHERE c = 0) AS r, max(value) FILTER (WHERE c = 1) AS g, max(value) FILTER (WHERE c = 2) AS b FROM rgb GROUP BY ALL HAVING count(*) = 3),
 sc AS (SELECT movie_id, frame, y, x, (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) AS r, (g - min(g) OVER w) / (max(g) OVER w - min(g) OVER w) AS g, (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) AS b
   FROM rgbw WINDOW w AS (PARTITION BY movie_id))"""
 
 
 def rgb(spark, sf):
-    """Three colour planes from the first six columns of F1."""
-    return (fx.stack(spark, sf).where("x < 6").withColumn("c", F.col("x") % 3).withColumn("x", F.floor(F.col("x") / 3).cast("int"))
-            .withColumn("w", F.lit(2)))
+    """Three colour planes: every three successive frames of F1 make one image."""
+    return P.deinterleave(fx.stack(spark, sf), 3)
 
 
 @query("grayscale", f"WITH {RGB} SELECT {PX}, 0.2126 * r + 0.7152 * g + 0.0722 * b AS value FROM rgbw", "value")
