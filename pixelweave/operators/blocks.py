@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.session import attach, cut_lineage
+from pixelweave.session import attach, cut_lineage, spread
 
 BLOCK = 4096
 
@@ -92,16 +92,19 @@ def lagged_pairs(df: DataFrame, keys: list[str], idx: str, fields: list[str],
     point = F.struct(F.col(idx).alias("i"), *[F.col(f) for f in fields])
     blocks = (df.withColumn("_limit", max_lag).withColumn("_blk", F.floor(F.col(idx) / F.lit(block)))
               .groupBy(*keys, "_blk")
-              .agg(F.collect_list(point).alias("_pts"), F.max("_limit").alias("_limit")))
+              .agg(F.array_sort(F.collect_list(point)).alias("_pts"), F.max("_limit").alias("_limit")))
     reach = F.floor((F.col("_limit") + F.lit(block - 1)) / F.lit(block))
     left = blocks.select(*keys, F.col("_pts").alias("_a"), "_limit",
                          F.explode(F.sequence(F.col("_blk"), F.col("_blk") + reach)).alias("_blk"))
     right = blocks.select(*keys, "_blk", F.col("_pts").alias("_b"))
-    joined = left.join(right, [*keys, "_blk"])
+    joined = spread(left, *keys, "_blk").join(spread(right, *keys, "_blk"), [*keys, "_blk"])
+    # points are dense and sorted, so the partners of a point are one slice
+    first = F.col("_p.i") + 1 - F.col("_b")[0]["i"]
+    low = F.greatest(first, F.lit(0)).cast("int")
+    high = F.least(first + F.col("_limit") - 1, F.size("_b") - 1).cast("int")
     unrolled = (joined.select(*keys, "_limit", "_b", F.explode("_a").alias("_p"))
-                .select(*keys, "_limit", "_p", F.explode("_b").alias("_q"))
-                .withColumn("lag", F.col("_q.i") - F.col("_p.i"))
-                .where((F.col("lag") >= 1) & (F.col("lag") <= F.col("_limit"))))
+                .select(*keys, "_p", F.explode(F.when(high >= low, F.slice("_b", low + 1, high - low + 1))).alias("_q"))
+                .withColumn("lag", F.col("_q.i") - F.col("_p.i")))
     return unrolled.select(*keys, "lag", F.col("_p").alias("a"), F.col("_q").alias("b"))
 
 
@@ -109,7 +112,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                     direct: int = 200_000, bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated quantiles of groups of any size.
 
-    Each needed order statistic is held as a value bracket with the count below
+    Group sizes are counted first: when none exceeds ``direct``, the built-in
+    exact percentile holds one group in memory at a time. Otherwise each needed order statistic is held as a value bracket with the count below
     it. Brackets are narrowed by histograms (bounded partial aggregates) until
     at most ``direct`` values remain in each, then the distinct values of the
     bracket are counted and ranked. Repeated values collapse in the counts.
@@ -120,6 +124,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     base = base.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"))
     if not keys:
         base = base.withColumn("_all", F.lit(0))
+    largest = base.groupBy(*tag).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= direct:
+        result = base.groupBy(*tag).agg(*[F.percentile("_v", F.lit(float(p))).alias(name) for name, p in probs.items()])
+        return result if keys else result.drop("_all")
     stats = base.groupBy(*tag).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     ranks = []
     for j, p in enumerate(probs.values()):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pixelweave.operators.blocks import dense_index
 from pixelweave.operators.stencil import Tiles
 from pixelweave.schemas import frame_keys, movie_keys, val
-from pixelweave.session import attach, cut_lineage
+from pixelweave.session import attach, cut_lineage, spread
 
 
 def _contract(columns: list[str]):
@@ -64,15 +64,17 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataF
     def oriented(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def digest(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        """Every node has one root and no root has a root."""
+        ends = df.select(*keys, F.explode(F.array(F.struct(F.col("u").alias("p"), F.lit(1).alias("child")), F.struct(F.col("v").alias("p"), F.lit(0).alias("child")))).alias("e"))
+        nodes = ends.groupBy(*keys, "e.p").agg(F.sum("e.child").alias("up"), F.min("e.child").alias("low"))
+        return nodes.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("low") == 0))).isEmpty()
 
     star = oriented(edges.select(*keys, F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")))
-    local = star.repartition(*keys, F.floor(F.col("u") / 65536)).sortWithinPartitions(*keys, "u")
+    local = spread(star, *keys, F.floor(F.col("u") / 65536)).sortWithinPartitions(*keys, "u")
     star = cut_lineage(oriented(local.mapInPandas(_contract(cols), star.schema)))
-    before = digest(star)
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if settled(star):
             break
         both = star.unionByName(star.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -80,10 +82,6 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataF
         lower = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(lower, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut_lineage(oriented(small.unionByName(lower.select(*keys, "u", F.col("m").alias("v")))))
-        after = digest(star)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not converge")
     return (star.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))

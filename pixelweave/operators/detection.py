@@ -301,9 +301,10 @@ def localize_radial(df: DataFrame, candidates: DataFrame, size: int = 7) -> Data
     sums = sums.where("_ok >= 3 and _w >= 1e-30")
     smw, smmw, sbw, smbw = (F.col(c) / F.col("_w") for c in ("_mw", "_mmw", "_bw", "_mbw"))
     det = smmw - smw * smw
-    # every line is y = m x + b; the least-squares point solves the normal equations
-    x = -(smbw - smw * sbw) / det
-    fit = sums.where(F.abs(det) >= 1e-30).withColumn("x", -x + F.col("c0")).withColumn("y", (smbw * smw - smmw * sbw) / det + F.col("r0"))
+    # every line is y = m x + b; the weighted least-squares point solves
+    # smmw x - smw y + smbw = 0 and smw x - y + sbw = 0
+    fit = (sums.where(F.abs(det) >= 1e-30).withColumn("x", (smw * sbw - smbw) / det + F.col("c0"))
+           .withColumn("y", (smmw * sbw - smw * smbw) / det + F.col("r0")))
     return _finish(fit, 1.5, False).drop("_ok", "_w", "_mw", "_mmw", "_bw", "_mbw", "r0", "c0")
 
 

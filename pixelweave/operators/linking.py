@@ -18,7 +18,7 @@ from pixelweave.operators.blocks import block_window, core, dense_index, halo, u
 from pixelweave.operators.components import components
 from pixelweave.operators.spatial import range_join
 from pixelweave.schemas import track_keys
-from pixelweave.session import attach, cut_lineage
+from pixelweave.session import attach, cut_lineage, spread
 
 
 def candidate_edges(df: DataFrame, keys: list[str], max_distance: float, max_gap: int) -> DataFrame:
@@ -87,7 +87,7 @@ def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_
     run = _greedy(keys, max_distance, max_gap)
     schema = tagged.select(*keys, "id", "seed_frame", "seed_id").schema
     small = tagged if large.isEmpty() else attach(tagged, large, [*keys, "root"], "left_anti")
-    parts = [small.groupBy(*keys, "root").applyInPandas(run, schema)]
+    parts = [_in_buckets(small, keys, run, schema)]
     if not large.isEmpty():
         parts.append(_link_slabs(attach(tagged, large, [*keys, "root"], "left_semi"), edges, keys, run, schema, max_gap, limit))
     linked = union_all(parts)
@@ -100,6 +100,17 @@ def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_
     return (base.join(ids.select(*keys, "id", F.coalesce("_t", F.lit(-1)).cast("long").alias("track_id")), [*keys, "id"]))
 
 
+def _in_buckets(points: DataFrame, keys: list[str], run, schema, size: int = 20_000) -> DataFrame:
+    """Run the linker over buckets of whole components.
+
+    Components share no candidate edge, so linking several together gives what
+    each would give alone, without a Python call per component.
+    """
+    buckets = max(1, points.count() // size)
+    rows = points.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "root"), F.lit(buckets)))
+    return spread(rows, *keys, "_bucket").groupBy(*keys, "_bucket").applyInPandas(run, schema)
+
+
 def _link_slabs(points: DataFrame, edges: DataFrame, keys: list[str], run, schema, max_gap: int, limit: int) -> DataFrame:
     """Large components, slab by slab: open track ends of a slab enter the next."""
     points = cut_lineage(points.drop("root"))
@@ -114,7 +125,7 @@ def _link_slabs(points: DataFrame, edges: DataFrame, keys: list[str], run, schem
             slab.select(*keys, F.col("id").alias("b")), [*keys, "b"], "left_semi")
         roots = components(here, keys).withColumnRenamed("node", "id")
         rows = rows.join(roots, [*keys, "id"], "left").withColumn("root", F.coalesce("root", "id"))
-        owned = cut_lineage(rows.groupBy(*keys, "root").applyInPandas(run, schema))
+        owned = cut_lineage(_in_buckets(rows, keys, run, schema))
         done.append(owned)
         ends = owned.join(slab.select(*keys, "id", "frame", "x", "y"), [*keys, "id"])
         if carry is not None:
@@ -174,38 +185,46 @@ def regime_labels(df: DataFrame, window: int = 11, persistence: float = 0.5, con
     return core(rows.withColumn("regime", label)).drop("_dx", "_dy", "_s", "_ux", "_uy", "_dot")
 
 
-def _merge_runs(keys: list[str], shortest: int):
-    """Absorb runs shorter than ``shortest`` into the longer neighbour until none is left."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        runs = [list(r) for r in pdf[["start", "end", "type"]].itertuples(index=False)]
-        while len(runs) > 1:
-            kept, i, moved = [], 0, False
-            while i < len(runs):
-                start, end, kind = runs[i]
-                ahead = runs[i + 1] if i + 1 < len(runs) else None
-                if end - start < shortest and (kept or ahead):
-                    back = kept[-1][1] - kept[-1][0] if kept else -1
-                    if kept and (ahead is None or back >= ahead[1] - ahead[0]):
-                        kept[-1][1] = end
-                    else:
-                        ahead[0] = start
-                    moved = True
-                else:
-                    kept.append([start, end, kind])
-                i += 1
-            runs = []
-            for r in kept:
-                if runs and runs[-1][2] == r[2]:
-                    runs[-1][1] = r[1]
+def _merged(runs: list[list], shortest: int) -> list[list]:
+    """Absorb [start, end, type] runs shorter than ``shortest`` into the longer neighbour until none is left."""
+    while len(runs) > 1:
+        kept, moved = [], False
+        for i, (start, end, kind) in enumerate(runs):
+            ahead = runs[i + 1] if i + 1 < len(runs) else None
+            if end - start < shortest and (kept or ahead):
+                back = kept[-1][1] - kept[-1][0] if kept else -1
+                if kept and (ahead is None or back >= ahead[1] - ahead[0]):
+                    kept[-1][1] = end
                 else:
-                    runs.append(r)
-            if not moved:
-                break
-        out = pd.DataFrame(runs, columns=["start", "end", "type"])
-        for k in keys:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+                    ahead[0] = start
+                moved = True
+            else:
+                kept.append([start, end, kind])
+        runs = []
+        for r in kept:
+            if runs and runs[-1][2] == r[2]:
+                runs[-1][1] = r[1]
+            else:
+                runs.append(r)
+        if not moved:
+            break
+    return runs
+
+
+def _merge_tracks(keys: list[str], shortest: int):
+    """Merge the runs of every track of a bucket."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "start"])
+        owner = list(pdf[keys].itertuples(index=False, name=None))
+        rows = list(pdf[["start", "end", "type"]].itertuples(index=False, name=None))
+        out, i = [], 0
+        while i < len(rows):
+            j = i
+            while j < len(rows) and owner[j] == owner[i]:
+                j += 1
+            out += [(*owner[i], *r) for r in _merged([list(r) for r in rows[i:j]], shortest)]
+            i = j
+        return pd.DataFrame(out, columns=[*keys, "start", "end", "type"])
 
     return run
 
@@ -227,7 +246,9 @@ def motion_regimes(df: DataFrame, window: int = 11, persistence: float = 0.5, co
     seen = halo(marks, "_i", 0, 1)
     ended = core(seen.withColumn("end", F.coalesce(F.lead("start").over(block_window(keys, "_i")), F.col("n")))).drop("_i", "n")
     schema = ended.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type").schema
-    return ended.groupBy(*keys).applyInPandas(_merge_runs(list(reversed(keys)), shortest), schema)
+    runs = ended.select(schema.names)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, runs.count() // 50_000)))
+    return spread(runs.withColumn("_bucket", bucket), "_bucket").groupBy("_bucket").applyInPandas(_merge_tracks(keys, shortest), schema)
 
 
 def motion_class_counts(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pixelweave.operators.blocks import pad_axis
 from pixelweave.operators.temporal import gaussian_weights
 from pixelweave.schemas import frame_keys, val
-from pixelweave.session import attach
+from pixelweave.session import attach, spread
 
 TILE = 256
 
@@ -45,7 +45,7 @@ class Tiles:
         rows = (rows.withColumn("_tx", F.explode(span("_x", rx, "w"))).withColumn("_ty", F.explode(span("_y", ry, "h")))
                 .withColumn("_core", (F.col("_x") == F.col("x")) & (F.col("_y") == F.col("y"))
                             & (F.col("_tx") == F.floor(F.col("_x") / tile)) & (F.col("_ty") == F.floor(F.col("_y") / tile))))
-        self.rows = rows.repartition(*keys, "_ty", "_tx")
+        self.rows = spread(rows, *keys, "_ty", "_tx")
         self.wx = Window.partitionBy(*keys, "_ty", "_tx", "_y").orderBy("_x")
         self.wy = Window.partitionBy(*keys, "_ty", "_tx", "_x").orderBy("_y")
 

@@ -72,3 +72,13 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left",
     if side.count() <= max_rows:
         side = F.broadcast(side)
     return df.join(side, keys, how)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash rows over the configured number of shuffle partitions.
+
+    The fixed number keeps adaptive execution from folding compute-heavy work
+    (pair unrolling, long window lists, Python groups) into a few tasks just
+    because its input is small in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -139,8 +139,16 @@ def read_spt_csv(spark: SparkSession, path: str) -> DataFrame:
     return from_spt_csv(_csv(spark, path))
 
 
+def _one_per_line(spark: SparkSession, path: str) -> bool:
+    """Whether the files hold a document per line (as written here) or one document each."""
+    head = spark.read.text(path).where(F.trim("value") != "").first()
+    line = head[0].strip() if head else ""
+    return line.startswith("{") and line.endswith("}")
+
+
 def read_locs_json(spark: SparkSession, path: str) -> DataFrame:
-    return from_json_documents(spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path))
+    reader = spark.read.schema(JSON_SCHEMA).option("multiLine", not _one_per_line(spark, path))
+    return from_json_documents(reader.json(path))
 
 
 def read_spt_json(spark: SparkSession, path: str) -> DataFrame:

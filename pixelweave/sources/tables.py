@@ -37,10 +37,10 @@ def read_rois(spark: SparkSession, path: str) -> DataFrame:
 
     A ROI is a line with its kind and a line per vertex, closed by a blank line.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     blocks = text.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n[ \t]*\n")).alias("roi", "block")).where(F.trim("block") != "")
     lines = blocks.select("file", "roi", F.split(F.trim("block"), "\n").alias("l"))
-    points = lines.select("file", "roi", F.trim(F.col("l")[0]).alias("kind"), F.posexplode(F.slice("l", 2, 1_000_000)).alias("pos", "p"))
+    points = lines.select("file", "roi", F.trim(F.col("l")[0]).alias("kind"), F.posexplode(F.slice("l", 2, F.size("l"))).alias("pos", "p"))
     xy = F.split(F.trim("p"), r"\s+")
     return points.select("file", "roi", "kind", "pos", xy[0].cast("double").cast("int").alias("x"),
                          xy[1].cast("double").cast("int").alias("y"))
