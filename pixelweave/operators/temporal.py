@@ -10,11 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from pixelweave.operators.blocks import block_window, core, exact_quantiles, halo, pad_axis, prefix_sum
+from pixelweave.operators.blocks import block_window, core, dense_index, exact_quantiles, halo, pad_axis, prefix_sum
 from pixelweave.schemas import frame_keys, movie_keys, pixel_keys, val
 from pixelweave.session import attach
 
@@ -273,10 +273,10 @@ def calcium_events(traces: DataFrame, threshold: float = 2.0, min_duration: int
         F.max_by("t", F.struct("value", -F.col("t"))).alias("peak"), F.count(F.lit(1)).alias("duration"),
         (F.sum("value") - (F.min_by("value", "t") + F.max_by("value", "t")) / 2).alias("area"))
     events = events.where(F.col("duration") >= min_duration)
-    order = Window.partitionBy(*key).orderBy("start")
-    gap = F.col("start") - F.lag("end").over(order)
-    events = (events.withColumn("_new", F.when(gap < min_interval, 0).otherwise(1))
-              .withColumn("_cluster", F.sum("_new").over(order)))
+    listed = halo(_listed(events), "_i", 1, 0, block)
+    gap = F.col("start") - F.lag("end").over(block_window(key, "_i"))
+    listed = core(listed.withColumn("_new", F.when(gap < min_interval, 0).otherwise(1)))
+    events = prefix_sum(listed, key, "_i", "_new", "_cluster", block)
     fields = ["start", "peak", "end", "amplitude", "duration", "area"]
     clusters = events.groupBy(*key, "_cluster").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_e"))
     first = F.col("_e")[0]
@@ -288,9 +288,15 @@ def calcium_events(traces: DataFrame, threshold: float = 2.0, min_duration: int
         (F.col("peak") - F.col("start")).alias("rise_time"), (F.col("end") - F.col("peak")).alias("decay_time"), "area")
 
 
+def _listed(events: DataFrame) -> DataFrame:
+    """Events numbered along their trace."""
+    return dense_index(events, ["trace_id"], ["start"], F.floor(F.col("start") / F.lit(4096)), "_i", None)
+
+
 def calcium_stats(events: DataFrame) -> DataFrame:
-    gap = F.lead("start").over(Window.partitionBy("trace_id").orderBy("start")) - F.col("end")
-    return events.withColumn("_gap", gap).groupBy("trace_id").agg(
+    rows = halo(_listed(events), "_i", 0, 1)
+    gap = F.lead("start").over(block_window(["trace_id"], "_i")) - F.col("end")
+    return core(rows.withColumn("_gap", gap)).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.avg("amplitude").alias("mean_amplitude"),
         F.avg("duration").alias("mean_duration"), F.avg("rise_time").alias("mean_rise_time"),
         F.avg("decay_time").alias("mean_decay_time"), F.avg("area").alias("mean_area"),
@@ -373,8 +379,6 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
 
     Ranks come from counts per distinct value, so ties cost one row each.
     """
-    from pixelweave.operators.blocks import dense_index
-
     ok = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf")))
     counted = ok.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.lit(0))
     extent = counted.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_c").alias("_n"))
