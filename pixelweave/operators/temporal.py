@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelweave.operators.blocks import block_window, core, dense_index, exact_quantiles, halo, pad_axis, prefix_sum
 from pixelweave.schemas import frame_keys, movie_keys, pixel_keys, val
-from pixelweave.session import attach
+from pixelweave.session import attach, cut_lineage
 
 
 
@@ -272,7 +272,7 @@ def calcium_events(traces: DataFrame, threshold: float = 2.0, min_duration: int
         F.min("t").alias("start"), F.max("t").alias("end"), F.max("value").alias("amplitude"),
         F.max_by("t", F.struct("value", -F.col("t"))).alias("peak"), F.count(F.lit(1)).alias("duration"),
         (F.sum("value") - (F.min_by("value", "t") + F.max_by("value", "t")) / 2).alias("area"))
-    events = events.where(F.col("duration") >= min_duration)
+    events = cut_lineage(events.where(F.col("duration") >= min_duration))
     listed = halo(_listed(events), "_i", 1, 0, block)
     gap = F.col("start") - F.lag("end").over(block_window(key, "_i"))
     listed = core(listed.withColumn("_new", F.when(gap < min_interval, 0).otherwise(1)))
@@ -294,7 +294,7 @@ def _listed(events: DataFrame) -> DataFrame:
 
 
 def calcium_stats(events: DataFrame) -> DataFrame:
-    rows = halo(_listed(events), "_i", 0, 1)
+    rows = halo(_listed(cut_lineage(events)), "_i", 0, 1)
     gap = F.lead("start").over(block_window(["trace_id"], "_i")) - F.col("end")
     return core(rows.withColumn("_gap", gap)).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.avg("amplitude").alias("mean_amplitude"),

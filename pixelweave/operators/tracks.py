@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pixelweave.operators.blocks import (
     BLOCK, block_window, core, dense_index, exact_quantiles, halo, lagged_pairs)
 from pixelweave.schemas import track_keys
-from pixelweave.session import attach
+from pixelweave.session import attach, cut_lineage
 
 
 # -- shared building blocks -------------------------------------------------
@@ -502,7 +502,7 @@ def linear_motion_class(df: DataFrame, directionality: float = 0.8, perpendicula
 def track_features(df: DataFrame, frame_interval: float = 1.0) -> DataFrame:
     """All features per track; null for tracks below three points."""
     keys = track_keys(df)
-    rows = indexed(df)
+    rows = cut_lineage(indexed(df))  # read by five feature groups
     base = _tensor_features(with_points(rows, before=1), keys)
     out = (base.join(fractal_dimension(rows), keys).join(straightness(rows), keys)
            .join(msd_analysis(rows), keys).join(direction_analysis(rows), keys, "left"))
@@ -530,6 +530,7 @@ def track_features_rows(df: DataFrame, min_segments: int = 0, rounded: bool = Tr
     rows = indexed(df)
     if min_segments:
         rows = rows.where(F.col("n") > min_segments)
+    rows = cut_lineage(rows)
     base = _tensor_features(with_points(rows, before=1), keys)
     light = rows.groupBy(*keys).agg(F.avg("intensity").alias("track_intensity_mean"),
                                     F.stddev_pop("intensity").alias("track_intensity_std"))
