@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelweave.llm import minhash
+from pixelweave.llm import minhash, quality, rules, urltrees
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,3 +22,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @_query
 def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@_query
+def op3_quality_classifier(spark, sf_dir):
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@_query
+def op7_quality_rules(spark, sf_dir):
+    return rules.judge(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("host_rate", 6).alias("host_rate"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@_query
+def op10_url_filter(spark, sf_dir):
+    return urltrees.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
