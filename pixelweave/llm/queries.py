@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import minhash, quality, rules, urltrees
+from pixelweave.llm import decontaminate, minhash, quality, rules, urltrees
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,3 +43,8 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @_query
 def op10_url_filter(spark, sf_dir):
     return urltrees.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
