@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, minhash, quality, rules, urltrees
+from pixelweave.llm import decontaminate, linededup, minhash, quality, rules, urltrees
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,3 +48,9 @@ def op10_url_filter(spark, sf_dir):
 @_query
 def op2_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+
+
+@_query
+def op5_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
