@@ -8,9 +8,11 @@
 3. Pairs pass the signature estimate, then the full sets decide.
 4. Members of one bucket that are in different components after that could
    still be linked with each other. They are compared through their rarest
-   shingles: two sets of similarity t share one of the rarest
-   n - ceil(t n) + 1 of either. Shingles that many texts share sort last, so
-   a common passage does not bring its documents together.
+   shingles: sets of n and m shingles with similarity t share at least
+   o = t / (1 + t) (n + m), so with both in one order, rarest first, some shared
+   shingle has at most n - o others before it in one and m - o in the other.
+   Shingles that many texts share sort last, so a common passage, or a text that
+   many others come from, does not bring all its documents together.
 5. Components by alternating large-star and small-star.
 """
 
@@ -152,7 +154,8 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(percent: int, rarity):
-    schema = pa.schema([("shingle", pa.int64()), ("rep", pa.int64()), ("component", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("shingle", pa.int64()), ("rep", pa.int64()), ("component", pa.int64()), ("size", pa.int64()),
+                        ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +164,7 @@ def _rarest(percent: int, rarity):
                 take = len(x) - -(-percent * len(x) // 100) + 1
                 order = np.lexsort((x, rarity.value[(x % np.uint64(RARITY_SLOTS)).astype(np.int64)]))
                 x = x[order[:take]]
-                yield batch_of(schema, [x.view(np.int64), *([v] * len(x) for v in (rep, component, len(order)))])
+                yield batch_of(schema, [x.view(np.int64), *([v] * len(x) for v in (rep, component, len(order))), range(len(x))])
 
     return run
 
@@ -175,11 +178,12 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for row in slots.collect():  # RARITY_SLOTS rows at most
         table[row.slot] = row.n
     rows = cut_lineage(held.mapInArrow(_rarest(percent, spark.sparkContext.broadcast(table)),
-                                       "shingle long, rep long, component long, size long"))
-    other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "size")))
+                                       "shingle long, rep long, component long, size long, rank long"))
+    other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "size", "rank")))
+    shared = f"{percent} * (size + size_2)"  # (100 + percent) times the least intersection
     return (rows.join(other, "shingle")
                 .filter("rep < rep_2 and component <> component_2")
-                .filter(f"100 * least(size, size_2) >= {percent} * greatest(size, size_2)")
+                .filter(f"{100 + percent} * (size - rank) >= {shared} and {100 + percent} * (size_2 - rank_2) >= {shared}")
                 .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct())
 
 
