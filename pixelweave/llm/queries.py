@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, linededup, minhash, quality, rules, urltrees
+from pixelweave.llm import decontaminate, extract, linededup, minhash, quality, rules, urltrees
 
 QUERIES, ORACLES = {}, {}
 
@@ -54,3 +54,8 @@ def op2_decontamination(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@_query
+def op4_html_extraction(spark, sf_dir):
+    return extract.extract(_read(spark, sf_dir, "pages"))
