@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, extract, linededup, minhash, quality, rules, urltrees
+from pixelweave.llm import decontaminate, extract, linededup, minhash, mixing, quality, rules, urltrees
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,3 +59,51 @@ def op5_line_dedup(spark, sf_dir):
 @_query
 def op4_html_extraction(spark, sf_dir):
     return extract.extract(_read(spark, sf_dir, "pages"))
+
+
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the domain of their source: by the number it ends in, books, code or (0, or none) web."""
+    number = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    return docs.withColumn("domain", F.element_at(F.array(*map(F.lit, ("web", "books", "code"))), (number % 3 + 1).cast("int")))
+
+
+@_query
+def op8_source_mixing(spark, sf_dir):
+    return mixing.mix(with_domain(_read(spark, sf_dir, "documents")), MIX_LEVELS, weights=MIX_WEIGHTS, budget_percent=60, epochs=2, seed=8)
+
+
+ORACLES["op8_source_mixing"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS tokens,
+         ['web', 'books', 'code'][(coalesce(try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT), 0) % 3 + 1)::INT] AS domain
+  FROM documents),
+r AS (SELECT * FROM d WHERE tokens > 0),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM r GROUP BY ALL),
+c1 AS (SELECT domain, (sum(tokens) * 2)::BIGINT AS cap, CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END::BIGINT AS weight,
+              ((SELECT sum(tokens) FROM leaf) * 60 // 100)::BIGINT AS amount FROM leaf GROUP BY domain),
+w1 AS (SELECT *, cap / weight AS need, amount - coalesce(sum(cap) OVER (ORDER BY cap / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+              sum(weight) OVER (ORDER BY cap / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM c1),
+l1 AS (SELECT min({'need': need, 'name': domain, 'lft': lft, 'opn': opn}) FILTER (WHERE cap * opn > lft * weight) AS lv FROM w1),
+g1 AS (SELECT domain, (CASE WHEN cap * opn <= lft * weight THEN cap ELSE lv.lft * weight // lv.opn END)::BIGINT AS given FROM w1, l1),
+c2 AS (SELECT leaf.domain, lang, (sum(tokens) * 2)::BIGINT AS cap, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 ELSE 1 END::BIGINT AS weight, any_value(given) AS amount
+       FROM leaf JOIN g1 USING (domain) GROUP BY leaf.domain, lang),
+w2 AS (SELECT *, cap / weight AS need, amount - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+              sum(weight) OVER (PARTITION BY domain ORDER BY cap / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM c2),
+l2 AS (SELECT domain, min({'need': need, 'name': lang, 'lft': lft, 'opn': opn}) FILTER (WHERE cap * opn > lft * weight) AS lv FROM w2 GROUP BY domain),
+g2 AS (SELECT domain, lang, (CASE WHEN cap * opn <= lft * weight THEN cap ELSE lv.lft * weight // lv.opn END)::BIGINT AS given FROM w2 JOIN l2 USING (domain)),
+c3 AS (SELECT domain, lang, source, tokens, tokens * 2 AS cap, 1::BIGINT AS weight, given AS amount FROM leaf JOIN g2 USING (domain, lang)),
+w3 AS (SELECT *, cap / weight AS need, amount - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+              sum(weight) OVER (PARTITION BY domain, lang ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM c3),
+l3 AS (SELECT domain, lang, min({'need': need, 'name': source, 'lft': lft, 'opn': opn}) FILTER (WHERE cap * opn > lft * weight) AS lv FROM w3 GROUP BY domain, lang),
+g3 AS (SELECT domain, lang, source, tokens AS leaf_tokens, (CASE WHEN cap * opn <= lft * weight THEN cap ELSE lv.lft * weight // lv.opn END)::BIGINT AS given
+       FROM w3 JOIN l3 USING (domain, lang)),
+p AS (SELECT r.*, given // leaf_tokens AS whole, given % leaf_tokens AS part, md5('8:' || (given // leaf_tokens) || ':' || doc_id) AS place
+      FROM r JOIN g3 USING (domain, lang, source)),
+q AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM p),
+t AS (SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN upto <= part THEN 1 ELSE 0 END)::BIGINT AS copies FROM q)
+SELECT * FROM t WHERE copies > 0
+"""
