@@ -161,12 +161,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``: one row per row of ``docs``.
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_stamp``: one row per row of ``docs``.
 
     A window is ``window`` consecutive words of an item (``item_id, text``); an
     item of fewer words, but not none, is one window. Words of a document inside
     any occurrence of a window are hit. items_sha256 digests the ids of the
-    items with occurring windows, sorted as text and joined by commas.
+    items with occurring windows, sorted as text and joined by commas. text_stamp
+    is xxhash64 of the text, which with the id names the row.
 
     Null and empty texts have no words, as items and as documents. Items without
     an id are ignored. Rows of one id and text get the same result each; rows of
@@ -188,4 +189,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
                 .select(F.col("row.id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-                        F.col("n_hit").isNotNull().alias("contaminated")))
+                        F.col("n_hit").isNotNull().alias("contaminated"), F.col("row.stamp").alias("text_stamp")))

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, extract, linededup, minhash, mixing, quality, rules, urltrees
+from pixelweave.llm import (
+    decontaminate,
+    extract,
+    linededup,
+    minhash,
+    mixing,
+    quality,
+    rules,
+    surrogates,
+    urltrees,
+    warc,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,7 +58,7 @@ def op10_url_filter(spark, sf_dir):
 
 @_query
 def op2_decontamination(spark, sf_dir):
-    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10).drop("text_stamp")
 
 
 @_query
@@ -107,3 +118,15 @@ q AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY pla
 t AS (SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN upto <= part THEN 1 ELSE 0 END)::BIGINT AS copies FROM q)
 SELECT * FROM t WHERE copies > 0
 """
+
+
+@_query
+def op6_warc_derivatives(spark, sf_dir):
+    records = warc.derive(warc.responses(_read(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "block_digest", "source_digest_ok",
+                          F.length("block").cast("long").alias("block_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
+@_query
+def op9_pii_surrogates(spark, sf_dir):
+    return surrogates.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key="pixelweave-demo-key")
