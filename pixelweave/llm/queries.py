@@ -130,3 +130,84 @@ def op6_warc_derivatives(spark, sf_dir):
 @_query
 def op9_pii_surrogates(spark, sf_dir):
     return surrogates.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key="pixelweave-demo-key")
+
+
+_WORD_LIST = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+ORACLES["op7_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORD_LIST} AS w FROM documents),
+e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+g AS (SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM g WHERE z IS NOT NULL),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM d),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+s AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM b GROUP BY source),
+t AS (SELECT sum(n) AS n, sum(k) / sum(n) AS mean, count(*) AS hosts, sum(n * n) AS nn FROM s),
+v AS (SELECT any_value(t.n) AS n, any_value(mean) AS mean,
+             greatest(0, (sum(s.n * pow(s.k / s.n - mean, 2)) - (any_value(hosts) - 1) * any_value(mean) * (1 - any_value(mean)))
+                         / nullif(any_value(t.n) - any_value(nn) / any_value(t.n), 0)) AS between_hosts FROM s, t),
+p AS (SELECT mean, CASE WHEN coalesce(between_hosts, 0) > 0 THEN greatest(0, mean * (1 - mean) / between_hosts - 1) ELSE n END AS weight FROM v),
+r AS (SELECT source, (k + mean * weight) / (n + weight) AS host_rate FROM s, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept,
+       round(host_rate, 6) AS host_rate
+FROM b LEFT JOIN r ON b.source IS NOT DISTINCT FROM r.source
+"""
+
+ORACLES["op2_decontamination"] = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+items AS (SELECT id, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i, w FROM w WHERE side = 'b' AND len(w) > 0),
+windows AS (SELECT DISTINCT id AS item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM items),
+sizes AS (SELECT DISTINCT n FROM windows),
+docs AS (SELECT id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM w, sizes WHERE side = 'd' AND len(w) >= n),
+hits AS (SELECT docs.id, docs.i, docs.n, item_id FROM docs JOIN windows ON windows.n = docs.n AND s = array_to_string(w[i:i + docs.n - 1], ' ')),
+words AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY id),
+named AS (SELECT id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+          FROM (SELECT DISTINCT id, item_id FROM hits) GROUP BY id)
+SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN words USING (id) LEFT JOIN named USING (id) WHERE side = 'd'
+"""
+
+ORACLES["op5_line_dedup"] = """
+WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) AS raw, unnest(lines) AS line
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+c AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM l),
+p AS (SELECT doc_id, raw, t, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE t <> ''),
+w AS (SELECT a.doc_id, a.pos, least(a.n, 3) AS size, sha256(string_agg(b.t, chr(10) ORDER BY b.pos)) AS h
+      FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + least(a.n, 3) - 1
+      WHERE a.pos <= a.n - least(a.n, 3) + 1 GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY h, size ORDER BY doc_id, pos) AS turn FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM f WHERE turn > 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.raw) AS text FROM l LEFT JOIN p USING (doc_id, raw)
+         WHERE NOT EXISTS (FROM gone WHERE gone.doc_id = l.doc_id AND gone.pos = p.pos) GROUP BY l.doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)::BIGINT AS n_lines,
+       (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op1_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x, len(w) AS n FROM d),
+g AS (SELECT doc_id, n, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, concat_ws(' ', x, y, z) AS s FROM g WHERE z IS NOT NULL
+      UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM i JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * i.n >= 85 * (ca.n + cb.n - i.n)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.least AS component_id, d.doc_id = m.least AS kept
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
