@@ -67,8 +67,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item. Texts without words and rows without an id are judged like all."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_stamp").alias("_stamp")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_stamp")), "left_anti")
+    bad = found.filter("contaminated").select(F.struct("doc_id", "text_stamp").alias("bad")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("text")).alias("key"))
+    return rows.join(bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.mix(with_domain(_read(spark, sf_dir, "documents")), MIX_LEVELS, weights=MIX_WEIGHTS, budget_percent=60, epochs=2, seed=8)
 
 
-ORACLES["op8_source_mixing"] = """
+ORACLES["op8_source_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS tokens,
          ['web', 'books', 'code'][(coalesce(try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT), 0) % 3 + 1)::INT] AS domain
