@@ -3,39 +3,61 @@ stitching, kymographs and line scans."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators.masks import sample_points, sample_values
-from pixelweave.operators.stencil import Tiles, gaussian_blur
-from pixelweave.schemas import frame_keys, movie_keys, pixel_keys, val
+from pixelweave.operators.stencil import gaussian_blur
+from pixelweave.schemas import frame_keys, movie_keys, val
 from pixelweave.session import attach, cut_lineage
 
 
-def frame_shifts(df: DataFrame, reference_frame: int = 0, max_shift: int = 2) -> DataFrame:
-    """(frame keys, dy, dx): the bounded shift that best overlays a frame on the reference.
+def _phase_peak(fixed: np.ndarray, moving: np.ndarray, reach: int | None = None) -> tuple[int, int]:
+    """The cyclic (dy, dx) at which ``moving`` lies over ``fixed``, from the peak of their phase correlation.
 
-    Each tile computes the product with the reference at every offset as shifted
-    columns, so a frame contributes one row of partial sums per task.
+    Offsets beyond half the extent count as negative ones; of equal peaks the
+    shortest offset wins, so images without structure stay in place.
     """
-    m = max_shift
-    keys = frame_keys(df)
-    means = df.groupBy(*keys).agg(F.avg("value").alias("_mean"))
-    centred = attach(df, means, keys).withColumn("value", val() - F.col("_mean")).drop("_mean")
-    ref = centred.where(F.col("frame") == reference_frame).select(*pixel_keys(df), val().alias("_ref"))
-    both = attach(centred, ref, pixel_keys(df))
-    t = Tiles(both, m, m, "constant")
-    t.put(**{f"_x{dx + m}": t.at("value", dx, t.wx) for dx in range(-m, m + 1)})
-    t.put(**{f"_s{dy + m}_{dx + m}": t.at(f"_x{dx + m}", dy, t.wy) for dy in range(-m, m + 1) for dx in range(-m, m + 1)})
-    offsets = [(dy, dx) for dy in range(-m, m + 1) for dx in range(-m, m + 1)]
-    sums = t.rows.where("_core").groupBy(*keys).agg(*[F.sum(F.col("_ref") * F.col(f"_s{dy + m}_{dx + m}")).alias(f"_c{dy + m}_{dx + m}") for dy, dx in offsets])
-    scored = F.array(*[F.struct(F.col(f"_c{dy + m}_{dx + m}").alias("s"), F.lit(-(dy * dy + dx * dx)).alias("n"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    best = sums.select(*keys, F.array_max(scored).alias("_b"))
-    return best.select(*keys, F.when(F.col("frame") == reference_frame, 0).otherwise(F.col("_b.dy")).alias("dy"),
-                       F.when(F.col("frame") == reference_frame, 0).otherwise(F.col("_b.dx")).alias("dx"))
-
-
-def motion_correction(df: DataFrame, reference_frame: int = 0, max_shift: int = 2) -> DataFrame:
+    spectrum = np.conj(np.fft.fft2(fixed)) * np.fft.fft2(moving)
+    size = np.abs(spectrum)
+    corr = np.fft.ifft2(spectrum / np.maximum(size, max(size.max(), 1.0) * 1e-12)).real
+    dy, dx = (np.where(np.arange(n) > n // 2, np.arange(n) - n, np.arange(n)) for n in corr.shape)
+    cost = dy[:, None] ** 2 + dx[None] ** 2
+    if reach is not None:
+        corr = np.where((np.abs(dy)[:, None] <= reach) & (np.abs(dx)[None] <= reach), corr, -np.inf)
+    top = np.flatnonzero(corr.ravel() >= corr.max() - 1e-9)
+    y, x = np.unravel_index(top[np.argmin(cost.ravel()[top])], corr.shape)
+    return int(dy[y]), int(dx[x])
+
+
+def _register(keys: list[str], types: dict[str, str], reach: int | None):
+    """Task code: one group of pixels (y, x, value, _ref) to one row (keys, dy, dx)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pdf[c].to_numpy().astype(int) for c in ("y", "x"))
+        fixed, moving = np.zeros((2, y.max() + 1, x.max() + 1))
+        fixed[y, x], moving[y, x] = pdf["_ref"].fillna(0.0), pdf["value"].fillna(0.0)
+        dy, dx = _phase_peak(fixed, moving, reach)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dy": [dy], "dx": [dx]})
+
+    return run, ", ".join([*(f"{k} {types[k]}" for k in keys), "dy int", "dx int"])
+
+
+def frame_shifts(df: DataFrame, reference_frame: int = 0, max_shift: int | None = None) -> DataFrame:
+    """(frame keys, dy, dx): how far each frame has moved against the reference, over the whole frame.
+
+    A frame and the reference pixels beside it are one group, so a group never
+    exceeds an image. ``max_shift`` restricts the search where a bound is known.
+    """
+    keys, movie = frame_keys(df), movie_keys(df)
+    ref = df.where(F.col("frame") == reference_frame).select(*movie, "y", "x", val().cast("double").alias("_ref"))
+    both = df.select(*keys, "y", "x", val().cast("double").alias("value")).join(ref, [*movie, "y", "x"])
+    run, schema = _register(keys, dict(df.dtypes), max_shift)
+    return both.groupBy(*keys).applyInPandas(run, schema)
+
+
+def motion_correction(df: DataFrame, reference_frame: int = 0, max_shift: int | None = None) -> DataFrame:
     """Move every frame by its integer shift; uncovered pixels become 0."""
     keys = frame_keys(df)
     shifts = cut_lineage(frame_shifts(df, reference_frame, max_shift))
@@ -79,24 +101,30 @@ def channel_alignment(red: DataFrame, green: DataFrame, x_shift: int = 0, y_shif
     return both
 
 
-def stitch_images(a: DataFrame, b: DataFrame, overlap: int, direction: str = "horizontal", max_shift: int = 2, blend: bool = True) -> DataFrame:
-    """Join b to the right of (below) a with ``overlap`` shared columns (rows).
+def stitch_images(a: DataFrame, b: DataFrame, overlap: int, direction: str = "horizontal", blend: bool = True) -> DataFrame:
+    """Join b to the right of (below) a where their last and first ``overlap`` columns (rows) fit best.
 
-    The sideways shift maximising the correlation of the two strips, at most
-    max_shift, is found per frame; the strip blends linearly.
+    The strips of the first frame are registered in both directions, over their
+    whole extent, and the one shift found holds for the stack. Where the
+    images overlap b fades in linearly over the overlapping part, or covers a
+    without ``blend``. Coordinates start at 0; places neither covers have no row.
     """
-    along, across, size = ("x", "y", "w") if direction == "horizontal" else ("y", "x", "h")
-    keys = frame_keys(a)
-    left = a.where(F.col(along) >= F.col(size) - overlap).select(*keys, (F.col(along) - (F.col(size) - overlap)).alias("_s"), F.col(across).alias("_c"), val().alias("_a"))
-    right = b.where(F.col(along) < overlap).select(*keys, F.col(along).alias("_s"), F.col(across).alias("_bc"), val().alias("_b"))
-    shifted = right.withColumn("_d", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))).withColumn("_c", F.col("_bc") + F.col("_d"))
-    scores = left.join(shifted, [*keys, "_s", "_c"]).groupBy(*keys, "_d").agg(F.corr("_a", "_b").alias("_r"))
-    best = scores.groupBy(*keys).agg(F.max_by("_d", F.struct(F.coalesce("_r", F.lit(-2.0)), -F.abs("_d"))).alias("_d"))
-    placed = attach(b, best, keys).withColumn(along, (F.col(along) + F.col(size) - overlap).cast("int")).withColumn(across, (F.col(across) + F.coalesce("_d", F.lit(0))).cast("int"))
-    both = a.select(*keys, "y", "x", val().alias("_a"), F.col(size).alias("_wa")).join(placed.select(*keys, "y", "x", val().alias("_b"), F.col(size).alias("_wb")), [*keys, "y", "x"], "full")
-    pos = (F.col(along) - (F.col("_wa") - overlap) + 0.5) / overlap if blend else F.lit(0.5)
+    along, across, size, side = ("x", "y", "w", "h") if direction == "horizontal" else ("y", "x", "h", "w")
+    keys, movie = frame_keys(a), movie_keys(a)
+    first = a.groupBy(*movie).agg(F.min("frame").alias("frame"))
+    left = a.join(first, keys).where(F.col(along) >= F.col(size) - overlap).select(*keys, F.col(across), (F.col(along) - F.col(size) + overlap).alias(along), val().alias("_ref"))
+    right = b.join(first, keys).where(F.col(along) < overlap).select(*keys, across, along, "value")
+    run, schema = _register(keys, dict(a.dtypes), None)
+    found = left.join(right, [*keys, "y", "x"]).groupBy(*keys).applyInPandas(run, schema)
+    step, slide = ("dx", "dy") if direction == "horizontal" else ("dy", "dx")
+    extent = a.groupBy(*movie).agg(F.max(size).alias("_wa"), F.max(side).alias("_ha"))
+    offset = found.join(extent, movie).select(*movie, "_wa", (F.col("_wa") - overlap - F.col(step)).alias("_o"), (-F.col(slide)).alias("_p"))
+    placed = b.join(offset, movie).select(*keys, (F.col(along) + F.col("_o")).alias(along), (F.col(across) + F.col("_p")).alias(across), val().alias("_b"))
+    both = a.select(*keys, "y", "x", val().alias("_a")).join(placed, [*keys, "y", "x"], "full").join(offset, movie)
+    pos = F.least(F.greatest((F.col(along) - F.col("_o") + 0.5) / (F.col("_wa") - F.col("_o")), F.lit(0.0)), F.lit(1.0)) if blend else F.lit(1.0)
     value = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") * (1 - pos) + F.col("_b") * pos)
-    return both.select(*keys, "y", "x", value.alias("value"))
+    start = {along: F.least(F.lit(0), F.col("_o")), across: F.least(F.lit(0), F.col("_p"))}
+    return both.select(*keys, *((F.col(c) - start[c]).cast("int").alias(c) for c in ("y", "x")), value.alias("value"))
 
 
 def linescan(df: DataFrame, points: list[tuple[float, float]], width: int = 1, integration: str = "Mean") -> DataFrame:
@@ -108,15 +136,23 @@ def linescan(df: DataFrame, points: list[tuple[float, float]], width: int = 1, i
 
 def kymograph(df: DataFrame, points: list[tuple[float, float]], width: int = 1, temporal_binning: int = 1,
               detrend: bool = False, gaussian_sigma: float = 0.0, normalize: bool = False) -> DataFrame:
-    """Line profile per (binned) frame: rows (movie, bin, pos, value)."""
+    """Line profile per (binned) frame: rows (movie, bin, pos, value).
+
+    A last bin of fewer frames is left out, unless it is the only one.
+    Detrending takes the least-squares line of every position off, mean included.
+    """
     movie = movie_keys(df)
     profile = linescan(df, points, width).withColumn("bin", F.floor(F.col("frame") / temporal_binning).cast("int"))
     kymo = profile.groupBy(*movie, "bin", "pos").agg(F.avg("value").alias("value"))
+    if temporal_binning > 1:
+        whole = profile.groupBy(*movie).agg(F.floor((F.max("frame") + 1) / temporal_binning).cast("int").alias("_whole"))
+        kymo = kymo.join(whole, movie).where((F.col("bin") < F.col("_whole")) | (F.col("_whole") == 0)).drop("_whole")
     if detrend:
         keys = [*movie, "pos"]
         t = F.col("bin").cast("double")
-        line = kymo.groupBy(*keys).agg(F.regr_slope("value", t).alias("_k"), F.avg(t).alias("_t"))
-        kymo = attach(kymo, line, keys).withColumn("value", val() - F.coalesce("_k", F.lit(0.0)) * (F.col("bin") - F.col("_t"))).drop("_k", "_t")
+        line = kymo.groupBy(*keys).agg(F.regr_slope("value", t).alias("_k"), F.avg(t).alias("_t"), F.avg("value").alias("_m"))
+        fitted = F.col("_m") + F.coalesce("_k", F.lit(0.0)) * (F.col("bin") - F.col("_t"))
+        kymo = attach(kymo, line, keys).withColumn("value", val() - fitted).drop("_k", "_t", "_m")
     if gaussian_sigma > 0:
         size = kymo.groupBy(*movie).agg((F.max("bin") + 1).alias("h"), (F.max("pos") + 1).alias("w"))
         image = attach(kymo, size, movie).withColumnsRenamed({"bin": "y", "pos": "x"}).withColumn("frame", F.lit(0))

@@ -54,7 +54,7 @@ def _contract(columns: list[str]):
     return run
 
 
-def components(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, root) of every node with an edge; root is the smallest node reached.
 
     ``edges`` has the keys and long node numbers a and b, unique within keys.
@@ -73,17 +73,13 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataF
     star = oriented(edges.select(*keys, F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")))
     local = spread(star, *keys, F.floor(F.col("u") / 65536)).sortWithinPartitions(*keys, "u")
     star = cut_lineage(oriented(local.mapInPandas(_contract(cols), star.schema)))
-    for _ in range(max_rounds):
-        if settled(star):
-            break
+    while not settled(star):
         both = star.unionByName(star.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = oriented(both.join(least, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
         lower = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(lower, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut_lineage(oriented(small.unionByName(lower.select(*keys, "u", F.col("m").alias("v")))))
-    else:
-        raise RuntimeError("components did not converge")
     return (star.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(star.select(*keys, F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 

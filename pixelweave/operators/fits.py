@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators.aggregate import histogram
 from pixelweave.operators.temporal import frame_means
 from pixelweave.schemas import frame_keys, movie_keys
 from pixelweave.session import attach, cut_lineage
@@ -21,11 +21,12 @@ from pixelweave.session import attach, cut_lineage
 GRID = 24
 
 
-def _grid_fit(df: DataFrame, keys: list[str], t: str, y: str, low: Column, high: Column, rounds: int = 4) -> DataFrame:
+def _grid_fit(df: DataFrame, keys: list[str], t: str, y: str, low: Column, high: Column, rounds: int = 4, falling: bool = True) -> DataFrame:
     """Least squares of y = a exp(-k t) + c: keys, k, a, c, sse, sst, n.
 
     ``low`` and ``high`` bound log k per key (columns of the key's extent);
-    each round splits the bracket into GRID steps and keeps the best two.
+    each round splits the bracket into GRID steps and keeps the best two. Without
+    ``falling`` a is 0 at most: where the best line falls, the best allowed one is flat.
     """
     base = cut_lineage(df.select(*keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")).where("_y is not null"))
     ext = base.groupBy(*keys).agg(F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.count(F.lit(1)).alias("n")).where("n >= 3 and t1 > t0")
@@ -38,8 +39,12 @@ def _grid_fit(df: DataFrame, keys: list[str], t: str, y: str, low: Column, high:
         g = F.exp(-F.col("k") * F.col("_t"))
         sums = rows.groupBy(*keys, "i", "k", "_lo", "_hi").agg(
             F.regr_slope("_y", g).alias("a"), F.regr_intercept("_y", g).alias("c"), F.regr_syy("_y", g).alias("sst"),
-            F.regr_sxy("_y", g).alias("_sxy"), F.count(F.lit(1)).alias("n"))
+            F.regr_sxy("_y", g).alias("_sxy"), F.avg(g).alias("_mean"), F.count(F.lit(1)).alias("n"))
         sums = sums.withColumn("sse", F.greatest(F.col("sst") - F.col("a") * F.col("_sxy"), F.lit(0.0))).where("a is not null")
+        if not falling:
+            flat = F.col("a") > 0
+            sums = sums.withColumns({"c": F.when(flat, F.col("c") + F.col("a") * F.col("_mean")).otherwise(F.col("c")),
+                                     "sse": F.when(flat, F.col("sst")).otherwise(F.col("sse"))}).withColumn("a", F.least("a", F.lit(0.0)))
         best = cut_lineage(sums.groupBy(*keys).agg(F.min_by(F.struct("k", "a", "c", "sse", "sst", "n", "i", "_lo", "_hi"), F.struct("sse", "i")).alias("b")).select(*keys, "b.*"))
         step = (F.col("_hi") - F.col("_lo")) / GRID
         bracket = best.select(*keys, (F.ln("k") - step).alias("_lo"), (F.ln("k") + step).alias("_hi"))
@@ -65,10 +70,10 @@ def fit_exp_decay(traces: DataFrame, keys: list[str] | None = None, t: str = "t"
 def fit_exp_recovery(traces: DataFrame, keys: list[str] | None = None, t: str = "t", y: str = "value") -> DataFrame:
     """A (1 - exp(-t / tau)) + c per trace; the mobile fraction is the plateau A + c.
 
-    The same line in exp(-t / tau): A = -a and the plateau is the intercept.
+    The same line in exp(-t / tau): A = -a, 0 at least, and the plateau is the intercept.
     """
     keys = keys or ["trace_id"]
-    return _grid_fit(traces, keys, t, y, *_rate_bounds()).select(
+    return _grid_fit(traces, keys, t, y, *_rate_bounds(), falling=False).select(
         *keys, (1 / F.col("k")).alias("tau"), (-F.col("a")).alias("amplitude"), (F.col("c") + F.col("a")).alias("offset"),
         F.col("c").alias("mobile_fraction"), (1 - F.col("c")).alias("immobile_fraction"), _r2())
 
@@ -89,25 +94,36 @@ def bleach_exponential(df: DataFrame) -> DataFrame:
     return attach(df, rows.select(*keys, scale.alias("_k")), keys).withColumn("value", F.col("value") * F.col("_k")).drop("_k")
 
 
-def cdf_diffusion(steps: DataFrame, dt: float, components: int = 1, bins: int = 2000) -> DataFrame:
+def _distribution(steps: DataFrame, edges: list[float], n: int) -> DataFrame:
+    """(r2, f): the share of squared steps up to each edge."""
+    ends = [-float("inf"), *(math.nextafter(e, math.inf) for e in edges), float("inf")]
+    slots = Bucketizer(splits=ends, inputCol="r2", outputCol="i").transform(steps.select(F.col("r2").cast("double").alias("r2")).where("r2 is not null"))
+    counts = {int(r["i"]): r["n"] for r in slots.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per edge
+    total, rows = 0, []
+    for i, e in enumerate(edges):
+        total += counts.get(i, 0)
+        rows.append((float(e), total / n))
+    return steps.sparkSession.createDataFrame(rows, "r2 double, f double")
+
+
+def cdf_diffusion(steps: DataFrame, dt: float, components: int = 1, bins: int = 500) -> DataFrame:
     """Diffusion coefficients from the distribution of squared steps ``r2``.
 
-    The distribution is binned once (bounded size); candidates on a log grid of
-    D, or of (D1 < D2) with the fraction in closed form, are scored by squared
-    error at the bin edges and refined around the best.
+    The distribution is taken at ``bins`` of its own quantiles, so far steps do
+    not coarsen the rest. Candidates on a log grid of D around the median, or of
+    (D1 < D2) with the fraction in closed form, are scored by squared error
+    there and refined around the best. Fewer than five steps give no row.
     """
-    ext = steps.agg(F.max("r2").alias("top"), F.avg("r2").alias("mean"), F.count("r2").alias("n")).first()
-    if ext["n"] is None or ext["n"] < 5 or not ext["mean"]:
-        return steps.sparkSession.range(0).select(F.lit(0.0).alias("d1"))
-    width = ext["top"] / bins
-    hist = histogram(steps, "r2", bins, bounds=(0.0, float(ext["top"])))
-    # at most ``bins`` rows: one array
-    table = hist.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    running = F.aggregate(counts, F.array(F.lit(0.0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c / float(ext["n"]))))
-    curve = cut_lineage(table.select(F.posexplode(F.slice(running, 2, bins)).alias("i", "f")).select(((F.col("i") + 1) * width).alias("r2"), "f"))
-    guess = math.log(ext["mean"] / (4 * dt))
-    lo, hi, lo2, hi2 = guess - 5, guess + 3, guess - 5, guess + 3
+    two = components == 2
+    schema = "d1 double, sse double, n_steps long" + (", d2 double, f1 double, f2 double" if two else "")
+    probs = [(i + 1) / bins for i in range(bins)]
+    ext = steps.agg(F.percentile_approx("r2", probs, 20 * bins).alias("q"), F.percentile_approx("r2", 0.5, 10_000).alias("middle"),
+                    F.avg("r2").alias("mean"), F.count("r2").alias("n")).first()
+    if ext["n"] < 5 or not ext["mean"]:
+        return steps.sparkSession.createDataFrame([], schema)
+    curve = _distribution(steps, sorted(set(ext["q"])), ext["n"])
+    guess = math.log((ext["middle"] / math.log(2) if ext["middle"] > 0 else ext["mean"]) / (4 * dt))
+    lo, hi, lo2, hi2 = guess - 5, guess + 5, guess - 5, guess + 5
     best = None
     for _ in range(4):
         def axis(a, b):
@@ -134,7 +150,5 @@ def cdf_diffusion(steps: DataFrame, dt: float, components: int = 1, bins: int =
         if at[1]:
             lo2, hi2 = math.log(at[1]) - s2, math.log(at[1]) + s2
         best = row
-    out = {"d1": best["d1"], "sse": best["sse"], "n_steps": ext["n"]}
-    if components == 2:
-        out |= {"d2": best["d2"], "f1": best["w"], "f2": 1 - best["w"]}
-    return steps.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in out.items()])
+    row = (best["d1"], best["sse"], ext["n"], *((best["d2"], best["w"], 1 - best["w"]) if two else ()))
+    return steps.sparkSession.createDataFrame([row], schema)

@@ -335,32 +335,49 @@ def drift_fiducial_apply(locs: DataFrame, n_frames: int, min_presence: float = 0
     return apply_drift(locs, drift_from_fiducials(fiducial_identify(locs, n_frames, min_presence, brightness), n_frames, half_window))
 
 
-def drift_crosscorr(locs: DataFrame, n_frames: int, pixel: float, segment_frames: int = 500, max_shift: int = 8, half_window: int = 50) -> DataFrame:
+def _field_peak(max_shift: int | None):
+    """Task code: bins (by, bx, c, rc) of a segment to the peak of their linear correlation, refined by a parabola."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pdf[c].to_numpy() - pdf[c].min() for c in ("by", "bx"))
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        seg, ref = np.zeros((2, 2 * h, 2 * w))  # padded, so that offsets do not wrap
+        seg[y, x], ref[y, x] = pdf["c"], pdf["rc"]
+        corr = np.rint(np.fft.irfft2(np.conj(np.fft.rfft2(seg)) * np.fft.rfft2(ref), s=seg.shape))
+        dy, dx = (np.where(np.arange(n) >= n // 2, np.arange(n) - n, np.arange(n)) for n in corr.shape)
+        if max_shift is not None:
+            corr[(np.abs(dy)[:, None] > max_shift) | (np.abs(dx)[None] > max_shift)] = -1
+        top = np.flatnonzero(corr.ravel() == corr.max())
+        cost = (dy[:, None] ** 2 + dx[None] ** 2).ravel()
+        i, j = np.unravel_index(top[np.argmin(cost[top])], corr.shape)
+
+        def refine(before, after):
+            bend = 2 * corr[i, j] - before - after
+            return 0.0 if min(before, after) < 0 or abs(bend) <= 1e-10 else (after - before) / (2 * bend)
+
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "sx": [dx[j] + refine(corr[i, j - 1], corr[i, (j + 1) % (2 * w)])],
+                             "sy": [dy[i] + refine(corr[i - 1, j], corr[(i + 1) % (2 * h), j])]})
+
+    return run
+
+
+def drift_crosscorr(locs: DataFrame, n_frames: int, pixel: float, segment_frames: int = 500, max_shift: int | None = None, half_window: int = 50) -> DataFrame:
     """(frame, drift_x, drift_y) from correlating segment histograms with the first.
 
-    A bin of a segment meets only the reference bins at most max_shift away;
-    the peak is refined by a parabola and interpolated over frames.
+    The whole field is searched, or ``max_shift`` bins where a bound is known. A
+    segment and the reference bins are one group, no larger than the field. The
+    peak is refined by a parabola and interpolated over frames. Drift is the
+    way the points have moved since the first segment.
     """
     seg = F.floor(F.col("frame") / segment_frames).cast("int").alias("segment")
     hist = cut_lineage(locs.groupBy(seg, F.floor(F.col("y") / pixel).cast("int").alias("by"), F.floor(F.col("x") / pixel).cast("int").alias("bx")).agg(F.count(F.lit(1)).cast("double").alias("c")))
-    span = F.sequence(F.lit(-max_shift), F.lit(max_shift))
-    ref = hist.where("segment = 0").select(F.col("by").alias("ry"), F.col("bx").alias("rx"), F.col("c").alias("rc"))
-    shifted = hist.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span)).withColumn("ry", F.col("by") + F.col("dy")).withColumn("rx", F.col("bx") + F.col("dx"))
-    corr = attach(shifted, ref, ["ry", "rx"], "inner").groupBy("segment", "dy", "dx").agg(F.sum(F.col("c") * F.col("rc")).alias("s"))
-    # at most (2 max_shift + 1)^2 values per segment
-    table = corr.groupBy("segment").agg(F.max_by(F.struct("dy", "dx", "s"), F.struct("s", -F.col("dy") * F.col("dy") - F.col("dx") * F.col("dx"), "dy", "dx")).alias("p"),
-                                        F.map_from_entries(F.collect_list(F.struct((F.col("dy") * 1000 + F.col("dx")).alias("k"), "s"))).alias("m"))
-
-    def near(ddy, ddx):
-        return F.try_element_at("m", (F.col("p.dy") + ddy) * 1000 + F.col("p.dx") + ddx)
-
-    def sub(a, b):
-        den = 2 * F.col("p.s") - a - b
-        return F.coalesce(F.when(F.abs(den) > 1e-10, (b - a) / (2 * den)), F.lit(0.0))
-
+    ref = hist.where("segment = 0").select("by", "bx", F.col("c").alias("rc"))
+    segments = hist.select("segment").distinct()
+    # one row for every bin of a segment and every reference bin
+    sides = hist.withColumn("rc", F.lit(0.0)).unionByName(
+        ref.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments.agg(F.max("segment")).first()[0] or 0)))).withColumn("c", F.lit(0.0)))
+    bins = sides.groupBy("segment", "by", "bx").agg(F.sum("c").alias("c"), F.sum("rc").alias("rc"))
+    peaks = bins.join(segments, "segment", "left_semi").groupBy("segment").applyInPandas(_field_peak(max_shift), "segment int, sx double, sy double")
     centre = (F.col("segment") * segment_frames + F.least((F.col("segment") + 1) * segment_frames, F.lit(n_frames))) / 2
     # the reference peak sits at minus the drift of the segment
-    per = table.select(centre.cast("long").alias("frame"),
-                       (-(F.col("p.dx") + sub(near(0, -1), near(0, 1))) * pixel).alias("drift_x"),
-                       (-(F.col("p.dy") + sub(near(-1, 0), near(1, 0))) * pixel).alias("drift_y"))
+    per = peaks.select(centre.cast("long").alias("frame"), (-F.col("sx") * pixel).alias("drift_x"), (-F.col("sy") * pixel).alias("drift_y"))
     return cut_lineage(_smooth_series(_fill_linear(per, ["drift_x", "drift_y"], n_frames), ["drift_x", "drift_y"], half_window))

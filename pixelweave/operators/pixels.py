@@ -272,10 +272,25 @@ def resize(df: DataFrame, factor: int) -> DataFrame:
         F.sum(val() * F.col("_y.wt") * F.col("_x.wt")).alias("value"))
 
 
-def shear_transform(df: DataFrame, theta: float, shift_factor: float) -> DataFrame:
-    """Sheared coordinates of a volume with z planes, without interpolation:
-    each plane slides along y by z * shift_factor * cos(theta), rounded."""
+def shear_transform(df: DataFrame, theta: float, shift_factor: int = 1, rows: str = "z", cols: str = "x") -> DataFrame:
+    """Oblique planes straightened: the (rows, cols) plane under [[1, cos t], [0, sin t]], nearest samples.
+
+    ``rows`` is first repeated ``shift_factor`` times. A target (r, c) takes the
+    source at (r - c cos t / sin t, c / sin t), both rounded half to even, so a
+    source pixel knows its targets: the columns and rows that round to it. Other
+    coordinates stay. Targets that no source reaches have no row and stand for 0.
+    """
     import math
 
-    step = shift_factor * math.cos(math.radians(theta))
-    return df.withColumn("y", (F.col("y") + F.bround(F.col("z") * step)).cast("int"))
+    lean, narrow = math.cos(math.radians(theta)), math.sin(math.radians(theta))
+
+    def near(v):
+        return F.sequence(F.floor(v).cast("int") - 1, F.ceil(v).cast("int") + 1)
+
+    c = F.filter(near(F.col(cols) * narrow), lambda k: (k >= 0) & (F.bround(k / narrow) == F.col(cols)))
+    out = df.withColumn("_c", F.explode(c))
+    source = F.explode(F.sequence(F.col(rows) * shift_factor, F.col(rows) * shift_factor + shift_factor - 1))
+    out = out.withColumn("_z", source).withColumn("_s", F.col("_c") * lean / narrow)
+    r = F.filter(near(F.col("_z") + F.col("_s")), lambda k: (k >= 0) & (F.bround(k - F.col("_s")) == F.col("_z")))
+    out = out.withColumn("_r", F.explode(r))
+    return out.drop(rows, cols, "_z", "_s").withColumnsRenamed({"_r": rows, "_c": cols}).select(*df.columns)

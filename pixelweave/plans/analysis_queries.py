@@ -212,7 +212,7 @@ def _(spark, sf):
 
 @query("motion_correction")
 def _(spark, sf):
-    return out(AL.motion_correction(fx.stack(spark, sf), 0, 1))
+    return out(AL.motion_correction(fx.stack(spark, sf), 0))
 
 
 @query("channel_alignment", f"""WITH {fx.CHANNELS} SELECT a.movie_id, a.frame, a.y, a.x, a.value AS v1, b.value AS v2 FROM chan a JOIN chan b ON a.movie_id = b.movie_id AND a.frame = b.frame AND a.y = b.y + 1 AND a.x = b.x + 2 WHERE a.c = 0 AND b.c = 1""", "v1 v2")
@@ -224,7 +224,7 @@ def _(spark, sf):
 @query("stitch_images")
 def _(spark, sf):
     ch = fx.channels(spark, sf)
-    return out(AL.stitch_images(P.split_channel(ch, 0), P.split_channel(ch, 1), 3, "horizontal", 1))
+    return out(AL.stitch_images(P.split_channel(ch, 0), P.split_channel(ch, 1), 3, "horizontal"))
 
 
 @query("linescan", f"WITH {ST} SELECT movie_id, frame, CAST(x - 1 AS INT) AS pos, max(value) AS value FROM stack WHERE x BETWEEN 1 AND 6 AND y BETWEEN 3 AND 5 GROUP BY 1, 2, 3", "value")
@@ -237,9 +237,10 @@ def _(spark, sf):
     return AL.kymograph(fx.stack(spark, sf), [(1.0, 1.0), (6.0, 5.0)], 1, 2, True, 1.0, True)
 
 
-@query("shear_transform", f"WITH {fx.CHANNELS} SELECT movie_id, frame, c AS z, CAST(y + round_even(c * 2.0 * cos(radians(30)), 0) AS INT) AS y, x, value FROM chan", "value")
+@query("shear_transform", f"""WITH {fx.CHANNELS}, target AS (SELECT r::INT AS r, c::INT AS c, CAST(round_even(r - c * cos(radians(30)) / sin(radians(30)), 0) AS INT) AS z, CAST(round_even(c / sin(radians(30)), 0) AS INT) AS x
+  FROM range(0, 12) a(r), range(0, 5) b(c)) SELECT movie_id, frame, t.r AS z, y, t.c AS x, value FROM target t JOIN chan s ON s.x = t.x AND s.c = t.z // 2 AND t.z BETWEEN 0 AND 3""", "value")
 def _(spark, sf):
-    return P.shear_transform(fx.channels(spark, sf).withColumnRenamed("c", "z"), 30.0, 2.0).drop("h", "w")
+    return P.shear_transform(fx.channels(spark, sf).withColumnRenamed("c", "z"), 30.0, 2).drop("h", "w")
 
 
 # -- spectra ----------------------------------------------------------------
@@ -355,10 +356,10 @@ def _(spark, sf):
     return LF.from_spt_csv(raw)
 
 
-@query("write_locs_json", f"WITH {fx.TRACKS} SELECT track_id, CAST(frame // 10000 AS BIGINT) AS part, count(*) AS n, min(frame) AS first, max(frame) AS last FROM trk GROUP BY 1, 2")
+@query("write_locs_json", f"WITH {fx.TRACKS} SELECT track_id, count(*) AS n, min(frame) AS first, max(frame) AS last FROM trk GROUP BY 1")
 def _(spark, sf):
     d = LF.track_documents(fx.tracks(spark, sf))
-    return d.select("track_id", "part", F.size("points").cast("long").alias("n"), F.col("points")[0]["frame"].alias("first"), F.element_at("points", -1)["frame"].alias("last"))
+    return d.select("track_id", F.size("points").cast("long").alias("n"), F.col("points")[0]["frame"].alias("first"), F.element_at("points", -1)["frame"].alias("last"))
 
 
 @query("read_locs_json", f"WITH {fx.TRACKS} SELECT track_id, CAST(frame AS BIGINT) AS frame, x, y, intensity FROM trk", "x y intensity")
@@ -394,14 +395,14 @@ def folder(spark) -> str:
 @query("stream_fps", "SELECT event_type AS source, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS frames FROM events GROUP BY 1, 2")
 def _(spark, sf):
     at = folder(spark)
-    S.run_available(S.fps(event_stream(spark, sf)), at)
+    S.run_available(S.fps(event_stream(spark, sf), None), at)
     return S.newest(spark.read.parquet(f"{at}/out"), ["source", "second"]).withColumn("second", F.col("second").cast("long"))
 
 
 @query("stream_timelapse", "SELECT source, slot, m.frame AS frame, m.value AS value FROM (SELECT event_type AS source, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, min({'ts': ts, 'frame': event_id, 'value': value}) AS m FROM events GROUP BY 1, 2) AS g", "value")
 def _(spark, sf):
     at = folder(spark)
-    S.run_available(S.timelapse(event_stream(spark, sf), "1 hour", ["frame", "value"]), at)
+    S.run_available(S.timelapse(event_stream(spark, sf), "1 hour", ["frame", "value"], None), at)
     return S.newest(spark.read.parquet(f"{at}/out"), ["source", "slot"]).select("source", F.floor(F.col("slot").cast("long") / 3600).alias("slot"), "frame", "value")
 
 
@@ -432,7 +433,7 @@ def _(spark, sf):
     grid = fx.table(spark, sf, "events").select(F.floor(k / 10).cast("int").alias("y"), (k % 10).alias("x"))
     mask = M.mask_from(grid, F.col("y").between(2, 6))
     at = folder(spark)
-    S.run_available(S.roi_trace_stream(pixels, mask), at)
+    S.run_available(S.roi_trace_stream(pixels, mask, None), at)
     return S.newest(spark.read.parquet(f"{at}/out"), ["ts", "source", "frame"]).select(F.unix_micros("ts").alias("ts_us"), "source", "frame", "value")
 
 
@@ -442,7 +443,7 @@ def _(spark, sf):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     points = raw.select(F.col("event_type").alias("source"), F.col("event_id").alias("id"), F.floor(F.unix_timestamp("ts") / 3600).alias("frame"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
     at = folder(spark)
-    S.run_available(S.link(points, 5.0, 1), at, "append")
+    S.run_available(S.link(points, 5.0, 1, whole_frames=True), at, "append")
     return spark.read.parquet(f"{at}/out").drop("batch_no")
 
 

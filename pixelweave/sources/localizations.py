@@ -11,6 +11,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.operators.blocks import union_all
 # Header aliases of localization tables, lower case.
 ALIASES = {
     "track_id": ("track_id", "track_number", "trackid", "particle"),
@@ -139,16 +140,20 @@ def read_spt_csv(spark: SparkSession, path: str) -> DataFrame:
     return from_spt_csv(_csv(spark, path))
 
 
-def _one_per_line(spark: SparkSession, path: str) -> bool:
-    """Whether the files hold a document per line (as written here) or one document each."""
-    head = spark.read.text(path).where(F.trim("value") != "").first()
-    line = head[0].strip() if head else ""
-    return line.startswith("{") and line.endswith("}")
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files that hold a document per line (as written here), and files that are one document."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")).where("line <> ''")
+    whole = F.startswith("line", F.lit("{")) & F.get_json_object("line", "$").isNotNull()
+    files = lines.groupBy("file").agg(F.bool_and(whole).alias("by_line")).collect()  # a row per file
+    return [r.file for r in files if r.by_line], [r.file for r in files if not r.by_line]
 
 
 def read_locs_json(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.schema(JSON_SCHEMA).option("multiLine", not _one_per_line(spark, path))
-    return from_json_documents(reader.json(path))
+    """Localizations of JSON files of either form, also of both in one folder."""
+    by_line, single = _json_files(spark, path)
+    reader = spark.read.schema(JSON_SCHEMA)
+    docs = [reader.option("multiLine", multi).json(files) for multi, files in ((False, by_line), (True, single)) if files]
+    return from_json_documents(union_all(docs) if docs else spark.createDataFrame([], JSON_SCHEMA))
 
 
 def read_spt_json(spark: SparkSession, path: str) -> DataFrame:
@@ -236,10 +241,10 @@ def to_particle_csv(df: DataFrame, pixel_size: float = DEFAULT_PIXEL) -> DataFra
                      (F.col("y") * pixel_size).alias("y [nm]"), F.col("intensity").alias("intensity [photon]"), *optional, *offset)
 
 
-def track_documents(df: DataFrame, block: int = 10_000) -> DataFrame:
-    """One JSON document per track (and block of frames of a long one) with its points in frame order."""
+def track_documents(df: DataFrame) -> DataFrame:
+    """One JSON document per track with its points in frame order; a track is as long as its document."""
     point = F.struct("frame", "x", "y", "intensity")
-    return df.groupBy("track_id", F.floor(F.col("frame") / block).alias("part")).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    return df.groupBy("track_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
 def write_thunderstorm(df: DataFrame, path: str, pixel_size: float = DEFAULT_PIXEL) -> None:

@@ -125,8 +125,61 @@ def test_motion_correction_recovers_shift(stack_of, array_of):
     a = np.zeros((2, 10, 10))
     a[0, 4:6, 4:7] = 10
     a[1, 5:7, 3:6] = 10
-    out = array_of(AL.motion_correction(stack_of(a), 0, 2))
+    for reach in (2, None):
+        out = array_of(AL.motion_correction(stack_of(a), 0, reach))
+        np.testing.assert_array_equal(out[1], a[0])
+
+
+def test_motion_of_a_third_of_the_frame(stack_of, array_of):
+    rng = np.random.default_rng(3)
+    a = np.zeros((3, 24, 30))
+    a[0, 8:16, 10:20] = rng.uniform(1, 9, (8, 10))
+    a[1] = np.roll(a[0], (-8, 10), (0, 1))
+    a[2] = np.roll(a[0], (5, -10), (0, 1))
+    shifts = {r.frame: (r.dy, r.dx) for r in AL.frame_shifts(stack_of(a)).collect()}
+    assert shifts == {0: (0, 0), 1: (-8, 10), 2: (5, -10)}
+    out = array_of(AL.motion_correction(stack_of(a)))
     np.testing.assert_array_equal(out[1], a[0])
+    np.testing.assert_array_equal(out[2], a[0])
+    flat = np.full((2, 6, 6), 3.0)
+    assert {(r.dy, r.dx) for r in AL.frame_shifts(stack_of(flat)).collect()} == {(0, 0)}
+
+
+def test_stitching_takes_one_shift_in_both_directions(stack_of, array_of):
+    scene = np.random.default_rng(4).uniform(1, 9, (2, 30, 60))
+    a, b = scene[:, 5:25, :36], scene[:, 8:28, 22:58]  # b starts 3 rows lower; 14 columns are shared, 12 expected
+    for turn in (False, True):
+        p, q = (np.swapaxes(v, 1, 2) if turn else v for v in (a, b))
+        out = array_of(AL.stitch_images(stack_of(p), stack_of(q), 12, "vertical" if turn else "horizontal"))
+        out = np.swapaxes(out, 1, 2) if turn else out
+        assert out.shape == (2, 23, 58)
+        np.testing.assert_allclose(out[:, :20, :36], a)
+        np.testing.assert_allclose(out[:, 3:, 22:], b)
+
+
+def test_kymograph_detrend_and_bins(spark, stack_of):
+    t = np.arange(7.0)
+    a = np.broadcast_to((5 + 2 * t)[:, None, None], (7, 4, 6)) + np.arange(6.0)
+    rows = AL.kymograph(stack_of(a), [(0.0, 1.0), (5.0, 1.0)], 1, 2, detrend=True).collect()
+    assert {r.bin for r in rows} == {0, 1, 2} and max(abs(r.value) for r in rows) < 1e-9
+
+
+def test_shear_equals_backward_sampling(spark):
+    rng = np.random.default_rng(5)
+    a = rng.uniform(1, 9, (3, 2, 5))  # z, y, x
+    rows = [("m", 0, z, y, x, float(a[z, y, x])) for z in range(3) for y in range(2) for x in range(5)]
+    df = spark.createDataFrame(rows, "movie_id string, frame int, z int, y int, x int, value double")
+    for theta, factor in ((45.0, 1), (30.0, 2), (60.0, 3)):
+        up = np.repeat(a, factor, axis=0)
+        h, s = np.cos(np.radians(theta)), np.sin(np.radians(theta))
+        want = {}
+        for r in range(int(np.ceil(len(up) - 1 + 4 * h)) + 1):
+            for c in range(int(np.ceil(4 * s)) + 1):
+                z, x = int(np.round(r - c * h / s)), int(np.round(c / s))
+                if 0 <= z < len(up) and 0 <= x < 5:
+                    want |= {(r, y, c): up[z, y, x] for y in range(2)}
+        got = {(r.z, r.y, r.x): r.value for r in P.shear_transform(df, theta, factor).collect()}
+        assert got == want
 
 
 def test_radial_and_phasor_on_a_spot(stack_of, spark):

@@ -158,6 +158,45 @@ def test_fits_recover_parameters(spark):
     assert abs(c.d1 - 1.5) < 0.1
 
 
+def test_step_fit_ignores_a_far_step(spark):
+    r2 = [*np.random.default_rng(13).exponential(4 * 1.5, size=4000), 1e6]
+    steps = spark.createDataFrame([(float(v),) for v in r2], "r2 double")
+    one, two = FT.cdf_diffusion(steps, 1.0, 1), FT.cdf_diffusion(steps.limit(4), 1.0, 1)
+    assert abs(one.first().d1 - 1.5) < 0.1
+    assert two.count() == 0 and two.schema.names == one.schema.names
+    mix = np.random.default_rng(14).permutation([*np.random.default_rng(15).exponential(4 * 0.1, 3000), *np.random.default_rng(16).exponential(4 * 5.0, 3000)])
+    r = FT.cdf_diffusion(spark.createDataFrame([(float(v),) for v in mix], "r2 double"), 1.0, 2).first()
+    assert abs(r.d1 - 0.1) < 0.03 and abs(r.d2 - 5.0) < 0.7 and abs(r.f1 - 0.5) < 0.05
+
+
+def test_recovery_has_no_negative_amplitude(spark):
+    rows = [("f", i, float(5 * np.exp(-i / 8.0) + 1)) for i in range(40)]
+    r = FT.fit_exp_recovery(spark.createDataFrame(rows, "trace_id string, t int, value double")).first()
+    assert abs(r.amplitude) < 1e-12 and abs(r.mobile_fraction - np.mean([v for _, _, v in rows])) < 1e-6
+
+
+def test_equal_boxes_without_area_stay(spark):
+    rows = [(1, i, 3.0, 3.0, 0.0, 5.0, 0.5) for i in range(3)] + [(1, 10 + i, 20.0, 20.0, 4.0, 4.0, 0.5) for i in range(3)]
+    df = spark.createDataFrame(rows, "image_id int, id long, x double, y double, width double, height double, confidence double")
+    assert sorted(r.id for r in B.nms_boxes(df, 0.5).collect()) == [0, 1, 2, 10]
+
+
+def test_neighbours_however_far(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1, (300, 2)))] + [(300, 1e6, 1e6)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").withColumn("frame", F.lit(0))
+    got = {r.id: r.nn_dist for r in S.nearest_neighbour(df, ["frame"]).collect()}
+    p = np.array([r[1:] for r in rows])
+    d = np.hypot(*(p[:, None] - p[None]).T)
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose([got[i] for i in range(301)], d.min(axis=0))
+    far = spark.createDataFrame([(0, 0.0, 0.0, 0), (1, 1000.0, 0.0, 0)], "id long, x double, y double, frame int")
+    assert [r.nn_dist for r in S.nearest_neighbour(far, ["frame"], start_radius=1e-9).collect()] == [1000.0, 1000.0]
+    pos = S.positions(df, ["frame"])
+    radius = S._typical_spacing(pos, ["frame"], 1e6)
+    assert S.range_join(pos, pos, radius, ["frame"]).count() < 60 * 301
+
+
 def test_regimes_of_a_straight_track(spark):
     df = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(30)], "track_id long, frame int, x double, y double")
     # the first and last points see too few steps for a direction and are absorbed
@@ -171,3 +210,11 @@ def test_drift_of_a_moving_field(spark):
     drift = {r.frame: r for r in L.drift_crosscorr(points(spark, rows), 400, 0.5, 100, 20, 0).collect()}
     assert abs(drift[350].drift_x - drift[50].drift_x - 6.0) < 0.6
     assert abs(drift[350].drift_y - drift[50].drift_y + 3.0) < 0.6
+
+
+def test_drift_of_a_third_of_the_field(spark):
+    rng = np.random.default_rng(18)
+    spots = rng.uniform(0, 90, size=(80, 2))
+    rows = [(f, float(x + (30.0 if f >= 100 else 0.0)), float(y - (20.0 if f >= 100 else 0.0))) for f in range(0, 200, 2) for x, y in spots]
+    drift = {r.frame: r for r in L.drift_crosscorr(points(spark, rows), 200, 1.0, 100, half_window=0).collect()}
+    assert abs(drift[150].drift_x - drift[50].drift_x - 30) < 0.6 and abs(drift[150].drift_y - drift[50].drift_y + 20) < 0.6

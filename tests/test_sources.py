@@ -82,13 +82,64 @@ def test_rois_counts_and_summary(spark, tmp_path):
     assert out["a"].mean_track_length == 2.0 and abs(out["a"].linking_efficiency - 2 / 3) < 1e-12 and out["b"].error == "broken"
 
 
-def test_stream_link_two_batches(spark, tmp_path):
-    schema = "source string, id long, frame long, x double, y double"
-    rows = [("s", i * 2 + k, i, 10.0 * k + i, 5.0) for i in range(6) for k in range(2)]
-    for part, chunk in enumerate((rows[:6], rows[6:])):
-        spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    S.run_available(S.link(stream, 3.0, 1), str(tmp_path / "out"), "append")
-    got = spark.read.parquet(str(tmp_path / "out" / "out")).collect()
-    assert len(got) == 12 and {r.id % 2: {q.track_id for q in got if q.id % 2 == r.id % 2} for r in got}.values() is not None
-    assert all(len({r.track_id for r in got if r.id % 2 == k}) <= 2 for k in (0, 1))
+LINK = "source string, id long, frame long, x double, y double"
+
+
+def linked(spark, tmp_path, batches, **options):
+    for part, chunk in enumerate(batches):
+        spark.createDataFrame(chunk, LINK).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema(LINK).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.run_available(S.link(stream, 3.0, 1, **options), str(tmp_path / "out"), "append")
+    return {(r.source, r.id): r.track_id for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()}
+
+
+def two_beads(frames):
+    return [("s", i * 2 + k, i, 10.0 * k + i, 5.0) for i in frames for k in range(2)]
+
+
+def batch_link(spark, rows):
+    return {(r.source, r.id): r.track_id for r in S.link_batch(spark.createDataFrame(rows, LINK), 3.0, 1).collect()}
+
+
+def test_stream_link_equals_the_batch_twin(spark, tmp_path):
+    rows = [*two_beads([0, 1, 2, 4, 7, 8]), ("t", 1, 0, 0.0, 0.0), ("t", 2, 1, 0.5, 0.0)]
+    want = batch_link(spark, rows)
+    assert len(set(want.values())) == 4 and want["s", 0] == want["s", 8] != want["s", 14]  # a gap of one is bridged, of two not
+    got = linked(spark, tmp_path, [rows[:6], rows[6:]], whole_frames=True)
+    assert got == want
+
+
+def test_stream_link_waits_for_the_rest_of_a_frame(spark, tmp_path):
+    """Frame 3 comes in two batches: its two beads must not share a track, and frame 5 is still open at the end."""
+    rows = two_beads(range(6))
+    got = linked(spark, tmp_path, [rows[:7], rows[7:]])
+    want = batch_link(spark, rows)
+    assert got == {k: v for k, v in want.items() if k[1] < 10}
+    assert got["s", 6] != got["s", 7]
+
+
+def test_stream_link_marks_late_points(spark, tmp_path):
+    rows = two_beads(range(6))
+    got = linked(spark, tmp_path, [rows[:4], rows[4:8], [("s", 99, 1, 1.0, 5.0)], rows[8:]])
+    assert got.pop(("s", 99)) == -1
+    assert got == {k: v for k, v in batch_link(spark, rows).items() if k[1] < 10}
+
+
+def test_late_rows_count_without_a_watermark(spark, tmp_path):
+    rows = [("2024-01-01 00:00:30", "a", 1), ("2024-01-01 00:00:00", "a", 2)]
+    for part, row in enumerate(rows):
+        spark.createDataFrame([row], "ts string, source string, frame int").selectExpr("timestamp(ts) AS ts", "source", "frame").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema("ts timestamp, source string, frame int").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.run_available(S.fps(stream, None), str(tmp_path / "out"))
+    assert S.newest(spark.read.parquet(str(tmp_path / "out" / "out")), ["source", "second"]).count() == 2
+
+
+def test_json_of_both_forms_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"localizations": [{"frame": 0, "x": 1, "y": 2, "intensity": 3}]}\n{"localizations": [{"frame": 1, "x": 1, "y": 2, "intensity": 3}]}\n')
+    (tmp_path / "b.json").write_text(json.dumps({"localizations": [{"frame": f, "x": 0, "y": 0, "intensity": 1} for f in (5, 6)]}, indent=1))
+    assert sorted(r.frame for r in LF.read_locs_json(spark, str(tmp_path)).collect()) == [0, 1, 5, 6]
+
+
+def test_a_long_track_is_one_document(spark, tmp_path):
+    df = spark.range(25_000).selectExpr("1L AS track_id", "id AS frame", "0.0D AS x", "0.0D AS y", "1.0D AS intensity")
+    assert LF.track_documents(df).count() == 1
