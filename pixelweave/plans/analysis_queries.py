@@ -76,7 +76,10 @@ def _(spark, sf):
     return D.centroid_detector(fx.stack(spark, sf), 0.1, 2, 2, border=0).drop("h", "w")
 
 
-@query("peak_local_max")
+@query("peak_local_max", f"""WITH {ST}, top AS (SELECT a.movie_id, a.frame, a.y, a.x, a.value, max(b.value) AS m, bool_or(b.value = a.value AND (b.y, b.x) < (a.y, a.x)) AS later
+   FROM stack a JOIN stack b ON a.movie_id = b.movie_id AND a.frame = b.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
+   WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 AND a.value > 0.1 GROUP BY ALL)
+  SELECT {PX}, value FROM top WHERE value = m AND NOT later QUALIFY row_number() OVER (PARTITION BY movie_id, frame ORDER BY value DESC, y, x) <= 3""", "value")
 def _(spark, sf):
     return out(D.peak_local_max(fx.stack(spark, sf), 1, 0.1, 3))
 
@@ -237,6 +240,14 @@ def _(spark, sf):
     return AL.kymograph(fx.stack(spark, sf), [(1.0, 1.0), (6.0, 5.0)], 1, 2, True, 1.0, True)
 
 
+@query("kymograph_detrend", f"""WITH {ST}, line AS (SELECT movie_id, CAST(frame // 4 AS INT) AS bin, CAST(x - 1 AS INT) AS pos, value, max(frame) OVER (PARTITION BY movie_id) AS last FROM stack WHERE y = 4 AND x BETWEEN 1 AND 6),
+   binned AS (SELECT movie_id, bin, pos, avg(value) AS value FROM line WHERE bin < (last + 1) // 4 GROUP BY 1, 2, 3),
+   fit AS (SELECT movie_id, pos, regr_slope(value, bin) AS k, regr_intercept(value, bin) AS c FROM binned GROUP BY 1, 2)
+  SELECT movie_id, bin, pos, value - k * bin - c AS value FROM binned JOIN fit USING (movie_id, pos)""", "value")
+def _(spark, sf):
+    return AL.kymograph(fx.stack(spark, sf), [(1.0, 4.0), (6.0, 4.0)], 1, 4, True)
+
+
 @query("shear_transform", f"""WITH {fx.CHANNELS}, target AS (SELECT r::INT AS r, c::INT AS c, CAST(round_even(r - c * cos(radians(30)) / sin(radians(30)), 0) AS INT) AS z, CAST(round_even(c / sin(radians(30)), 0) AS INT) AS x
   FROM range(0, 12) a(r), range(0, 5) b(c)) SELECT movie_id, frame, t.r AS z, y, t.c AS x, value FROM target t JOIN chan s ON s.x = t.x AND s.c = t.z // 2 AND t.z BETWEEN 0 AND 3""", "value")
 def _(spark, sf):

@@ -98,7 +98,13 @@ def _(spark, sf):
     return out(P.convert_color_space(rgb(spark, sf), "RGB to YCrCb"), "luma", "cb", "cr")
 
 
-@query("convert_color_space_lab")
+@query("convert_color_space_lab", f"""WITH {RGB}, lin AS (SELECT {PX}, CASE WHEN r > 0.04045 THEN pow((r + 0.055) / 1.055, 2.4) ELSE r / 12.92 END AS r,
+   CASE WHEN g > 0.04045 THEN pow((g + 0.055) / 1.055, 2.4) ELSE g / 12.92 END AS g, CASE WHEN b > 0.04045 THEN pow((b + 0.055) / 1.055, 2.4) ELSE b / 12.92 END AS b FROM sc),
+  xyz AS (SELECT {PX}, ({fn.SRGB_XYZ[0][0]} * r + {fn.SRGB_XYZ[0][1]} * g + {fn.SRGB_XYZ[0][2]} * b) / {fn.D65[0]} AS x_, ({fn.SRGB_XYZ[1][0]} * r + {fn.SRGB_XYZ[1][1]} * g + {fn.SRGB_XYZ[1][2]} * b) / {fn.D65[1]} AS y_,
+   ({fn.SRGB_XYZ[2][0]} * r + {fn.SRGB_XYZ[2][1]} * g + {fn.SRGB_XYZ[2][2]} * b) / {fn.D65[2]} AS z_ FROM lin),
+  f AS (SELECT {PX}, CASE WHEN x_ > 0.008856 THEN cbrt(x_) ELSE 7.787 * x_ + 16.0 / 116.0 END AS fx, CASE WHEN y_ > 0.008856 THEN cbrt(y_) ELSE 7.787 * y_ + 16.0 / 116.0 END AS fy,
+   CASE WHEN z_ > 0.008856 THEN cbrt(z_) ELSE 7.787 * z_ + 16.0 / 116.0 END AS fz FROM xyz)
+  SELECT {PX}, 116 * fy - 16 AS lightness, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b_axis FROM f""", "lightness a b_axis")
 def _(spark, sf):
     return out(P.convert_color_space(rgb(spark, sf), "RGB to LAB"), "lightness", "a", "b_axis")
 
@@ -183,7 +189,9 @@ region("roi_line", "y = floor((2 * 4 * x + 7) / 14)", lambda: M.on_line(0, 0, 7,
 region("roi_point", "x = 3 AND y = 5", lambda: M.at_point(3, 5))
 
 
-@query("roi_polygon")
+@query("roi_polygon", f"""WITH {ST}, edge(xa, ya, xb, yb) AS (VALUES (1.0, 1.0, 6.5, 2.0), (6.5, 2.0, 5.0, 6.5), (5.0, 6.5, 2.0, 5.5), (2.0, 5.5, 1.0, 1.0)),
+  grid AS (SELECT DISTINCT y, x FROM stack), inside AS (SELECT grid.y, grid.x FROM grid JOIN edge ON (ya <= grid.y) <> (yb <= grid.y) AND grid.x < xa + (grid.y - ya) * (xb - xa) / (yb - ya) GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+  SELECT {PX}, value FROM stack JOIN inside USING (y, x)""", "value")
 def _(spark, sf):
     return out(fx.stack(spark, sf).where(M.in_polygon([(1.0, 1.0), (6.5, 2.0), (5.0, 6.5), (2.0, 5.5)])))
 
@@ -251,7 +259,8 @@ def _(spark, sf):
     return M.center_surround_trace(s, M.center_surround_mask(s, M.in_rectangle(3, 3, 5, 5), M.in_rectangle(1, 1, 7, 7)))
 
 
-@query("band_trace")
+@query("band_trace", f"""WITH {ST}, place AS (SELECT 1 + i AS x, 1 + k AS y FROM range(6) a(i), range(-1, 2) b(k) UNION ALL SELECT 6 + k, 1 + i FROM range(5) a(i), range(-1, 2) b(k))
+  SELECT movie_id, frame, avg(value) AS value FROM stack JOIN place USING (y, x) GROUP BY 1, 2""", "value")
 def _(spark, sf):
     return M.band_trace(fx.stack(spark, sf), [(1.0, 1.0), (6.0, 1.0), (6.0, 5.0)], 3)
 
@@ -320,7 +329,8 @@ def _(spark, sf):
     return out(P.pixel_binning(fx.stack(spark, sf)))
 
 
-@query("resize")
+@query("resize", f"""WITH {ST}, axis AS (SELECT CAST(t AS INT) AS t, CAST(s AS INT) AS s, 1 - abs(least(greatest((t + 0.5) / 2 - 0.5, 0), 7) - s) AS wt FROM range(16) a(t), range(8) b(s))
+  SELECT movie_id, frame, v.t AS y, u.t AS x, sum(value * v.wt * u.wt) AS value FROM stack JOIN axis v ON v.s = y AND v.wt > 0 JOIN axis u ON u.s = x AND u.wt > 0 GROUP BY 1, 2, 3, 4""", "value")
 def _(spark, sf):
     return out(P.resize(fx.stack(spark, sf), 2))
 
