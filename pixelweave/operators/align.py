@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators.masks import sample_points, sample_values
@@ -66,12 +66,33 @@ def motion_correction(df: DataFrame, reference_frame: int = 0, max_shift: int |
     return df.drop("value").join(moved, [*keys, "y", "x"], "left").withColumn("value", F.coalesce("_v", F.lit(0.0))).drop("_v").select(*df.columns)
 
 
+def _zoomed(df: DataFrame, scale: float) -> DataFrame:
+    """Frames scaled with their corners held, then cut or padded with 0 around the middle to their old size.
+
+    A target t of n' = round(n scale) reads position t (n - 1) / (n' - 1); each
+    source pixel adds its weight to the targets that lie between its neighbours.
+    """
+    def targets(axis: str, size: str) -> Column:
+        new = F.greatest(F.bround(F.col(size) * scale).cast("int"), F.lit(1))
+        step = F.when(new > 1, (F.col(size) - 1) / (new - 1)).otherwise(0.0)
+        off = F.floor((F.col(size) - new) / 2) if scale < 1 else -F.floor((new - F.col(size)) / 2)
+        lo = F.when(step > 0, F.greatest(F.floor((F.col(axis) - 1) / step), F.lit(0))).otherwise(0).cast("int")
+        hi = F.when(step > 0, F.least(F.ceil((F.col(axis) + 1) / step), new - 1)).otherwise(0).cast("int")
+        spots = F.transform(F.sequence(lo, hi), lambda t: F.struct((t + off).cast("int").alias("t"), (1 - F.abs(t * step - F.col(axis))).alias("wt")))
+        return F.filter(spots, lambda s: (s["wt"] > 0) & (s["t"] >= 0) & (s["t"] < F.col(size)))
+
+    rows = df.withColumn("_y", F.explode(targets("y", "h"))).withColumn("_x", F.explode(targets("x", "w")))
+    scaled = rows.groupBy(*frame_keys(df), F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(F.sum(val() * F.col("_y.wt") * F.col("_x.wt")).alias("_v"))
+    return df.join(scaled, [*frame_keys(df), "y", "x"], "left").withColumn("value", F.coalesce("_v", F.lit(0.0))).select(*df.columns)
+
+
 def channel_alignment(red: DataFrame, green: DataFrame, x_shift: int = 0, y_shift: int = 0, scale: float = 1.0,
                       background: bool = False, bleach: bool = False, match_intensity: bool = False) -> DataFrame:
     """v1 (red) and v2 (shifted, scaled green) on their common extent.
 
     Options remove each channel's frame minimum, scale frames to the movie mean,
-    and bring green to red's mean. Scaling takes the nearest source pixel.
+    and bring green to red's mean. Scaling interpolates linearly, and the middle
+    of the scaled image keeps its place and extent (0 where it is too small).
     """
     from pixelweave.operators.aggregate import bleach_ratio
 
@@ -86,12 +107,7 @@ def channel_alignment(red: DataFrame, green: DataFrame, x_shift: int = 0, y_shif
 
     a, b = prepared(red), prepared(green)
     if scale != 1.0:
-        def targets(axis, size):
-            # target t reads source round(t / scale)
-            t = F.sequence(F.floor((F.col(axis) - 1) * scale).cast("int"), F.ceil((F.col(axis) + 1) * scale).cast("int"))
-            return F.filter(t, lambda k: (F.bround(k / scale) == F.col(axis)) & (k >= 0) & (k < F.floor(F.col(size) * scale)))
-
-        b = b.withColumn("_y", F.explode(targets("y", "h"))).withColumn("_x", F.explode(targets("x", "w"))).drop("y", "x").withColumnsRenamed({"_y": "y", "_x": "x"})
+        b = _zoomed(b, scale)
     b = b.withColumn("y", (F.col("y") + y_shift).cast("int")).withColumn("x", (F.col("x") + x_shift).cast("int"))
     both = a.select(*keys, val().alias("v1")).join(b.select(*keys, val().alias("v2")), keys)
     if match_intensity:

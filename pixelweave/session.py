@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest row count a keyed side table may have to be broadcast.
-BROADCAST_ROWS = 500_000
+#: Largest size of a keyed side table that is broadcast, as rows and as bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "pixelweave") -> SparkSession:
@@ -56,20 +56,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: numbers count 8, text and arrays what they hold."""
+    def one(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        if kind.startswith(("array", "map")):
+            return 24 + 16 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        return F.lit(8 if not kind.startswith("struct") else 16 * (1 + kind.count(":")))
+
+    return sum((one(*c) for c in df.dtypes), F.lit(16)).cast("long")
+
+
 def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join an aggregate keyed by ``keys`` back onto its rows.
 
-    The aggregate is materialised once and counted. Up to ``max_rows`` it is
-    broadcast, so the large side is not shuffled; beyond that the join is left
-    to Spark, where adaptive execution splits skewed keys. With no keys the
+    The aggregate is materialised once and measured. Up to ``max_rows`` and
+    BROADCAST_BYTES it is broadcast, so the large side is not shuffled; beyond
+    that the join is left to Spark, where adaptive execution splits skewed keys. With no keys the
     side is a one-row aggregate and is broadcast as it is.
     """
     if not keys:
         return (df.withColumn("_one", F.lit(1))
                   .join(F.broadcast(side.withColumn("_one", F.lit(1))), "_one", how).drop("_one"))
     side = cut_lineage(side)
-    if side.count() <= max_rows:
+    rows, held = side.agg(F.count(F.lit(1)), F.sum(_bytes(side))).first()
+    if rows <= max_rows and (held or 0) <= BROADCAST_BYTES:
         side = F.broadcast(side)
     return df.join(side, keys, how)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.operators.blocks import union_all
+
 # Header aliases of localization tables, lower case.
 ALIASES = {
     "track_id": ("track_id", "track_number", "trackid", "particle"),
@@ -20,6 +21,9 @@ ALIASES = {
     "sigma_x": ("sigma", "sigma_x", "sigma1"), "sigma_y": ("sigma_y", "sigma2"),
     "background": ("background", "offset", "bkgstd"), "uncertainty": ("uncertainty", "precision"),
 }
+#: Columns read as whole numbers and as text; all others are doubles.
+WHOLE = {"id", "frame", "track_id", "track_number", "trackid", "particle"}
+TEXT = {"file", "movie_id", "source", "category", "class", "class_name", "type", "name", "label", "error"}
 DEFAULT_PIXEL = 108.0
 
 
@@ -31,7 +35,17 @@ def _pick(df: DataFrame, *names: str) -> Column | None:
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """A table whose types follow from its header line; text where a number belongs is an error."""
+    raw = spark.read.option("header", True).csv(path)
+
+    def typed(name: str) -> Column:
+        c, plain = F.trim(F.col(f"`{name}`")), name.strip().lower()
+        if plain in TEXT:
+            return c.alias(name)
+        whole = F.coalesce(c.try_cast("long"), c.cast("double").cast("long"))
+        return (whole if plain in WHOLE else c.cast("double")).alias(name)
+
+    return raw.select(*map(typed, raw.columns))
 
 
 # -- parsing ----------------------------------------------------------------

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.operators import aggregate as A
@@ -224,3 +225,29 @@ def test_user_functions(stack_of, array_of, spark, tmp_path):
     (tmp_path / "bad.bin").write_bytes(b"x")
     out = U.process_files(spark.read.format("binaryFile").load(str(tmp_path)), lambda p, c: int(c)).collect()
     assert {r.status for r in out} == {"ok", "error"}
+
+
+@pytest.mark.parametrize("scale", [1.5, 0.6, 2.0])
+def test_scaled_alignment_keeps_the_extent(stack_of, scale):
+    rng = np.random.default_rng(6)
+    a = rng.uniform(1, 9, (1, 8, 11))
+    _, h, w = a.shape
+    hn, wn = int(np.round(h * scale)), int(np.round(w * scale))
+
+    def at(n, m):
+        p = np.arange(m) * (n - 1) / (m - 1)
+        i = np.minimum(np.floor(p).astype(int), n - 2)
+        return i, p - i
+
+    (yi, yf), (xi, xf) = at(h, hn), at(w, wn)
+    top = a[0][yi][:, xi] * (1 - xf) + a[0][yi][:, xi + 1] * xf
+    low = a[0][yi + 1][:, xi] * (1 - xf) + a[0][yi + 1][:, xi + 1] * xf
+    big = top * (1 - yf)[:, None] + low * yf[:, None]
+    want = np.zeros((h, w))
+    ys, xs, yd, xd = (max(0, v // 2) for v in (hn - h, wn - w, h - hn, w - wn))
+    part = big[ys:ys + h - yd, xs:xs + w - xd][:h - yd, :w - xd]
+    want[yd:yd + part.shape[0], xd:xd + part.shape[1]] = part
+    got = np.full((h, w), np.nan)
+    for r in AL.channel_alignment(stack_of(a), stack_of(a), scale=scale).collect():
+        got[r.y, r.x] = r.v2
+    np.testing.assert_allclose(got, want, atol=1e-9)
