@@ -139,8 +139,8 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, per
     """The pairs that the signatures leave and the full sets confirm."""
     t = percent / 100
     floor = t - MARGIN * (t * (1 - t) / perms) ** 0.5
-    close = _with_both(pairs, reps, "signature").mapInArrow(_estimated(floor), "a long, b long").distinct()
-    return cut_lineage(_with_both(close, sets, "items").mapInArrow(_confirmed(percent), "a long, b long").distinct())
+    close = _with_both(pairs, reps, "signature").mapInArrow(_estimated(floor), "a long, b long")
+    return cut_lineage(_with_both(close, sets, "items").mapInArrow(_confirmed(percent), "a long, b long"))
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +220,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     pairs = members.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = _links(pairs, reps, sets, percent, perms)
 
-    found = connected_components(links)
+    found = cut_lineage(connected_components(links))
     placed = (members.join(found, members.rep == found.node, "left")
                      .select("band", "rep", F.coalesce("component", "rep").alias("component")))
     split = (placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                    .filter("low < high").select("band"))
     rest = cut_lineage(placed.join(split, "band").select("rep", "component").distinct())
-    if not rest.isEmpty():
-        links = links.unionByName(_links(_rest_pairs(rest, sets, percent), reps, sets, percent, perms))
+    more = None if rest.isEmpty() else _links(_rest_pairs(rest, sets, percent), reps, sets, percent, perms)
 
-    final = connected_components(links.unionByName(copies))
+    # the components found so far are stars already; only what is new can join them
+    stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = connected_components(stars.unionByName(copies) if more is None else stars.unionByName(copies).unionByName(more))
     return (rows.select("doc_id", "n_shingles").join(final, rows.doc_id == final.node, "left")
                 .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
                 .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
