@@ -27,8 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have the constant's score; rows without an id are scored like all.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    marks = labels.select("doc_id", "quality").filter("quality in (0, 1)").filter(~quality.held_out(F.col("doc_id"))).distinct()
-    weights = quality.train(docs.select("doc_id", "text").join(marks, "doc_id"))
+    weights = quality.train(docs.select("doc_id", "text"), quality.known_labels(labels))
     rows = quality.score(docs.select("text", F.struct(*docs.columns).alias("doc")), weights)
     return rows.filter("score >= 0.3").select("doc.*")
 

@@ -53,10 +53,10 @@ def _probability(score: float) -> float:
 def _learn(state):
     schema = pa.schema([("slot", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
 
-    def run(pdf):
+    def run(shard: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value) if state else (np.zeros(DIM), np.zeros(DIM))
-        pdf = pdf.column("text").to_pylist(), pdf.column("quality").to_pylist(), pdf.column("turn").to_pylist()
-        for text, label, _ in sorted(zip(*pdf, strict=True), key=lambda r: r[2]):
+        rows = zip(*(shard.column(c).to_pylist() for c in ("turn", "text", "quality")), strict=True)
+        for _, text, label in sorted(rows, key=lambda r: r[0]):
             slots, x = features(text)
             w = _weights(z[slots], n[slots])
             g = (_probability(float(w @ x)) - label) * x
@@ -69,22 +69,27 @@ def _learn(state):
     return run
 
 
-def train(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """DIM weights learnt from ``doc_id, text, quality`` (0/1).
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, quality`` (0/1) that may be learnt from: those outside the held-out fold."""
+    return labels.select("doc_id", "quality").filter("quality in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
 
-    About ``train_rows`` documents, chosen by a hash of the id, are dealt over
-    SHARDS. Each round every shard runs FTRL over its documents from the common
-    state; the states (sums per slot, at most DIM rows) are averaged. Without
-    labelled rows all weights are 0.
+
+def train(docs: DataFrame, marks: DataFrame, *, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """DIM weights learnt from ``docs`` (doc_id, text) and ``marks`` (doc_id, quality 0/1).
+
+    About ``train_rows`` marks, chosen by a hash of the id, are broadcast (that
+    bounds them) and their documents dealt over SHARDS. Each round every shard
+    runs FTRL over its documents from the common state; the states (sums per
+    slot, at most DIM rows) are averaged. Without marks all weights are 0.
     """
-    spark = labelled.sparkSession
-    labelled = labelled.filter("quality is not null")
-    total = labelled.count()
+    spark = docs.sparkSession
+    total = marks.count()
     share = min(1.0, train_rows / total) if total else 0.0
     turn = F.xxhash64(F.lit("turn"), "doc_id")
-    rows = cut_lineage(labelled.filter(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30)))
-                       .select("text", F.col("quality").cast("double").alias("quality"), turn.alias("turn"),
-                               F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard")))
+    chosen = marks.filter(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = cut_lineage(docs.join(F.broadcast(chosen), "doc_id").select(
+        "text", F.col("quality").cast("double").alias("quality"), turn.alias("turn"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard")))
     shards = rows.select("shard").distinct().count()
     z, n, state = np.zeros(DIM), np.zeros(DIM), None
     for _ in range(ROUNDS if shards else 0):
@@ -133,7 +138,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, trai
     Without labels every score is 0.5. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select("doc_id", "quality").filter("quality in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
-    weights = train(docs.join(marks, "doc_id"), train_rows=train_rows)
+    weights = train(docs, known_labels(labels), train_rows=train_rows)
     return (score(docs, weights).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
             .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
