@@ -120,18 +120,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                                                strict=True)]])
 
 
-def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", _ROW), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64()), ("by", pa.string())])
+def _candidate_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines markup leaves: an article's, or else those in no zone with their places on the page."""
+    schema = pa.schema([("row", _ROW), ("url", pa.string()), ("text", pa.string()), ("places", pa.list_(pa.int32()))])
     for part in slices(batches, "html"):
-        texts, counts, by = [], [], []
-        for page, shared in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+        texts, places = [], []
+        for page in part.column(2).to_pylist():
             lines = page_lines(page)
             marked = any(z == 1 for z, _ in lines)
-            gone = set(shared or [])
-            texts.append("\n".join(t for i, (z, t) in enumerate(lines) if z == 1 or z == 2 and not marked and i not in gone))
-            counts.append(len(gone))
-            by.append("markup" if marked else "difference" if shared is not None else "alone")
-        yield batch_of(schema, [part.column(0), part.column(1), texts, counts, by])
+            keep = [i for i, (z, _) in enumerate(lines) if z == (1 if marked else 2)]
+            texts.append("\n".join(lines[i][1] for i in keep))
+            places.append(None if marked else keep)
+        yield batch_of(schema, [part.column(0), part.column(1), texts, places])
 
 
 def _same_start(a: Column, b: Column) -> Column:
@@ -187,7 +187,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     shared = (pairs.join(lines, "row").join(theirs, "partner").select("row", "lines", "other")
                    .mapInArrow(_shared, "row struct<id:long,stamp:long>, shared array<int>"))
     shared = shared.select(F.col("row").alias("_row"), "shared")
-    return (pages.join(shared, F.col("row").eqNullSafe(F.col("_row")), "left").select("row", "url", "html", "shared")
-                 .mapInArrow(_main_text, "row struct<id:long,stamp:long>, url string, text string, n_shared long, by string")
+    texts = pages.mapInArrow(_candidate_text, "row struct<id:long,stamp:long>, url string, text string, places array<int>")
+    found = texts.join(shared, F.col("row").eqNullSafe(F.col("_row")), "left")
+    own = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("shared", F.get("places", i)))
+    compared = F.col("places").isNotNull() & F.col("shared").isNotNull()
+    return (found.withColumn("text", F.when(compared, F.array_join(own, "\n")).otherwise(F.col("text")))
                  .select(F.col("row.id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"),
-                         "n_shared", F.col("by").alias("decided_by")))
+                         F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_shared"),
+                         F.when(F.col("places").isNull(), "markup").when(compared, "difference").otherwise("alone").alias("decided_by")))
