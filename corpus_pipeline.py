@@ -33,16 +33,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occurred before; one whose every line did goes.
+    """Documents without the lines, and pieces of long lines, that occurred before; one whose every line did goes.
 
     n_chars follows a text that changed. Texts without lines, null and empty ones stay as they are.
     """
-    rows = linededup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")))
+    rows = linededup.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")), pieces=True)
     rows = rows.filter("n_lines = 0 or n_removed < n_lines")
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("doc.n_chars"))
+        changed["n_chars"] = F.when(F.col("text").eqNullSafe(F.col("doc.text")), F.col("doc.n_chars")).otherwise(F.length("text").cast(kind))
     return rows.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 

@@ -112,3 +112,27 @@ def test_hot_window_and_row_order(docs_of):
     rows = [(i, f"head {i}\na\nb\nc\ntail {i}") for i in range(300)]
     found = linededup.dedup_lines(docs_of(rows).orderBy(F.desc("doc_id")))
     assert found.filter("n_removed = 3").count() == 299 and found.filter("n_removed = 0").first().doc_id == 0
+
+
+def test_long_passages_on_one_or_two_lines(docs_of):
+    rng = random.Random(7)
+
+    def words(n, stop=True):
+        return " ".join(rng.choice(WORDS) + ("." if stop and rng.random() < 0.12 else "") for _ in range(n))
+
+    one, plain, a, b, blank = words(51), words(300, stop=False), words(20), words(31), "  "
+    rows = [(1, f"{words(9)}\n{one}\n{words(9)}\n{plain}"), (2, f"{words(9)}\n{a}\n{b}\n{words(9)}")]
+    new = [words(40) for _ in range(4)]
+    rows += [(3, f"{new[0]}\n {one}\n{blank}\n{new[1]}"), (4, f"{new[2]}\n{plain}"), (5, f"{a}\n{b}\n{new[3]}"), (6, words(500)), (7, None)]
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(docs_of(rows), pieces=True).collect()}
+    assert found[3] == (f"{new[0]}\n{blank}\n{new[1]}", 3, 1)
+    assert found[4] == (new[2], 2, 1) and found[5] == (new[3], 3, 2)
+    assert all(found[i][0] == t for i, t in rows if i in (1, 2, 6, 7))
+
+
+def test_repeated_sentences_leave_the_rest_of_their_line(docs_of):
+    passage = " ".join(f"p{i} q{i} r{i} s{i} t{i} u{i} v{i}." for i in range(8))
+    rows = [(1, f"a b c d e f g. {passage}"), (2, f"o p q r s t u. {passage} A tail of its own that stays here.")]
+    found = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs_of(rows), pieces=True).collect()}
+    assert found[1][0] == rows[0][1]
+    assert found[2] == ("o p q r s t u. A tail of its own that stays here.", 0)

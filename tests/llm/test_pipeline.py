@@ -37,6 +37,12 @@ def test_copies_lose_their_lines_and_go(spark, docs_of):
     assert kept == {1: ("a\nb\nc", 5), 3: ("new", 3), 4: ("", None), 5: (None, None)}
 
 
+def test_a_repeated_long_line_goes_alone(spark, docs_of):
+    line = " ".join(f"w{i}" for i in range(60))
+    kept = {r.doc_id: (r.text, r.n_chars) for r in pipeline.cut_repeated_lines(spark, docs_of([(1, f"x\n{line}\ny"), (2, f"u\n{line}\nv")]), SF).collect()}
+    assert kept == {1: (f"x\n{line}\ny", len(line) + 4), 2: ("u\nv", 3)}
+
+
 def test_contaminated_documents_go(spark, docs_of):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     kept = pipeline.drop_contaminated(spark, docs_of([(1, item), (2, "clean text"), (None, item), (3, None)]), SF).collect()
