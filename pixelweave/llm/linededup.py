@@ -111,5 +111,7 @@ def dedup_lines(docs: DataFrame, *, span: int = SPAN, pieces: bool = False, id_c
                  .withColumn("_n", lines_in("_places")))
     new = F.when(F.col("_cut").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(F.transform("_stay", with_break), ""))
     removed = F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.col("_n") - lines_in(F.array_except("_places", "_gone")))
-    return out.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns),
-                      F.col("_n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    finished = F.struct(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns),
+                        F.col("_n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    # through a generator: a caller's filter on the counts must not be pushed below, into the cutting of each unit
+    return out.select(F.inline(F.array(finished)))

@@ -16,10 +16,12 @@ from pixelweave.session import cut_lineage
 
 #: Weights of the model: fixed by this, not by the data (2 MB as doubles).
 DIM = 1 << 18
-#: Labelled documents to learn from at most (in expectation); more are thinned by a hash of the id.
-TRAIN_ROWS = 24_000
+#: Labelled ids to learn from at most (in expectation), and texts of each; more are thinned by hashes.
+TRAIN_ROWS, TEXTS_PER_ID = 24_000, 4
 #: Shards that learn side by side, and rounds in which they take up their common model.
 SHARDS, ROUNDS = 6, 3
+#: Fewer texts than this learn in one shard; fewer than UPDATES are gone through up to MOST_PASSES times a round.
+ONE_SHARD, UPDATES, MOST_PASSES = 3_000, 6_000, 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -50,14 +52,14 @@ def _probability(score: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(score, -35, 35))))
 
 
-def _learn(state):
+def _learn(state, passes: int):
     schema = pa.schema([("slot", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
 
     def run(shard: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value) if state else (np.zeros(DIM), np.zeros(DIM))
-        rows = zip(*(shard.column(c).to_pylist() for c in ("turn", "text", "quality")), strict=True)
-        for _, text, label in sorted(rows, key=lambda r: r[0]):
-            slots, x = features(text)
+        rows = sorted(zip(*(shard.column(c).to_pylist() for c in ("turn", "stamp", "text", "quality")), strict=True), key=lambda r: r[:2])
+        known = [(*features(text), label) for _, _, text, label in rows] if passes > 1 else None
+        for slots, x, label in known * passes if known else ((*features(text), label) for _, _, text, label in rows):
             w = _weights(z[slots], n[slots])
             g = (_probability(float(w @ x)) - label) * x
             grown = n[slots] + g * g
@@ -70,30 +72,43 @@ def _learn(state):
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
-    """``doc_id, quality`` (0/1) that may be learnt from: those outside the held-out fold."""
-    return labels.select("doc_id", "quality").filter("quality in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
+    """``doc_id, quality`` (0/1) that may be learnt from: ids outside the held-out fold that have one label, however often."""
+    marks = labels.select("doc_id", "quality").filter("quality in (0, 1)").filter(~held_out(F.col("doc_id")))
+    return (marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+                 .filter("quality = other").drop("other"))
 
 
 def train(docs: DataFrame, marks: DataFrame, *, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """DIM weights learnt from ``docs`` (doc_id, text) and ``marks`` (doc_id, quality 0/1).
 
     About ``train_rows`` marks, chosen by a hash of the id, are broadcast (that
-    bounds them) and their documents dealt over SHARDS. Each round every shard
-    runs FTRL over its documents from the common state; the states (sums per
-    slot, at most DIM rows) are averaged. Without marks all weights are 0.
+    bounds them). Equal texts of one id are one; of an id with more than
+    TEXTS_PER_ID rows about so many different texts are taken, by a hash of the
+    text, so one id on a third of the rows loads no task. The documents are dealt over
+    SHARDS. Each round every shard runs FTRL over its documents from the common
+    state; the states (sums per slot, at most DIM rows) are averaged. Few
+    documents learn in one shard and in several passes, as many as bring the
+    weights to rest. Without marks all weights are 0.
     """
     spark = docs.sparkSession
     total = marks.count()
     share = min(1.0, train_rows / total) if total else 0.0
-    turn = F.xxhash64(F.lit("turn"), "doc_id")
-    chosen = marks.filter(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = cut_lineage(docs.join(F.broadcast(chosen), "doc_id").select(
-        "text", F.col("quality").cast("double").alias("quality"), turn.alias("turn"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard")))
+    turn, whole = F.xxhash64(F.lit("turn"), "doc_id"), 1 << 30
+    chosen = marks.filter(F.pmod(turn, F.lit(whole)) < int(share * whole))
+    held = (docs.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.count(F.lit(1)).alias("held")))
+    stamp = F.xxhash64("text")
+    rows = docs.join(F.broadcast(cut_lineage(held)), "doc_id").filter(
+        (F.col("held") <= TEXTS_PER_ID) | (F.pmod(stamp, F.lit(whole)) * F.col("held") < TEXTS_PER_ID * whole))
+    rows = cut_lineage(rows.groupBy("doc_id", stamp.alias("stamp")).agg(F.first("text").alias("text"), F.first("quality").cast("double").alias("quality"))
+                           .select("text", "quality", turn.alias("turn"), "stamp", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard")))
+    texts = rows.count()
+    passes = max(1, min(MOST_PASSES, UPDATES // max(texts, 1)))
+    if texts < ONE_SHARD:
+        rows = rows.withColumn("shard", F.lit(0))
     shards = rows.select("shard").distinct().count()
     z, n, state = np.zeros(DIM), np.zeros(DIM), None
     for _ in range(ROUNDS if shards else 0):
-        learnt = (rows.groupBy("shard").applyInArrow(_learn(state), "slot long, z double, n double")
+        learnt = (rows.groupBy("shard").applyInArrow(_learn(state, passes), "slot long, z double, n double")
                       .groupBy("slot").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")))
         table = learnt.toArrow()  # DIM rows at most
         slots = table["slot"].to_numpy()
@@ -134,7 +149,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, trai
     Labels (``doc_id, quality``) of the held-out fold, crc32(id as text) mod 5 =
     0, are never learnt from; the score sees the text alone. Null and empty
     texts get the score of the constant. Rows without an id are scored and are
-    not held out; repeated rows are scored one by one; null labels are ignored.
+    not held out; repeated rows are scored one by one; null labels and ids with
+    both labels are ignored.
     Without labels every score is 0.5. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -26,9 +26,31 @@ def test_every_stage_takes_awkward_rows(spark, docs_of):
 
 def test_one_document_of_each_group_stays(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(50))
-    rows = [(5, text), (6, text), (7, text + " tail"), (8, "quite another text"), (8, "quite another text"), (8, "a text"), (None, text), (None, None)]
+    rows = [(5, text), (6, text), (7, text + " tail"), (8, "quite another text"), (8, "quite another text"), (8, "a text"), (8, None),
+            (9, text), (9, "of its own"), (None, text), (None, None)]
     kept = pipeline.keep_one_of_near_duplicates(spark, docs_of(rows), SF).collect()
-    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, text), (8, "a text"), (None, text), (None, None)], key=str)
+    left = [(5, text), (8, "quite another text"), (8, "a text"), (8, None), (9, "of its own"), (None, text), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(left, key=str)
+
+
+def test_the_lines_stage_cuts_each_text_once(spark, docs_of):
+    """The filter on the counts stays above the cut: one regular expression for each scan."""
+    out = pipeline.cut_repeated_lines(spark, docs_of([(1, "a b c")]), SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan.count("LogicalRDD") > 0
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_the_quality_stage_rejects_what_is_labelled_bad(spark, scale):
+    from pixelweave.llm import quality
+
+    folder = f"/root/testdata/sf{scale}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    kept = pipeline.keep_quality(spark, docs, folder).select("doc_id", F.lit(1).alias("stays"))
+    held = labels.filter(quality.held_out(F.col("doc_id"))).join(kept, "doc_id", "left").groupBy("quality").agg(
+        F.avg(F.coalesce("stays", F.lit(0))).alias("share"))
+    share = {r.quality: r.share for r in held.collect()}
+    assert share[0] <= 0.1 and share[1] >= 0.99
 
 
 def test_copies_lose_their_lines_and_go(spark, docs_of):
