@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import decontaminate, linededup, minhash, mixing, quality, queries
-from pixelweave.session import ensure_checkpoint_dir
+from pixelweave.session import cut_lineage, ensure_checkpoint_dir
 
 #: No SQL: the classifier is learnt and near duplicates need connected components.
 ORACLE_SQL = None
@@ -49,18 +49,24 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates (five-word shingles, similarity 0.8).
 
-    Of rows that share an id the one with the least text stays. Texts without
-    words and rows without an id are near no other and stay.
+    Rows of one id and text are one document. Different texts under one id are
+    documents of their own, compared like all: the least text (a null last) has
+    the id's place in the order, the others come after all ids, so they go only
+    if they are near duplicates. Texts without words and rows without an id are
+    near no other and stay.
     """
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    rest = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = rest.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest.select(*docs.columns)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = (rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
-                 .agg(F.min(F.struct("text", *others)).alias("least")).select("doc_id", "least.*"))
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select(*docs.columns))
+    rows = docs.select(F.col("doc_id").alias("node"), "text", F.struct(*docs.columns).alias("doc"))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("node"))
+    if not repeated.isEmpty():
+        single, several = rows.join(repeated, "node", "left_anti"), rows.join(repeated, "node", "left_semi")
+        texts = several.groupBy("node", F.xxhash64("text").alias("stamp")).agg(F.first("text").alias("text"), F.min("doc").alias("doc"))
+        least = several.groupBy("node").agg(F.xxhash64(F.min("text")).alias("least"))
+        later = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("node", "stamp"), 2)
+        texts = texts.join(least, "node").select(F.when(F.col("stamp") == F.col("least"), F.col("node")).otherwise(later).alias("node"), "text", "doc")
+        rows = cut_lineage(single.unionByName(texts))
+    found = minhash.near_duplicates(rows, shingle=5, percent=80, id_col="node")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("node")).distinct()
+    return rows.join(gone, "node", "left_anti").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
