@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import (
+    centroids,
+    conversations,
+    covertree,
     decontaminate,
     extract,
     linededup,
@@ -72,6 +75,61 @@ def op4_html_extraction(spark, sf_dir):
     return extract.extract(_read(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_conversation_repair(spark, sf_dir):
+    raw = _read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(raw), raw)
+
+
+@_query
+def op12_embedding_near_dedup(spark, sf_dir):
+    return covertree.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+ORACLES["op12_embedding_near_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+         WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id)
+"""
+
+
+@_query
+def op13_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(_read(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def _rounds(rounds: int) -> str:
+    """The common table expressions of the rounds: p are the centroids (c, v) and a the choices of a round."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS (SELECT vec_id, q, unnest(best) FROM (
+  SELECT vec_id, q, min({{'distance': list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'cluster': c}}) AS best
+  FROM q, p{i} GROUP BY vec_id, q))""")
+        if i < rounds:
+            out.append(f"""m{i} AS (SELECT cluster, list(floor(s / n)::BIGINT ORDER BY i) AS v
+  FROM (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, generate_subscripts(q, 1) AS i, unnest(q) AS x FROM a{i}) GROUP BY ALL) GROUP BY cluster),
+p{i + 1} AS (SELECT c, coalesce(m{i}.v, p{i}.v) AS v FROM p{i} LEFT JOIN m{i} ON cluster = c)""")
+    return ",\n".join(out)
+
+
+ORACLES["op13_centroid_clustering"] = f"""
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INT AS c, q AS v FROM q ORDER BY c LIMIT 16),
+{_rounds(3)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a3 JOIN p3 ON c = cluster
+"""
+
+
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}}
 
