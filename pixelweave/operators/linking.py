@@ -1,141 +1,173 @@
 """Greedy frame-to-frame linking, motion regimes, intensities at points.
 
-The greedy rule only ever looks along candidate edges (close points at most
-max_gap + 1 frames apart), so each connected component of the candidate graph
-links on its own. Components come from distributed rounds; a component larger
-than ``limit`` is walked in frame slabs that hand on their open track ends,
-which keeps the order of decisions and bounds every task.
+Whether a track may take a point depends on earlier frames and on tracks that
+started earlier, nothing else. So the rule can be settled piece by piece: space
+and time are cut into tiles, each tile decides its own points in one pass over
+its frames, taking the points around it as they stood in the round before, and
+rounds go on only for tiles whose surroundings changed. What no round changes
+any more is the sequential result, since that is the only state in which every
+tile agrees with its neighbours.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.operators.blocks import block_window, core, dense_index, halo, union_all
-from pixelweave.operators.components import components
 from pixelweave.operators.spatial import range_join
 from pixelweave.schemas import track_keys
 from pixelweave.session import attach, cut_lineage, spread
 
 
 def candidate_edges(df: DataFrame, keys: list[str], max_distance: float, max_gap: int) -> DataFrame:
-    """(keys, a, b) ids of points of later frames strictly closer than max_distance."""
-    base = df.select(*keys, "frame", "id", "x", "y")
-    ahead = base.withColumn("frame", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_gap + 1)), lambda d: F.col("frame") - d)))
-    pairs = range_join(base, ahead, max_distance, [*keys, "frame"]).where(F.col("dist") < max_distance)
-    return pairs.select(*keys, F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """Pairs (keys, a struct, b struct, dist), b in a later frame and strictly closer than max_distance."""
+    ahead = df.select("*", F.col("frame").alias("_own")).withColumn(
+        "frame", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_gap + 1)), lambda d: F.col("frame") - d)))
+    pairs = range_join(df, ahead, max_distance, [*keys, "frame"]).where(F.col("dist") < max_distance)
+    return pairs.select(*keys, "a", "b", "dist")
 
 
-def _greedy(keys: list[str], max_distance: float, max_gap: int):
-    """Link the points of one component; carried rows are open ends of earlier tracks."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "id"], kind="stable").reset_index(drop=True)
-        carried = pdf[pdf.seed_id.notna()].sort_values(["seed_frame", "seed_id"])
-        fresh = pdf[pdf.seed_id.isna()].reset_index(drop=True)
-        xy, frame, ident = fresh[["x", "y"]].to_numpy(), fresh.frame.to_numpy(), fresh.id.to_numpy()
-        rows = {f: np.flatnonzero(frame == f) for f in np.unique(frame)} if len(fresh) else {}
-        free = np.ones(len(fresh), dtype=bool)
-        seed = np.full((len(fresh), 2), -1, dtype="int64")
-
-        def follow(at, f, owner):
-            while True:
-                for dt in range(1, max_gap + 2):
-                    here = rows.get(f + dt)
-                    here = here[free[here]] if here is not None else ()
-                    if len(here):
-                        d = np.sqrt(((xy[here] - at) ** 2).sum(axis=1))
-                        j = int(np.argmin(d))
-                        if d[j] < max_distance:
-                            break
+def _tiles(points: DataFrame, keys: list[str], max_distance: float, limit: int) -> DataFrame:
+    """Points with ``tile``: a cell of the plane, cut along time so that about ``limit`` points are in it.
+
+    A cell is cut between frames, so one frame of a crowded cell may exceed the limit.
+    """
+    box = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    area = max((box[2] or 0.0) - (box[1] or 0.0), max_distance) * max((box[4] or 0.0) - (box[3] or 0.0), max_distance)
+    side = max(8.0 * max_distance, (area * limit / max(box[0], 1)) ** 0.5)
+    celled = points.withColumn("_cx", F.floor(F.col("x") / side)).withColumn("_cy", F.floor(F.col("y") / side))
+    counts = celled.groupBy(*keys, "_cx", "_cy", "frame").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cx", "_cy").orderBy("frame"))  # a row for each frame of a cell
+    slabs = counts.select(*keys, "_cx", "_cy", "frame", F.floor((upto - 1) / limit).alias("_slab"))
+    tile = F.concat_ws(":", *keys, "_cx", "_cy", "_slab")
+    return attach(celled, slabs, [*keys, "_cx", "_cy", "frame"]).withColumn("tile", tile).drop("_cx", "_cy", "_slab")
+
+
+_EDGE = "struct<bf:bigint,dist:double,b:bigint,af:bigint,a:bigint,a_in:boolean,b_in:boolean>"
+_STATE = "home string, id bigint, sf bigint, si bigint, next bigint"
+
+
+def _settled(edges: dict[str, list], around: dict[int, tuple]) -> tuple[dict, dict]:
+    """Owner (seed frame, seed id) of the points of a tile, and the point each of them goes on to.
+
+    ``edges`` are columns sorted by frame of b, distance and b; ``around`` says
+    of points outside how they stood: (seed frame, seed id, next point).
+    """
+    owner, onward, taken = {}, {}, set()
+    rows = list(zip(*(edges[c] for c in ("bf", "b", "af", "a", "a_in", "b_in")), strict=True))
+    for _, group in groupby(rows, key=itemgetter(0)):
+        wanted, seeds = {}, {}
+        for bf, b, af, a, a_in, b_in in group:
+            if a_in:
+                if a not in onward:
+                    seeds[a] = owner.get(a, (af, a))
+                    wanted.setdefault(a, []).append((b, bf, b_in))
+            elif b_in and a in around and around[a][2] == b:
+                seeds[a] = around[a][:2]
+                wanted[a] = [(b, bf, True)]
+        for a in sorted(wanted, key=seeds.__getitem__):
+            for b, bf, b_in in wanted[a]:
+                if b_in:
+                    free = b not in owner
                 else:
-                    return
-                p = here[j]
-                free[p], seed[p], at, f = False, owner, xy[p], f + dt
-
-        for r in carried.itertuples():
-            follow(np.array([r.x, r.y]), r.frame, (r.seed_frame, r.seed_id))
-        for p in range(len(fresh)):
-            if free[p]:
-                free[p], seed[p] = False, (frame[p], ident[p])
-                follow(xy[p], frame[p], seed[p])
-        out = fresh[[*keys, "id"]].copy()
-        out["seed_frame"], out["seed_id"] = seed[:, 0], seed[:, 1]
-        return out
+                    free = b not in taken and around.get(b, (bf, b))[:2] >= seeds[a]
+                if free:
+                    if b_in:
+                        owner[b] = seeds[a]
+                    taken.add(b)
+                    onward[a] = b
+                    break
+    return owner, onward
+
+
+def _claims(every: bool):
+    """One pass over tiles (tile, edges, around): the points whose state is not what ``around`` says, or every point."""
+    schema = pa.schema([("home", pa.string())] + [(c, pa.int64()) for c in ("id", "sf", "si", "next")])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = batch.column(0)[k].as_py()
+                packed, known = batch.column(1)[k].values, batch.column(2)[k]
+                edges = {c: packed.field(c).to_pylist() for c in ("bf", "b", "af", "a", "a_in", "b_in")}
+                around = {}
+                if known.is_valid:
+                    cols = [known.values.field(c).to_pylist() for c in ("id", "sf", "si", "next")]
+                    around = {i: (f, n, to) for i, f, n, to in zip(*cols, strict=True)}
+                owner, onward = _settled(edges, around)
+                own, edge = {}, set()
+                for a, af, a_in, b, bf, b_in in zip(*(edges[c] for c in ("a", "af", "a_in", "b", "bf", "b_in")), strict=True):
+                    for point, frame, inside in ((a, af, a_in), (b, bf, b_in)):
+                        if inside:
+                            own[point] = (*owner.get(point, (frame, point)), onward.get(point))
+                            if a_in != b_in:
+                                edge.add(point)
+                out = [(p, *v) for p, v in own.items() if every or p in edge and v != around.get(p)]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(out), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
 
     return run
 
 
 def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_track_length: int = 1,
-                limit: int = 500_000) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Add track_id (-1 for tracks shorter than min_track_length).
 
     Every free point, in (frame, id) order, starts a track and extends it to
-    the nearest free point closer than max_distance in the first of the next
-    max_gap + 1 frames that has one. Needs unique ids per movie.
+    the nearest free point (smallest id on ties) closer than max_distance in the
+    first of the next max_gap + 1 frames that has one. Needs unique ids per movie.
+
+    Tiles of about ``limit`` points are settled side by side. A round sends
+    along only the state of points that have an edge into another tile, and
+    works only on tiles beside a change, so the number of rounds follows how
+    often decisions cross tiles, not the number of frames.
     """
     keys = [k for k in ("movie_id",) if k in df.columns]
     base = df.drop("track_id")
-    points = base.select(*keys, F.col("frame").cast("long").alias("frame"), "id", "x", "y")
-    edges = cut_lineage(candidate_edges(points, keys, max_distance, max_gap))
-    roots = components(edges, keys).withColumnRenamed("node", "id")
-    tagged = cut_lineage(points.join(roots, [*keys, "id"]).withColumn("seed_frame", F.lit(None).cast("long")).withColumn("seed_id", F.lit(None).cast("long")))
-    sizes = tagged.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n"))
-    large = cut_lineage(sizes.where(F.col("_n") > limit).select(*keys, "root"))
-    run = _greedy(keys, max_distance, max_gap)
-    schema = tagged.select(*keys, "id", "seed_frame", "seed_id").schema
-    small = tagged if large.isEmpty() else attach(tagged, large, [*keys, "root"], "left_anti")
-    parts = [_in_buckets(small, keys, run, schema)]
-    if not large.isEmpty():
-        parts.append(_link_slabs(attach(tagged, large, [*keys, "root"], "left_semi"), edges, keys, run, schema, max_gap, limit))
-    linked = union_all(parts)
-    alone = points.join(roots.select(*keys, "id"), [*keys, "id"], "left_anti").select(
-        *keys, "id", F.col("frame").alias("seed_frame"), F.col("id").alias("seed_id"))
-    owner = cut_lineage(linked.unionByName(alone))
+    spark = df.sparkSession
+    points = cut_lineage(base.select(*keys, F.col("frame").cast("long").alias("frame"), "id", "x", "y"))
+    limit = limit or min(100_000, max(5_000, points.count() // (2 * spark.sparkContext.defaultParallelism)))
+    points = cut_lineage(_tiles(points, keys, max_distance, limit))
+    pairs = candidate_edges(points, keys, max_distance, max_gap)
+    tile = F.explode(F.array_distinct(F.array("a.tile", "b.tile"))).alias("tile")
+    dealt = pairs.select("a", "b", "dist", tile).select("tile", F.struct(
+        F.col("b._own").alias("bf"), "dist", F.col("b.id").alias("b"), F.col("a.frame").alias("af"), F.col("a.id").alias("a"),
+        (F.col("a.tile") == F.col("tile")).alias("a_in"), (F.col("b.tile") == F.col("tile")).alias("b_in"),
+        F.when(F.col("a.tile") != F.col("b.tile"), F.struct(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"))).alias("homes")).alias("edge"))
+    dealt = cut_lineage(dealt)
+    packed = cut_lineage(dealt.groupBy("tile").agg(F.array_sort(F.collect_list(F.col("edge").dropFields("homes"))).cast(f"array<{_EDGE}>").alias("edges")))
+    border = cut_lineage(dealt.where("edge.homes is not null").select("tile", F.inline(F.array(
+        F.struct(F.col("edge.homes.a").alias("home"), F.col("edge.a").alias("id")),
+        F.struct(F.col("edge.homes.b").alias("home"), F.col("edge.b").alias("id"))))).distinct())
+
+    def around(state: DataFrame, where: DataFrame) -> DataFrame:
+        return where.join(state, ["home", "id"]).groupBy("tile").agg(F.collect_list(F.struct("id", "sf", "si", "next")).alias("around"))
+
+    state, dirty = spark.createDataFrame([], _STATE), border.select("tile").distinct()
+    while True:
+        work = packed.join(dirty, "tile", "left_semi").join(around(state, border.join(dirty, "tile", "left_semi")), "tile", "left")
+        changed = cut_lineage(work.select("tile", "edges", "around").mapInArrow(_claims(False), _STATE))
+        if changed.isEmpty():
+            break
+        state = cut_lineage(state.join(changed, ["home", "id"], "left_anti").select(changed.columns).unionByName(changed))
+        dirty = border.join(changed.select("home", "id"), ["home", "id"], "left_semi").where("tile <> home").select("tile").distinct()
+    final = packed.join(around(state, border), "tile", "left").select("tile", "edges", "around").mapInArrow(_claims(True), _STATE)
+    final = final.select(F.col("home").alias("tile"), "id", "sf", "si")
+    owner = cut_lineage(points.select(*keys, "tile", "frame", "id").join(final, ["tile", "id"], "left").select(
+        *keys, "id", F.coalesce("sf", "frame").alias("seed_frame"), F.coalesce("si", "id").alias("seed_id")))
     tracks = owner.groupBy(*keys, "seed_frame", "seed_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_track_length)
     numbered = dense_index(tracks.withColumn("_g", F.lit(0)), [*keys, "_g"], ["seed_frame", "seed_id"], F.floor(F.col("seed_frame") / 64), "_t", None)
     ids = owner.join(numbered.select(*keys, "seed_frame", "seed_id", "_t"), [*keys, "seed_frame", "seed_id"], "left")
     return (base.join(ids.select(*keys, "id", F.coalesce("_t", F.lit(-1)).cast("long").alias("track_id")), [*keys, "id"]))
 
 
-def _in_buckets(points: DataFrame, keys: list[str], run, schema, size: int = 20_000) -> DataFrame:
-    """Run the linker over buckets of whole components.
-
-    Components share no candidate edge, so linking several together gives what
-    each would give alone, without a Python call per component.
-    """
-    buckets = max(1, points.count() // size)
-    rows = points.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "root"), F.lit(buckets)))
-    return spread(rows, *keys, "_bucket").groupBy(*keys, "_bucket").applyInPandas(run, schema)
-
-
-def _link_slabs(points: DataFrame, edges: DataFrame, keys: list[str], run, schema, max_gap: int, limit: int) -> DataFrame:
-    """Large components, slab by slab: open track ends of a slab enter the next."""
-    points = cut_lineage(points.drop("root"))
-    busiest = points.groupBy(*keys, "frame").count().agg(F.max("count")).first()[0]
-    span = points.agg(F.min("frame"), F.max("frame")).first()
-    width = max(1, limit // max(int(busiest), 1))
-    carry, done = None, []
-    for start in range(span[0], span[1] + 1, width):
-        slab = points.where(F.col("frame").between(start, start + width - 1))
-        rows = slab if carry is None else slab.unionByName(carry)
-        here = edges.join(rows.select(*keys, F.col("id").alias("a")), [*keys, "a"], "left_semi").join(
-            slab.select(*keys, F.col("id").alias("b")), [*keys, "b"], "left_semi")
-        roots = components(here, keys).withColumnRenamed("node", "id")
-        rows = rows.join(roots, [*keys, "id"], "left").withColumn("root", F.coalesce("root", "id"))
-        owned = cut_lineage(_in_buckets(rows, keys, run, schema))
-        done.append(owned)
-        ends = owned.join(slab.select(*keys, "id", "frame", "x", "y"), [*keys, "id"])
-        if carry is not None:
-            ends = ends.unionByName(carry.select(ends.columns))
-        last = ends.groupBy(*keys, "seed_frame", "seed_id").agg(F.max_by(F.struct("id", "frame", "x", "y"), "frame").alias("_l"))
-        carry = cut_lineage(last.select(*keys, F.col("_l.frame").alias("frame"), F.col("_l.id").alias("id"), F.col("_l.x").alias("x"), F.col("_l.y").alias("y"), "seed_frame", "seed_id")
-                            .where(F.col("frame") >= start + width - 1 - max_gap))
-    return union_all(done)
-
-
 # -- intensities at points --------------------------------------------------
 
 def linker_intensities(points: DataFrame, pixels: DataFrame) -> DataFrame:
