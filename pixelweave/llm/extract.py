@@ -39,17 +39,38 @@ CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "br
                 "widget", "contentinfo", "complementary", "alert", "dialog"}
 
 
+#: First parts of a class name that speak of a piece without being it, as in with-sidebar.
+ABOUT = {"no", "not", "with", "without", "has", "have", "hide", "hides", "is", "show", "shows"}
+
+
+def is_hint(value: str) -> bool:
+    """Whether a class, id or role names a piece of the site: a whole name, or one whose first or last part (at - or _) is such a name."""
+    for name in value.lower().split():
+        parts = re.split(r"[-_]+", name)
+        if name in CHROME_WORDS or parts[0] not in ABOUT and (parts[0] in CHROME_WORDS or parts[-1] in CHROME_WORDS):
+            return True
+    return False
+
+
 def page_lines(page: str | None) -> list[tuple[int, str]]:
-    """Zone and text of the lines of a page: 0 dropped by markup, 1 in an article, 2 neither."""
+    """Zone and text of the lines of a page: 0 dropped by markup, 1 in an article, 2 neither, 3 in an article inside an element with a hint."""
     page = page or ""
     lines, text, open_ = [], [], []
 
+    def zone():
+        kinds = [k for _, k in open_]
+        if 0 in kinds:
+            return 0
+        last = max((i for i, k in enumerate(kinds) if k == 1), default=-1)
+        if "hint" in kinds[last + 1:]:
+            return 0
+        return 2 if last < 0 else 3 if "hint" in kinds[:last] else 1
+
     def flush():
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            kinds = [k for _, k in open_]
-            lines.append((0 if 0 in kinds else 1 if 1 in kinds else 2, line))
+            lines.append((zone(), line))
 
     at = 0
     while m := MARKUP.search(page, at):
@@ -67,9 +88,9 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
         elif name not in EMPTY and name not in LOOSE and not m[3].endswith("/"):
-            words = {w for h in HINTS.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(h).lower())} if m[3] else set()
-            hinted = bool(words & CHROME_WORDS) and name not in ARTICLE
-            open_.append((name, 0 if name in CHROME or hinted else 1 if name in ARTICLE or "main" in words and "role" in m[3] else None))
+            values = ["".join(h) for h in HINTS.findall(m[3])] if m[3] else []
+            main = name in ARTICLE or "role" in m[3] and any("main" in v.lower().split() for v in values)
+            open_.append((name, 0 if name in CHROME else 1 if main else "hint" if any(map(is_hint, values)) else None))
     text.append(page[at:])
     flush()
     return lines
@@ -107,10 +128,10 @@ _ROW = pa.struct([("id", pa.int64()), ("stamp", pa.int64())])
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", _ROW), ("lines", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", _ROW), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
     for part in slices(batches, "html"):
-        out = [hashes([t.encode("utf-8", "surrogatepass") for _, t in page_lines(h)]).view(np.int64) for h in part.column(1).to_pylist()]
-        yield batch_of(schema, [part.column(0), out])
+        out = [hashes([t.encode("utf-8", "surrogatepass") for _, t in page_lines(h)]).view(np.int64) for h in part.column(3).to_pylist()]
+        yield batch_of(schema, [*part.columns[:3], out])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +142,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines markup leaves: an article's, or else those in no zone with their places on the page."""
+    """The lines markup leaves: an article's, else those of an article inside a hint, else those in no zone with their places on the page."""
     schema = pa.schema([("row", _ROW), ("url", pa.string()), ("text", pa.string()), ("places", pa.list_(pa.int32()))])
     for part in slices(batches, "html"):
         texts, places = [], []
         for page in part.column(2).to_pylist():
             lines = page_lines(page)
-            marked = any(z == 1 for z, _ in lines)
-            keep = [i for i, (z, _) in enumerate(lines) if z == (1 if marked else 2)]
+            zones = {z for z, _ in lines}
+            taken = 1 if 1 in zones else 3 if 3 in zones else 2
+            keep = [i for i, (z, _) in enumerate(lines) if z == taken]
             texts.append("\n".join(lines[i][1] for i in keep))
-            places.append(None if marked else keep)
+            places.append(keep if taken == 2 else None)
         yield batch_of(schema, [part.column(0), part.column(1), texts, places])
 
 
@@ -142,14 +164,15 @@ def _same_start(a: Column, b: Column) -> Column:
 def nearest_pages(rows: DataFrame) -> DataFrame:
     """``row, partner``: for each page (``row, host, path``) the one of its host with the nearest path.
 
-    In the order of host, path and row the nearest path stands just before or
-    just after; the one with more leading segments in common is taken, the one
+    In the order of host, path segments and row the nearest path stands just
+    before or just after; the one with more leading segments in common is taken, the one
     before if they tie. The order is a range partitioning, so a host of any size
     is spread; only the edges of the partitions, one row each, are put side by side.
     """
-    key = F.struct("host", "path", "row")
-    ordered = cut_lineage(rows.repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part").orderBy("host", "path", "row")
+    key = F.struct("host", "segments", "row", "path")
+    rows = rows.withColumn("segments", F.split("path", "/"))
+    ordered = cut_lineage(rows.repartitionByRange("host", "segments", "row").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy("host", "segments", "row")
     edges = ordered.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     across = Window.orderBy("part")  # one row for each partition
     edges = edges.select("part", F.lag("high").over(across).alias("edge_before"), F.lead("low").over(across).alias("edge_after"))
@@ -175,19 +198,30 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     the difference to the nearest page, or neither (alone: no other page of the
     host). A null or empty page has the text ''. A page whose URL has no :// has
     the empty host. Repeated rows (same id, URL and page) give the same text
-    each and are one page in the comparison. Other columns are not read.
+    each; pages of one host with the same lines are one page in the comparison,
+    so copies do not delete each other. An article is kept whole even inside an
+    element whose class names a piece of the site, unless another article stands
+    outside of such elements; a class that only speaks of a piece (with-sidebar)
+    drops nothing. Ids are cast to long. Other columns are not read.
     """
     row = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(url_col, html_col).alias("stamp")).alias("row")
-    pages = pages.select(row, F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    where = split_url(F.col("url"))
-    lines = cut_lineage(pages.select("row", "html").mapInArrow(_line_hashes, "row struct<id:long,stamp:long>, lines array<long>")
-                             .dropDuplicates(["row"]))
-    pairs = nearest_pages(pages.select("row", where["host"].alias("host"), where["path"].alias("path")).distinct())
+    where = split_url(F.col(url_col))
+    pages = pages.select(row, where["host"].alias("host"), where["path"].alias("path"), F.col(html_col).alias("html"), F.col(url_col).alias("url"))
+    lines = pages.select("row", "host", "path", "html").mapInArrow(_line_hashes, "row struct<id:long,stamp:long>, host string, path string, lines array<long>")
+    same = [F.xxhash64("lines").alias("h"), F.xxhash64(F.lit(1), "lines").alias("g")]
+    lines = cut_lineage(lines.dropDuplicates(["row"]).select("*", *same))
+    # pages of one host with the same lines are one page in the comparison, at their least path
+    least = F.struct(F.split("path", "/").alias("segments"), "path", "row")
+    firsts = lines.groupBy("host", "h", "g").agg(F.min(least).alias("first")).select("host", "h", "g", "first.path", "first.row")
+    firsts = cut_lineage(firsts)
+    pairs = nearest_pages(firsts.select("row", "host", "path"))
     theirs = lines.select(F.col("row").alias("partner"), F.col("lines").alias("other"))
-    shared = (pairs.join(lines, "row").join(theirs, "partner").select("row", "lines", "other")
-                   .mapInArrow(_shared, "row struct<id:long,stamp:long>, shared array<int>"))
+    found = (pairs.join(lines.select("row", "lines"), "row").join(theirs, "partner").select("row", "lines", "other")
+                  .mapInArrow(_shared, "row struct<id:long,stamp:long>, shared array<int>"))
+    of = lines.select("row", "host", "h", "g").join(firsts.select("host", "h", "g", F.col("row").alias("_first")), ["host", "h", "g"])
+    shared = of.select("row", "_first").join(found.withColumnRenamed("row", "_first"), "_first").select("row", "shared")
     shared = shared.select(F.col("row").alias("_row"), "shared")
-    texts = pages.mapInArrow(_candidate_text, "row struct<id:long,stamp:long>, url string, text string, places array<int>")
+    texts = pages.select("row", "url", "html").mapInArrow(_candidate_text, "row struct<id:long,stamp:long>, url string, text string, places array<int>")
     found = texts.join(shared, F.col("row").eqNullSafe(F.col("_row")), "left")
     own = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("shared", F.get("places", i)))
     compared = F.col("places").isNotNull() & F.col("shared").isNotNull()

@@ -75,6 +75,43 @@ def test_nearest_page_is_of_the_same_host(spark):
     assert len(found) == len(rows) and all(i // 10 == j // 10 and i != j for i, j in found.items())
 
 
+def test_nearest_page_shares_the_most_segments(spark):
+    rng = random.Random(4)
+    paths = {"/" + "/".join(rng.choice(["a", "a-b", "a.c", "b", "", "é"]) for _ in range(rng.randrange(5))) for _ in range(150)} | {"/a", "/a-b", "/a/b"}
+    rows = [(h, p, (i, 0)) for i, (h, p) in enumerate((h, p) for h in ("x", "y") for p in sorted(paths))]
+    df = spark.createDataFrame(rows, "host string, path string, row struct<id:long,stamp:long>").repartition(7)
+    found = {r.row.id: r.partner.id for r in extract.nearest_pages(df).collect()}
+
+    def start(p, q):
+        n = 0
+        for a, b in zip(p.split("/"), q.split("/")):
+            if a != b:
+                break
+            n += 1
+        return n
+
+    assert len(found) == len(rows)
+    for host, path, (i, _) in rows:
+        best = max(start(path, q) for h, q, (j, _) in rows if h == host and j != i)
+        assert rows[found[i]][0] == host and start(path, rows[found[i]][1]) == best
+
+
+def test_hints_lose_no_article(pages_of):
+    body = "<article><p>Whole text.</p></article>"
+    pages = {1: f'<div class="content with-sidebar">{body}</div>', 2: f'<div class="no-header">{body}</div>', 3: f'<div class="header">{body}</div>',
+             4: f'{body}<div class="comments"><article><p>Me too</p></article></div>', 5: '<div class="advertorial"><p>Whole text.</p></div>',
+             6: '<article><p>Whole text.</p><div class="post-comments">Me too</div></article>', 7: f"<footer>{body}</footer><p>Whole text.</p>"}
+    got = texts(pages_of([(i, f"http://h{i}/a", f"<body>{p}</body>") for i, p in pages.items()]))
+    assert got == dict.fromkeys(pages, "Whole text.")
+
+
+def test_copies_do_not_delete_each_other(pages_of):
+    page = "<body><div>Site</div><div>one</div></body>"
+    rows = [(1, "http://h/a", page), (2, "http://h/a?ref=x", page), (3, "http://h/a/copy", page)]
+    assert texts(pages_of(rows)) == dict.fromkeys((1, 2, 3), "Site\none")
+    assert texts(pages_of([*rows, (4, "http://h/b", page.replace("one", "two"))])) == {1: "one", 2: "one", 3: "one", 4: "two"}
+
+
 def test_articles_of_the_test_pages(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.page_id: r for r in queries.QUERIES["op4_html_extraction"](spark, sf).collect()}
