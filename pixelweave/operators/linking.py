@@ -21,39 +21,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.operators.blocks import block_window, core, dense_index, halo, union_all
-from pixelweave.operators.spatial import range_join
 from pixelweave.schemas import track_keys
 from pixelweave.session import attach, cut_lineage, spread
 
 
-def candidate_edges(df: DataFrame, keys: list[str], max_distance: float, max_gap: int) -> DataFrame:
-    """Pairs (keys, a struct, b struct, dist), b in a later frame and strictly closer than max_distance."""
-    ahead = df.select("*", F.col("frame").alias("_own")).withColumn(
-        "frame", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_gap + 1)), lambda d: F.col("frame") - d)))
-    pairs = range_join(df, ahead, max_distance, [*keys, "frame"]).where(F.col("dist") < max_distance)
-    return pairs.select(*keys, "a", "b", "dist")
+def _copies(points: DataFrame, keys: list[str], max_distance: float, reach: int, limit: int) -> DataFrame:
+    """Every point in its own tile (hx, hy, hs) and in each tile (cx, cy, cs) that it can have an edge into.
 
-
-def _tiles(points: DataFrame, keys: list[str], max_distance: float, limit: int) -> DataFrame:
-    """Points with ``tile``: a cell of the plane, cut along time so that about ``limit`` points are in it.
-
-    A cell is cut between frames, so one frame of a crowded cell may exceed the limit.
+    A tile is a cell of the plane over a power of two of frames, few enough that
+    at most ``limit`` points are in it; only a single frame of a cell may hold more.
     """
     box = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     area = max((box[2] or 0.0) - (box[1] or 0.0), max_distance) * max((box[4] or 0.0) - (box[3] or 0.0), max_distance)
     side = max(8.0 * max_distance, (area * limit / max(box[0], 1)) ** 0.5)
-    celled = points.withColumn("_cx", F.floor(F.col("x") / side)).withColumn("_cy", F.floor(F.col("y") / side))
-    counts = celled.groupBy(*keys, "_cx", "_cy", "frame").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cx", "_cy").orderBy("frame"))  # a row for each frame of a cell
-    slabs = counts.select(*keys, "_cx", "_cy", "frame", F.floor((upto - 1) / limit).alias("_slab"))
-    tile = F.concat_ws(":", *keys, "_cx", "_cy", "_slab")
-    return attach(celled, slabs, [*keys, "_cx", "_cy", "frame"]).withColumn("tile", tile).drop("_cx", "_cy", "_slab")
+    near = max_distance * (1 + 1e-6)
+
+    def cell(axis: str, by: float = 0.0):
+        return F.floor((F.col(axis) + by) / side)
 
+    placed = points.withColumns({"hx": cell("x"), "hy": cell("y")})
+    busiest = placed.groupBy(*keys, "hx", "hy", "frame").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys, "hx", "hy").agg(F.max("n").alias("n"))
+    widths = cut_lineage(busiest.select(*keys, "hx", "hy", F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(limit) / F.col("n"), F.lit(1.0))))).cast("long").alias("w")))
+    home = attach(placed, widths, [*keys, "hx", "hy"]).withColumn("hs", F.floor(F.col("frame") / F.col("w"))).drop("w")
+    around = [F.explode(F.sequence(cell(axis, -near), cell(axis, near))).alias(name) for axis, name in (("x", "cx"), ("y", "cy"))]
+    wide = home.select("*", around[0]).select("*", around[1])
+    found = attach(wide, widths.withColumnsRenamed({"hx": "cx", "hy": "cy"}), [*keys, "cx", "cy"], "inner")
+    slabs = F.sequence(F.floor((F.col("frame") - reach) / F.col("w")), F.floor((F.col("frame") + reach) / F.col("w")))
+    return found.select(*keys, "id", "frame", "x", "y", "hx", "hy", "hs", "cx", "cy", F.explode(slabs).alias("cs"))
 
-_EDGE = "struct<bf:bigint,dist:double,b:bigint,af:bigint,a:bigint,a_in:boolean,b_in:boolean>"
+
+_EDGE = pa.struct([("bf", pa.int64()), ("b", pa.int64()), ("af", pa.int64()), ("a", pa.int64()), ("a_in", pa.bool_()), ("b_in", pa.bool_())])
+_EDGE_SQL = "array<struct<bf:bigint,b:bigint,af:bigint,a:bigint,a_in:boolean,b_in:boolean>>"
+_HOME = pa.struct([("home", pa.string()), ("id", pa.int64())])
 _STATE = "home string, id bigint, sf bigint, si bigint, next bigint"
 
 
+def _pairs(frame: np.ndarray, x: np.ndarray, y: np.ndarray, max_distance: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (a, b) and distances of points strictly closer than max_distance, b one to ``reach`` frames later."""
+    ix, iy = (np.floor((v - v.min()) / max_distance).astype(np.int64) + 1 for v in (x, y))
+    step, t = iy.max() + 2, frame - frame.min()
+    row = (ix.max() + 2) * step
+    code = t * row + ix * step + iy
+    order = np.argsort(code, kind="stable")
+    ranked, found = code[order], []
+    for later in range(1, reach + 1):
+        for side in (-1, 0, 1):
+            at = code + later * row + side * step
+            low, high = np.searchsorted(ranked, at - 1, "left"), np.searchsorted(ranked, at + 1, "right")
+            n = high - low
+            a = np.repeat(np.arange(len(code)), n)
+            b = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            d = np.sqrt((x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2)
+            close = d < max_distance
+            found.append((a[close], b[close], d[close]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _tile_edges(keys: list[str], max_distance: float, reach: int):
+    """The edges of a tile's own points as one row, by frame of b, distance and b, and its points on edges between tiles."""
+    schema = pa.schema([("tile", pa.string()), *((k, pa.string()) for k in keys), ("edges", pa.list_(_EDGE)), ("border", pa.list_(_HOME))])
+
+    def run(table: pa.Table) -> pa.Table:
+        number, frame, x, y, hx, hy, hs = (table.column(c).to_numpy() for c in ("id", "frame", "x", "y", "hx", "hy", "hs"))
+        place = [table.column(c)[0].as_py() for c in ("cx", "cy", "cs")]
+        movie = [table.column(k)[0].as_py() for k in keys]
+        inside = (hx == place[0]) & (hy == place[1]) & (hs == place[2])
+        a, b, d = _pairs(frame, x, y, max_distance, reach)
+        some = inside[a] | inside[b]
+        a, b, d = a[some], b[some], d[some]
+        order = np.lexsort((number[b], d, frame[b]))
+        a, b = a[order], b[order]
+        edges = pa.StructArray.from_arrays([pa.array(c) for c in (frame[b], number[b], frame[a], number[a], inside[a], inside[b])], fields=list(_EDGE))
+        across = inside[a] != inside[b]
+        border = np.unique(np.concatenate([a[across], b[across]]))
+        homes = [":".join(map(str, [*movie, hx[i], hy[i], hs[i]])) for i in border]
+        border = pa.StructArray.from_arrays([pa.array(homes, pa.string()), pa.array(number[border], pa.int64())], fields=list(_HOME))
+        row = [pa.array([":".join(map(str, [*movie, *place]))]), *(pa.array([m], pa.string()) for m in movie),
+               pa.ListArray.from_arrays([0, len(edges)], edges), pa.ListArray.from_arrays([0, len(border)], border)]
+        return pa.Table.from_arrays(row, schema=schema)
+
+    return run
+
+
 def _settled(edges: dict[str, list], around: dict[int, tuple]) -> tuple[dict, dict]:
     """Owner (seed frame, seed id) of the points of a tile, and the point each of them goes on to.
 
@@ -131,36 +180,30 @@ def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_
     """
     keys = [k for k in ("movie_id",) if k in df.columns]
     base = df.drop("track_id")
-    spark = df.sparkSession
-    points = cut_lineage(base.select(*keys, F.col("frame").cast("long").alias("frame"), "id", "x", "y"))
+    spark, reach = df.sparkSession, max_gap + 1
+    points = cut_lineage(base.select(*(F.col(k).cast("string").alias(k) for k in keys), F.col("frame").cast("long").alias("frame"),
+                                     F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
     limit = limit or min(100_000, max(5_000, points.count() // (2 * spark.sparkContext.defaultParallelism)))
-    points = cut_lineage(_tiles(points, keys, max_distance, limit))
-    pairs = candidate_edges(points, keys, max_distance, max_gap)
-    tile = F.explode(F.array_distinct(F.array("a.tile", "b.tile"))).alias("tile")
-    dealt = pairs.select("a", "b", "dist", tile).select("tile", F.struct(
-        F.col("b._own").alias("bf"), "dist", F.col("b.id").alias("b"), F.col("a.frame").alias("af"), F.col("a.id").alias("a"),
-        (F.col("a.tile") == F.col("tile")).alias("a_in"), (F.col("b.tile") == F.col("tile")).alias("b_in"),
-        F.when(F.col("a.tile") != F.col("b.tile"), F.struct(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"))).alias("homes")).alias("edge"))
-    dealt = cut_lineage(dealt)
-    packed = cut_lineage(dealt.groupBy("tile").agg(F.array_sort(F.collect_list(F.col("edge").dropFields("homes"))).cast(f"array<{_EDGE}>").alias("edges")))
-    border = cut_lineage(dealt.where("edge.homes is not null").select("tile", F.inline(F.array(
-        F.struct(F.col("edge.homes.a").alias("home"), F.col("edge.a").alias("id")),
-        F.struct(F.col("edge.homes.b").alias("home"), F.col("edge.b").alias("id"))))).distinct())
-
-    def around(state: DataFrame, where: DataFrame) -> DataFrame:
-        return where.join(state, ["home", "id"]).groupBy("tile").agg(F.collect_list(F.struct("id", "sf", "si", "next")).alias("around"))
-
-    state, dirty = spark.createDataFrame([], _STATE), border.select("tile").distinct()
-    while True:
-        work = packed.join(dirty, "tile", "left_semi").join(around(state, border.join(dirty, "tile", "left_semi")), "tile", "left")
-        changed = cut_lineage(work.select("tile", "edges", "around").mapInArrow(_claims(False), _STATE))
-        if changed.isEmpty():
-            break
-        state = cut_lineage(state.join(changed, ["home", "id"], "left_anti").select(changed.columns).unionByName(changed))
-        dirty = border.join(changed.select("home", "id"), ["home", "id"], "left_semi").where("tile <> home").select("tile").distinct()
-    final = packed.join(around(state, border), "tile", "left").select("tile", "edges", "around").mapInArrow(_claims(True), _STATE)
-    final = final.select(F.col("home").alias("tile"), "id", "sf", "si")
-    owner = cut_lineage(points.select(*keys, "tile", "frame", "id").join(final, ["tile", "id"], "left").select(
+    named = "tile string, " + "".join(f"{k} string, " for k in keys)
+    packed = cut_lineage(_copies(points, keys, max_distance, reach, limit).groupBy(*keys, "cx", "cy", "cs").applyInArrow(
+        _tile_edges(keys, max_distance, reach), f"{named}edges {_EDGE_SQL}, border array<struct<home:string,id:bigint>>").where("size(edges) > 0"))
+    border = cut_lineage(packed.select("tile", F.inline("border")))
+
+    def around(news: list[DataFrame]) -> DataFrame:
+        """What each tile needs to know of others, and the last round that changed any of it."""
+        state = union_all([n.withColumn("round", F.lit(i)) for i, n in enumerate(news)])
+        latest = state.groupBy("home", "id").agg(F.max(F.struct("round", "sf", "si", "next")).alias("s"))
+        return (border.join(latest, ["home", "id"]).groupBy("tile").agg(
+            F.collect_list(F.struct("id", "s.sf", "s.si", "s.next")).alias("around"), F.max(F.when(F.col("tile") != F.col("home"), F.col("s.round"))).alias("news")))
+
+    first = packed.where("size(border) > 0").select("tile", "edges", F.lit(None).cast("array<struct<id:bigint,sf:bigint,si:bigint,next:bigint>>").alias("around"))
+    news = [cut_lineage(first.mapInArrow(_claims(False), _STATE))]
+    while not news[-1].isEmpty():
+        work = packed.join(around(news).where(F.col("news") == len(news) - 1), "tile").select("tile", "edges", "around")
+        news.append(cut_lineage(work.mapInArrow(_claims(False), _STATE)))
+    final = packed.join(around(news), "tile", "left").select("tile", "edges", "around").mapInArrow(_claims(True), _STATE)
+    final = final.select(F.col("home").alias("tile"), "id", "sf", "si").join(packed.select("tile", *keys), "tile")
+    owner = cut_lineage(points.select(*keys, "frame", "id").join(final.drop("tile"), [*keys, "id"], "left").select(
         *keys, "id", F.coalesce("sf", "frame").alias("seed_frame"), F.coalesce("si", "id").alias("seed_id")))
     tracks = owner.groupBy(*keys, "seed_frame", "seed_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_track_length)
     numbered = dense_index(tracks.withColumn("_g", F.lit(0)), [*keys, "_g"], ["seed_frame", "seed_id"], F.floor(F.col("seed_frame") / 64), "_t", None)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pixelweave.functions.columns import normalize_spectrum
 from pixelweave.session import attach, cut_lineage
@@ -23,21 +25,68 @@ def _combination(weights, data: str) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def non_negative(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows a >= 0 that minimise a.gram.a - 2 a.b, for the rows of ``b``, by active sets.
+
+    A row's free components solve their normal equations; while one of them is
+    negative the row steps back to the first that reaches zero and fixes it
+    there, and when none is, the fixed component that would lower the cost most
+    becomes free. Rows with the same free components are solved together.
+    """
+    n, k = b.shape
+    a, free = np.zeros((n, k)), np.zeros((n, k), bool)
+    small = 1e-10 * max(1.0, float(np.abs(gram).max()))
+    for _ in range(30 * (k + 1)):
+        slope = np.where(free, -np.inf, b - a @ gram)
+        best = slope.argmax(axis=1)
+        todo = np.flatnonzero(slope[np.arange(n), best] > small * np.maximum(1.0, np.abs(b).max(axis=1)))
+        if not len(todo):
+            break
+        free[todo, best[todo]] = True
+        while len(todo):
+            solved = np.zeros((len(todo), k))
+            patterns, which = np.unique(free[todo], axis=0, return_inverse=True)
+            for i, p in enumerate(patterns):
+                mine, at = which.ravel() == i, np.flatnonzero(p)
+                solved[np.ix_(mine, at)] = b[todo[mine]][:, at] @ np.linalg.pinv(gram[np.ix_(at, at)])
+            falls = free[todo] & (solved <= 0)
+            back = falls.any(axis=1)
+            a[todo[~back]] = solved[~back]
+            todo, old, new, falls = todo[back], a[todo[back]], solved[back], falls[back]
+            if len(todo):
+                step = np.where(falls, old / np.maximum(old - new, 1e-300), np.inf).min(axis=1, keepdims=True)
+                moved = old + step * (new - old)
+                fixed = falls & (moved <= 1e-14 * np.maximum(1.0, np.abs(old).max(axis=1, keepdims=True)))
+                fixed[np.arange(len(todo)), np.where(falls, moved, np.inf).argmin(axis=1)] = True
+                free[todo] &= ~fixed
+                a[todo] = np.where(free[todo], np.maximum(moved, 0.0), 0.0)
+    return a
+
+
 def linear_unmix(df: DataFrame, spectra, method: str = "nnls") -> DataFrame:
     """Abundances of k component spectra (rows of ``spectra``) per pixel.
 
-    Least squares applies a constant pseudo-inverse. The non-negative optimum
-    is the best of the at most 2^k subset solutions that has no negative entry,
-    so it too is a fixed expression.
+    Least squares applies a constant pseudo-inverse. The non-negative optimum of
+    up to six components is the best of the at most 2^k subset solutions that
+    has no negative entry, a fixed expression; more components are solved by
+    active sets in Arrow batches.
     """
     s = np.asarray(spectra, dtype=float)
     k = len(s)
     if method == "lstsq":
         p = np.linalg.pinv(s.T)
         return df.withColumn("abundance", F.array(*[_combination(p[i], "data") for i in range(k)]))
-    if k > 6:
-        raise ValueError("non-negative unmixing enumerates supports of at most 6 components")
     gram = s @ s.T
+    if k > 6:
+        def solve(batches):
+            for batch in batches:
+                d = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                found = non_negative(gram, d @ s.T) if batch.num_rows else np.empty((0, k))
+                values = pa.ListArray.from_arrays(np.arange(0, (batch.num_rows + 1) * k, k, dtype=np.int32), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(1), values], names=["row", "abundance"])
+
+        slim = df.select(F.col("data").cast("array<double>").alias("data"), F.struct(*df.columns).alias("row"))
+        return slim.mapInArrow(solve, slim.select("row").schema.add("abundance", ArrayType(DoubleType()))).select("row.*", "abundance")
     df = df.withColumn("_b", F.array(*[_combination(s[i], "data") for i in range(k)]))
     options = []
     for size in range(k + 1):

@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pixelweave.operators.blocks import pad_axis
 from pixelweave.operators.temporal import gaussian_weights
@@ -440,11 +442,63 @@ def template_match(df: DataFrame, template) -> DataFrame:
 
 # -- distance ---------------------------------------------------------------
 
+def lower_envelope(f: np.ndarray) -> np.ndarray:
+    """min over u of (x - u)^2 + f[:, u] for every row and x, in one sweep to build the parabolas' envelope and one to read it.
+
+    A row keeps the parabolas that are lowest somewhere and where each begins;
+    a new one drops those it begins before. All rows go side by side. Infinite
+    entries are no parabola; a row without any stays infinite.
+    """
+    n, w = f.shape
+    rows, top = np.arange(n), np.full(n, -1)
+    apex, start = np.zeros((n, w), np.int64), np.full((n, w), -np.inf)
+    for q in range(w):
+        todo = rows[np.isfinite(f[:, q])]
+        begins = np.full(n, -np.inf)
+        while len(todo):
+            todo = todo[top[todo] >= 0]
+            v = apex[todo, top[todo]]
+            begins[todo] = ((f[todo, q] + q * q) - (f[todo, v] + v * v)) / (2.0 * (q - v))
+            todo = todo[begins[todo] <= start[todo, top[todo]]]
+            top[todo] -= 1
+            begins[todo] = -np.inf
+        new = rows[np.isfinite(f[:, q])]
+        top[new] += 1
+        apex[new, top[new]], start[new, top[new]] = q, begins[new]
+    out, at = np.full(f.shape, np.inf), np.zeros(n, np.int64)
+    some = rows[top >= 0]
+    for x in range(w):
+        move = some
+        while len(move):
+            move = move[at[move] < top[move]]
+            move = move[start[move, at[move] + 1] < x]
+            at[move] += 1
+        v = apex[some, at[some]]
+        out[some, x] = (x - v) ** 2 + f[some, v]
+    return out
+
+
+def _nearest_in_lines(batches):
+    for batch in batches:
+        depth = batch.column(1)
+        widths = np.diff(depth.offsets.to_numpy())
+        flat = depth.flatten().to_numpy(zero_copy_only=False).astype(float)  # a column without a zero has no depth: NaN
+        ends = np.cumsum(widths)
+        far = np.empty(len(flat))
+        for w in np.unique(widths):
+            places = (ends[widths == w, None] - w + np.arange(w)).astype(np.int64)
+            f = flat[places] ** 2
+            far[places] = np.sqrt(lower_envelope(np.where(np.isnan(f), np.inf, f)))
+        values = pa.array(far, mask=~np.isfinite(far))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), values)], names=["row", "far"])
+
+
 def distance_transform(df: DataFrame) -> DataFrame:
-    """Euclidean distance of non-zero pixels to the nearest zero pixel of the frame.
+    """Euclidean distance of non-zero pixels to the nearest zero pixel of the frame; null where the frame has none.
 
-    Column windows give the vertical distance g; along a row only offsets up to
-    the best distance so far can improve on it, so each pixel scans g samples.
+    Column windows give the vertical distance of each pixel; along a row the
+    distance is the lower envelope of one parabola per column, linear in the
+    width of the frame.
     """
     keys = frame_keys(df)
     w = Window.partitionBy(*keys, "x").orderBy("y")
@@ -455,14 +509,7 @@ def distance_transform(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c not in ("x", "value")]
     lines = (df.withColumn("_g", g).groupBy(*rest)
              .agg(F.array_sort(F.collect_list(F.struct("x", F.col("_g").alias("g")))).alias("_line")))
-    depth = F.transform("_line", lambda p: p["g"])
-    lines = lines.withColumn("_depth", depth)
-
-    def nearest(p):
-        reach = F.coalesce(p["g"], F.size("_depth"))
-        span = F.sequence(F.greatest(p["x"] - reach, F.lit(0)), F.least(p["x"] + reach, F.size("_depth") - 1))
-        d2 = F.transform(span, lambda u: (u - p["x"]) * (u - p["x"]) + F.get("_depth", u) * F.get("_depth", u))
-        return F.sqrt(F.array_min(d2).cast("double"))
-
-    moved = lines.select(*rest, F.inline(F.transform("_line", lambda p: F.struct(p["x"].alias("x"), nearest(p).alias("value")))))
-    return moved.select(*df.columns)
+    lines = lines.select(F.struct(*rest).alias("row"), F.transform("_line", lambda p: p["g"].cast("double")).alias("depth"))
+    far = lines.mapInArrow(_nearest_in_lines, lines.select("row").schema.add("far", ArrayType(DoubleType())))
+    moved = far.select("row.*", F.posexplode("far").alias("x", "value"))
+    return moved.select(*(F.col(c).cast(df.schema[c].dataType).alias(c) if c == "x" else F.col(c) for c in df.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -278,7 +279,22 @@ def _(spark, sf):
     return u.select("pixel_id", *[F.col("abundance")[i].alias(f"a{i}") for i in range(3)])
 
 
-@query("linear_unmix_nnls")
+def least_squares_of(support):
+    """SQL struct of cost and abundances of the least-squares solution on a support; null where an abundance is negative."""
+    s = np.asarray(SPECTRA, dtype=float)[list(support)]
+    inverse = np.linalg.pinv(s.T)
+    found = {c: f"({dot(inverse[r])})" for r, c in enumerate(support)}
+    residual = [f"(data[{j + 1}] - ({' + '.join(f'{found[c]} * CAST({float(s[r, j])!r} AS DOUBLE)' for r, c in enumerate(support))})) ** 2" for j in range(8)]
+    cost = " + ".join(residual)
+    values = ", ".join(found.get(c, "CAST(0 AS DOUBLE)") for c in range(3))
+    return f"CASE WHEN {' AND '.join(f'{v} >= 0' for v in found.values())} THEN {{'cost': {cost}, 'a': [{values}]}} END"
+
+
+SUPPORTS = [c for n in (1, 2, 3) for c in itertools.combinations(range(3), n)]
+NNLS = f"""{fx.SPECTRA}, best AS (SELECT pixel_id, list_min([{{'cost': list_sum([v * v FOR v IN data]), 'a': [CAST(0 AS DOUBLE), 0, 0]}}, {', '.join(map(least_squares_of, SUPPORTS))}]) AS b FROM spec)"""
+
+
+@query("linear_unmix_nnls", f"WITH {NNLS} SELECT pixel_id, b.a[1] AS a0, b.a[2] AS a1, b.a[3] AS a2 FROM best", "a0 a1 a2")
 def _(spark, sf):
     u = SP.linear_unmix(fx.spectra(spark, sf), SPECTRA, "nnls")
     return u.select("pixel_id", *[F.col("abundance")[i].alias(f"a{i}") for i in range(3)])
@@ -331,7 +347,15 @@ def _(spark, sf):
     return back.join(raw, "id").select("image_id", "id", "class_name", *[F.col(f"_{c}").alias(c) for c in ("x", "y", "width", "height")], "confidence", near.alias("ok"))
 
 
-@query("nms_boxes")
+GREEDY = f"""RECURSIVE {fx.BOXES}, r AS (SELECT image_id, {{'id': id, 'x': x, 'y': y, 'w': width, 'h': height, 'c': confidence}} AS b,
+  row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, id) AS k FROM box),
+g AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, list_filter([b], lambda z: false) AS kept FROM r WHERE k = 1
+  UNION ALL SELECT g.image_id, r.k, CASE WHEN len(list_filter(kept, lambda z: greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y))
+    > 0.3 * (z.w * z.h + b.w * b.h - greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y)) + 1e-6))) = 0 THEN list_append(kept, b) ELSE kept END
+  FROM g JOIN r ON r.image_id = g.image_id AND r.k = g.k + 1)"""
+
+
+@query("nms_boxes", f"WITH {GREEDY} SELECT image_id, k.id AS id, k.c AS confidence FROM (SELECT image_id, unnest(kept) AS k FROM (SELECT image_id, arg_max(kept, k) AS kept FROM g GROUP BY 1) a) u", "confidence")
 def _(spark, sf):
     return B.nms_boxes(fx.boxes(spark, sf), 0.3).select("image_id", "id", "confidence")
 

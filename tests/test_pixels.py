@@ -251,3 +251,23 @@ def test_scaled_alignment_keeps_the_extent(stack_of, scale):
     for r in AL.channel_alignment(stack_of(a), stack_of(a), scale=scale).collect():
         got[r.y, r.x] = r.v2
     np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+def test_envelope_is_the_least_parabola():
+    from pixelweave.operators.stencil import lower_envelope
+
+    rng = np.random.default_rng(21)
+    for w in (1, 2, 9, 40):
+        f = np.where(rng.random((200, w)) < 0.5, np.inf, rng.integers(0, 30, (200, w)) ** 2.0)
+        x = np.arange(w)
+        assert (lower_envelope(f) == ((x[:, None] - x[None]) ** 2 + f[:, None, :]).min(axis=2)).all()
+
+
+def test_distance_on_a_frame_with_one_zero(stack_of, array_of):
+    from pixelweave.operators import stencil
+
+    a = np.ones((2, 20, 30))
+    a[0, 3, 25] = 0
+    got = array_of(stencil.distance_transform(stack_of(a)))
+    y, x = np.mgrid[:20, :30]
+    assert np.allclose(got[0], np.hypot(y - 3, x - 25)) and np.isnan(got[1].astype(float)).all()

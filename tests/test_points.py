@@ -51,17 +51,16 @@ def test_linking_equals_the_sequential_rule(spark, limit):
 
 
 def test_linking_over_many_tiles_of_a_percolating_cloud(spark):
-    """Candidate edges join nearly all points; tiles of 60 points settle in rounds to the sequential result."""
+    """Candidate edges join nearly all points; tiles of 100 points settle in rounds to the sequential result, movie by movie."""
     rng = np.random.default_rng(17)
-    rows = [(int(f), float(x), float(y)) for f in range(40) for x, y in np.concatenate([rng.uniform(0, 40, size=(50, 2)), rng.normal(20, 2, size=(15, 2))])]
+    rows = [(int(f), float(x), float(y)) for f in range(16) for x, y in np.concatenate([rng.uniform(0, 36, size=(35, 2)), rng.normal(20, 2, size=(10, 2))])]
     want = greedy(rows, 4.0, 1)
     movies = points(spark, rows).withColumn("movie_id", F.explode(F.array(F.lit("a:1"), F.lit("b"))))
-    for movie in ("a:1", "b"):
-        got = {r.id: r.track_id for r in L.link_greedy(movies, 4.0, 1, 1, 60).where(F.col("movie_id") == movie).collect()}
-        seeds = {}
-        for i, t in got.items():
-            seeds.setdefault(t, set()).add(want[i])
-        assert len(got) == len(rows) and len(seeds) == len(set(want.values())) and all(len(v) == 1 for v in seeds.values())
+    seeds = {}
+    for r in L.link_greedy(movies, 4.0, 1, 1, 100).select("movie_id", "id", "track_id").collect():
+        seeds.setdefault((r.movie_id, r.track_id), []).append(want[r.id])
+    assert sum(map(len, seeds.values())) == 2 * len(rows) and len(seeds) == 2 * len(set(want.values()))
+    assert all(len(set(v)) == 1 for v in seeds.values())
 
 
 def test_two_tracks_and_a_gap(spark):
@@ -100,6 +99,22 @@ def test_neighbours_with_copies(spark):
     assert [got[i]["n_within_1_5"] for i in range(7)] == [1, 1, 0, 2, 2, 2, 0]
 
 
+def test_nearest_neighbour_on_two_densities_compares_few_pairs(spark, monkeypatch):
+    """2000 points inside a thousandth of a pixel among 2000 over a thousand pixels: fewer than 60 candidates a point (all pairs are 4000)."""
+    rng = np.random.default_rng(18)
+    xy = np.concatenate([500 + rng.uniform(0, 1e-3, size=(2000, 2)), rng.uniform(0, 1000, size=(2000, 2))])
+    seen, join = [], S.range_join
+    monkeypatch.setattr(S, "range_join", lambda *args: seen.append(args) or join(*args))
+    got = {r.id: r.nn_dist for r in S.nearest_neighbour(points(spark, [(0, float(a), float(b)) for a, b in xy]), ["frame"]).select("id", "nn_dist").collect()}
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) + np.where(np.eye(len(xy)), np.inf, 0)
+    assert np.allclose([got[i] for i in range(len(xy))], d.min(axis=1), rtol=1e-12)
+    candidates = 0
+    for left, right, radius, keys in seen:
+        cells = S._cells(left, radius, False).select(*keys, "_cx", "_cy").join(S._cells(right, radius, True).select(*keys, "_cx", "_cy"), [*keys, "_cx", "_cy"])
+        candidates += cells.count()
+    assert candidates < 60 * len(xy)
+
+
 def test_density_filter_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     xy = np.concatenate([rng.uniform(0, 30, size=(150, 2)), np.repeat([[4.0, 4.0]], 20, axis=0)])
@@ -159,6 +174,36 @@ def test_nonnegative_unmixing_is_optimal(spark):
         assert (a >= 0).all() and (g > -1e-9).all() and abs(a @ g) < 1e-9
 
 
+def test_nonnegative_unmixing_of_many_components(spark):
+    rng = np.random.default_rng(19)
+    s, data = np.abs(rng.normal(size=(12, 20))), rng.normal(size=(60, 20))
+    df = spark.createDataFrame([(i, [float(v) for v in d]) for i, d in enumerate(data)], "pixel_id int, data array<double>")
+    rows = SP.linear_unmix(df, s, "nnls").collect()
+    assert len(rows) == 60
+    for r in rows:
+        a, g = np.array(r.abundance), s @ (np.array(r.abundance) @ s - data[r.pixel_id])
+        assert (a >= 0).all() and (g > -1e-9).all() and abs(a @ g) < 1e-9
+    few = s[:5]
+    fixed = {r.pixel_id: r.abundance for r in SP.linear_unmix(df, few, "nnls").collect()}
+    assert np.allclose(SP.non_negative(few @ few.T, data @ few.T), [fixed[i] for i in range(60)], atol=1e-9)
+
+
+def test_a_page_wide_box_makes_no_cell_wider(spark):
+    rng = np.random.default_rng(20)
+    rows = [(1, i, float(x), float(y), float(w), float(h), float(c)) for i, (x, y, w, h, c) in enumerate(np.column_stack(
+        [rng.uniform(0, 200, (150, 2)), 2 ** rng.uniform(1, 6, (150, 2)), np.round(rng.uniform(0, 1, 150), 1)]))] + [(1, 150, 0.0, 0.0, 1e5, 1e5, 0.5)]
+    df = spark.createDataFrame(rows, "image_id int, id long, x double, y double, width double, height double, confidence double")
+
+    def iou(p, q):
+        iw = max(0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]))
+        ih = max(0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3]))
+        return iw * ih / (p[4] * p[5] + q[4] * q[5] - iw * ih + 1e-6)
+
+    for least in (0.01, 0.3, 0.6):
+        want = {(p[1], q[1]) for p in rows for q in rows if p != q and (-p[6], p[1]) < (-q[6], q[1]) and iou(p, q) > least}
+        assert {(r.winner, r.loser) for r in B.overlapping_boxes(df, least).collect()} == want
+
+
 def test_fits_recover_parameters(spark):
     t = np.arange(60.0)
     rows = [("d", int(i), float(8 * np.exp(-0.07 * i) + 2)) for i in t]
