@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.operators.blocks import dense_index
 from pixelweave.session import cut_lineage
 
 WORD = r"\p{L}\p{N}._%+\-"
@@ -35,6 +36,10 @@ GIVEN = {("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hu
          ("cyrillic", "f"): ["Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина"]}
 
 
+#: Draws of a number before its kind and length count as full.
+DRAWS = 16
+
+
 def _byte(h: Column, i: Column) -> Column:
     """Number 0 to 255 at place i of a hex digest, going round."""
     at = (i % 64) * 2 + 1
@@ -118,14 +123,26 @@ def _rewritten(e: Column, kind: Column, new: Column) -> Column:
     return F.when(kind == "name", names).when(kind.isin("phone", "card"), digits).otherwise(plain)
 
 
+def _turned(units: DataFrame, key: str) -> DataFrame:
+    """``kind, unit, surrogate``: units of one kind and length in a keyed order, each with the next one's value, the last with the first's."""
+    h = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("cycle"), "kind", "unit"), 256)
+    ranked = dense_index(units.withColumn("h", h), ["kind", "length"], ["h", "unit"], F.substring("h", 1, 4), "i", "size")
+    ranked = cut_lineage(ranked.select("kind", "length", "unit", "i", "size"))
+    after = ranked.select("kind", "length", F.pmod(F.col("i") - 1, "size").alias("i"), F.col("unit").alias("surrogate"))
+    return ranked.join(after, ["kind", "length", "i"]).select("kind", "unit", "surrogate")
+
+
 def assign(units: DataFrame, key: str) -> DataFrame:
     """``kind, unit, surrogate``: an injective, keyed choice for distinct units (``kind, unit``).
 
     Of units of one kind that draw the same surrogate the least keeps it; the
     others, and those whose surrogate is a unit of the corpus, draw again. A draw
-    depends on the key, the unit and the number of the draw alone. Domains,
-    addresses and keys have room for any corpus; where a kind has fewer possible
-    surrogates than units (two-digit numbers, say) later draws are longer.
+    depends on the key, the unit and the number of the draw alone. Later draws of
+    names and addresses are longer, so they have room for any corpus. Numbers
+    keep their digits: where the corpus holds so many of one length that some are
+    left after DRAWS draws, all numbers of that kind and length trade places
+    along one keyed cycle, so each has another's value and none its own (a length
+    is only so full with several of them).
     """
     real = units.select("kind", F.col("unit").alias("surrogate"))
     done, waiting, turn = None, units, 0
@@ -143,8 +160,16 @@ def assign(units: DataFrame, key: str) -> DataFrame:
         turn += 1
         if waiting.isEmpty():
             return done
-        if turn >= 64:
-            raise ValueError("more distinct units of one kind than surrogates in its format")
+        if turn >= DRAWS:
+            full = cut_lineage(waiting.filter(F.col("kind").isin("phone", "card")).select("kind", F.length("unit").alias("length")).distinct())
+            if turn % DRAWS == 0 and not full.isEmpty():
+                sized = [d.withColumn("length", F.length("unit")) for d in (units, done, waiting)]
+                moved = _turned(sized[0].join(full, ["kind", "length"]), key)
+                done = sized[1].join(full, ["kind", "length"], "left_anti").select("kind", "unit", "surrogate").unionByName(moved)
+                waiting = sized[2].join(full, ["kind", "length"], "left_anti").select("kind", "unit")
+                done, waiting = cut_lineage(done), cut_lineage(waiting)
+                if waiting.isEmpty():
+                    return done
 
 
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,3 +131,12 @@ def test_no_entity_of_the_test_documents_is_left(spark):
     both = docs.join(surrogates.pseudonymise(docs, "k").select("doc_id", F.col("text").alias("new")), "doc_id")
     left = both.select(F.explode(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).alias("e"), "new")
     assert left.count() > 10 and left.filter(F.contains("new", "e")).count() == 0
+
+
+def test_a_full_number_space_trades_places(spark):
+    """All 100 two-digit numbers and 7000 of four digits: nobody keeps a number, nobody shares one."""
+    units = [("phone", f"{i:02d}") for i in range(100)] + [("phone", f"{i:04d}") for i in range(7000)] + [("card", "1234567890123456"), ("surname", "weber")]
+    found = {(r.kind, r.unit): r.surrogate for r in surrogates.assign(spark.createDataFrame(units, "kind string, unit string"), "k").collect()}
+    assert found.keys() == set(units)
+    assert len({(k, s) for (k, _), s in found.items()}) == len(units)
+    assert all(s != u and (k == "surname" or len(s) == len(u) and s.isdigit()) for (k, u), s in found.items())
