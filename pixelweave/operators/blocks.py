@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from pixelweave.session import attach, cut_lineage, spread
 
@@ -108,6 +111,96 @@ def lagged_pairs(df: DataFrame, keys: list[str], idx: str, fields: list[str],
     return unrolled.select(*keys, "lag", F.col("_p").alias("a"), F.col("_q").alias("b"))
 
 
+#: Points of a block of a long series, and the longest series whose lags are taken one by one.
+LONG_BLOCK, SHORT = 1024, 512
+_LAGS = pa.struct([("lag", pa.int64()), ("sq", pa.float64()), ("n", pa.int64())])
+
+
+def _short_lags(x: np.ndarray, sizes: np.ndarray, limits: np.ndarray):
+    """(row, lag, sum of squared displacements, pairs) of padded short series (row, axis, point), lag by lag."""
+    for lag in range(1, int(limits.max(initial=0)) + 1):
+        rows = np.flatnonzero(limits >= lag)
+        if x.shape[2] > lag:
+            d = ((x[rows][:, :, lag:] - x[rows][:, :, :-lag]) ** 2).sum(axis=1)
+            valid = np.arange(d.shape[1]) < (sizes[rows] - lag)[:, None]
+            yield rows, np.full(len(rows), lag), np.where(valid, d, 0.0).sum(axis=1), valid.sum(axis=1)
+
+
+def _block_lags(a: np.ndarray, b: np.ndarray, first: int, limit: int):
+    """(lag, sum, pairs) between blocks a and b (axis, point), b starting ``first`` later: one transform and prefix sums.
+
+    |b - a|^2 is |a|^2 + |b|^2 - 2 a.b, and all products of a lag are one entry
+    of a cross correlation. Both are taken from a's first point, so that the
+    squares stay as small as the displacements they are for.
+    """
+    a, b = a - a[:, :1], b - a[:, :1]
+    la, lb = a.shape[1], b.shape[1]
+    size = 1 << (la + lb - 1).bit_length()
+    product = np.fft.irfft((np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size)).sum(axis=0), size)
+    lag = np.arange(max(1, first - la + 1), min(limit, first + lb - 1) + 1)
+    k = lag - first
+    low, high = np.maximum(0, -k), np.minimum(la, lb - k)
+    sa, sb = (np.append(0.0, np.cumsum((v * v).sum(axis=0))) for v in (a, b))
+    sq = sa[high] - sa[low] + sb[high + k] - sb[low + k] - 2 * product[k % size]
+    return lag, np.maximum(sq, 0.0), high - low
+
+
+def _lag_rows(batches):
+    for batch in batches:
+        n = batch.num_rows
+        limits, first = batch.column("limit").to_numpy(), batch.column("first").to_numpy()
+        series = [[batch.column(side).field(f).values.to_numpy() for f in (0, 1)] for side in ("a", "b")]
+        ends = [batch.column(side).field(0).offsets.to_numpy() for side in ("a", "b")]
+        sizes = np.diff(ends[0])
+        out = [[] for _ in range(4)]
+        short = np.flatnonzero((first == 0) & (sizes <= SHORT))
+        for width in np.unique(1 << np.ceil(np.log2(np.maximum(sizes[short], 1))).astype(int)):
+            rows = short[(sizes[short] <= width) & (sizes[short] > width // 2)]
+            places = np.minimum(ends[0][rows][:, None] + np.arange(width), max(ends[0][-1] - 1, 0))
+            x = np.stack([v[places] for v in series[0]], axis=1)
+            for at, lag, sq, pairs in _short_lags(x, sizes[rows], limits[rows]):
+                for c, v in zip(out, (rows[at], lag, sq, pairs), strict=True):
+                    c.append(v)
+        for r in np.setdiff1d(np.arange(n), short):
+            a, b = (np.stack([v[e[r]:e[r + 1]] for v in s]) for s, e in zip(series, ends, strict=True))
+            b = b if b.size else a  # a block with itself comes once
+            lag, sq, pairs = _block_lags(a, b, int(first[r]), int(limits[r]))
+            for c, v in zip(out, (np.full(len(lag), r), lag, sq, pairs), strict=True):
+                c.append(v)
+        row, lag, sq, pairs = (np.concatenate([np.empty(0), *c]) for c in out)
+        order = np.argsort(row, kind="stable")
+        lags = pa.StructArray.from_arrays([pa.array(v[order].astype(t)) for v, t in ((lag, np.int64), (sq, float), (pairs, np.int64))], fields=list(_LAGS))
+        offsets = np.append(0, np.cumsum(np.bincount(row.astype(np.int64), minlength=n))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(offsets, lags)], names=["key", "lags"])
+
+
+def lag_square_sums(df: DataFrame, keys: list[str], idx: str, x: str, y: str, max_lag: Column, block: int = LONG_BLOCK) -> DataFrame:
+    """(keys, lag, sq, n): sum of |r(i + lag) - r(i)|^2 and the number of pairs, for 1 <= lag <= max_lag.
+
+    Series of one block are worked on where they are gathered; blocks of longer
+    ones meet the blocks their lags reach, each pair of blocks by one transform,
+    so nothing grows with the number of point pairs and no task sees a series.
+    """
+    rows = df.withColumn("_limit", max_lag).withColumn("_blk", F.floor(F.col(idx) / F.lit(block)))
+    point = F.struct(F.col(idx).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    blocks = rows.groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(point)).alias("_p"), F.max("_limit").cast("long").alias("_limit"))
+
+    def axes(p):
+        return F.struct(F.transform(p, lambda v: v["x"]).alias("x"), F.transform(p, lambda v: v["y"]).alias("y"))
+
+    blocks = blocks.select(*keys, "_blk", "_limit", axes(F.col("_p")).alias("_p"))
+    key = F.struct(*keys).alias("key")
+    alone = blocks.select(key, F.col("_limit").alias("limit"), F.lit(0).cast("long").alias("first"), F.col("_p").alias("a"), F.when(F.lit(False), F.col("_p")).alias("b"))
+    reach = F.floor((F.col("_limit") + F.lit(block - 1)) / F.lit(block))
+    left = blocks.where(F.col("_limit") > 0).select(*keys, "_limit", F.col("_p").alias("a"), F.col("_blk").alias("_own"),
+                                                   F.explode(F.sequence(F.col("_blk") + 1, F.col("_blk") + F.greatest(reach, F.lit(1)))).alias("_blk"))
+    apart = left.join(blocks.where("_blk > 0").select(*keys, "_blk", F.col("_p").alias("b")), [*keys, "_blk"]).select(
+        key, F.col("_limit").alias("limit"), ((F.col("_blk") - F.col("_own")) * block).alias("first"), "a", "b")
+    pairs = alone.unionByName(apart)
+    schema = pairs.select("key").schema.add("lags", ArrayType(StructType([StructField(n, t) for n, t in (("lag", LongType()), ("sq", DoubleType()), ("n", LongType()))])))
+    return pairs.mapInArrow(_lag_rows, schema).select("key.*", F.inline("lags"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     direct: int = 200_000, bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated quantiles of groups of any size.

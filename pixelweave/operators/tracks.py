@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelweave.operators.blocks import (
-    BLOCK, block_window, core, dense_index, exact_quantiles, halo, lagged_pairs)
+    BLOCK, block_window, core, dense_index, exact_quantiles, halo, lag_square_sums, lagged_pairs)
 from pixelweave.schemas import track_keys
 from pixelweave.session import attach, cut_lineage
 
@@ -222,10 +222,8 @@ def msd_single(df: DataFrame, max_lag: int | None = None) -> DataFrame:
     """Mean squared displacement per track and index lag."""
     rows = indexed(df)
     limit = default_max_lag(F.col("n")) if max_lag is None else F.least(F.lit(max_lag), F.col("n") - 1)
-    pairs = lagged_pairs(rows, track_keys(df), "idx", ["x", "y"], limit)
-    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    return pairs.groupBy(*track_keys(df), "lag").agg(
-        F.avg(dx * dx + dy * dy).alias("msd"), F.count(F.lit(1)).alias("n_pairs"))
+    sums = lag_square_sums(rows, track_keys(df), "idx", "x", "y", limit)
+    return sums.groupBy(*track_keys(df), "lag").agg((F.sum("sq") / F.sum("n")).alias("msd"), F.sum("n").alias("n_pairs"))
 
 
 def msd_ensemble(df: DataFrame, max_lag: int | None = None) -> DataFrame:
@@ -241,9 +239,8 @@ def msd_ensemble(df: DataFrame, max_lag: int | None = None) -> DataFrame:
 
 
 def msd_pooled(df: DataFrame, max_lag: int) -> DataFrame:
-    pairs = lagged_pairs(indexed(df), track_keys(df), "idx", ["x", "y"], F.least(F.lit(max_lag), F.col("n") - 1))
-    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    return pairs.groupBy("lag").agg(F.avg(dx * dx + dy * dy).alias("msd"), F.count(F.lit(1)).alias("n_pairs"))
+    sums = lag_square_sums(indexed(df), track_keys(df), "idx", "x", "y", F.least(F.lit(max_lag), F.col("n") - 1))
+    return sums.groupBy("lag").agg((F.sum("sq") / F.sum("n")).alias("msd"), F.sum("n").alias("n_pairs"))
 
 
 def _linear_terms(ndim: int) -> Column:

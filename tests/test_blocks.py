@@ -42,3 +42,19 @@ def test_pad_axis_reflects_twice(spark):
     for mode, name in (("reflect", "symmetric"), ("nearest", "edge"), ("mirror", "reflect")):
         rows = B.pad_axis(df, "t", F.lit(3), 7, 7, mode, "u").orderBy("u").collect()
         assert [r.v for r in rows] == list(np.pad(np.arange(3.0), 7, mode=name)), mode
+
+
+def test_lag_sums_of_short_and_long_series(spark):
+    """Lag by lag, by transforms in one block, and over many blocks, against differences of the whole series."""
+    from pixelweave.operators import tracks
+
+    rng = np.random.default_rng(22)
+    series = {1: 1, 2: 2, 3: 9, 4: 600, 5: 1024, 6: 3000}
+    walks = {k: np.cumsum(rng.normal(size=(n, 2)), axis=0) + 1e3 for k, n in series.items()}
+    walks[7] = np.full((40, 2), 3.5)
+    df = spark.createDataFrame([(k, i, float(p[0]), float(p[1])) for k, w in walks.items() for i, p in enumerate(w)], "track_id long, frame int, x double, y double")
+    got = {(r.track_id, r.lag): (r.msd, r.n_pairs) for r in tracks.msd_single(df).collect()}
+    want = {(k, lag): (((w[lag:] - w[:-lag]) ** 2).sum(axis=1).mean(), len(w) - lag) for k, w in walks.items()
+            for lag in range(1, min(max(len(w) // 4, 2), len(w) - 1) + 1)}
+    assert got.keys() == want.keys() and all(got[k][1] == v[1] for k, v in want.items())
+    assert all(abs(got[k][0] - v[0]) <= 1e-9 * v[0] for k, v in want.items())
