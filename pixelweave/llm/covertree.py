@@ -247,27 +247,26 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(_PACKED.names, [cell, sub, dim, *longs, body, owner.tobytes()], strict=True))], schema=_PACKED)
 
 
-def _traverse(threshold: float):
-    schema = pa.schema([(c, pa.int64()) for c in ("h", "g", "n", "a", "b")])
+_FOUND = pa.schema([(c, pa.int64()) for c in ("h", "g", "n", "a", "b")])
 
-    def block(row: dict, side: str) -> tuple[Block, dict]:
-        longs = {c: np.frombuffer(row[f"{c}{side}"], np.int64) for c in ("h", "g", "rep", "w")}
-        n, dim = len(longs["h"]), row["dim"]
-        body = row[f"v{side}"]
-        v = np.frombuffer(body, np.float32 if len(body) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
-        return Block(v, longs["w"], np.frombuffer(row[f"owner{side}"], np.int64)), longs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                a, at = block(row, "")
-                b, bt = (a, at) if row["cell"] == row["cell_2"] and row["sub"] == row["sub_2"] else block(row, "_2")
-                walk = Traversal(a, b, threshold)
-                walk.run()
-                every = at if a is b else {c: np.concatenate([at[c], bt[c]]) for c in at}
-                hit = np.flatnonzero(walk.links)
-                yield batch_of(schema, [every["h"][hit], every["g"][hit], walk.links[hit], every["rep"][hit], every["rep"][walk.label[hit]]])
+def _traverse(threshold: float):
+    """The linked vectors of one or two blocks: how many links each has in this pair, and a label of its component."""
+    def block(row: dict) -> tuple[Block, dict]:
+        longs = {c: np.frombuffer(row[c], np.int64) for c in ("h", "g", "rep", "w")}
+        n, dim, body = len(longs["h"]), row["dim"], row["v"]
+        v = np.frombuffer(body, np.float32 if len(body) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+        return Block(v, longs["w"], np.frombuffer(row["owner"], np.int64)), longs
+
+    def run(table: pa.Table) -> pa.Table:
+        (a, at), *more = [block(r) for r in table.to_pylist()]
+        b, bt = more[0] if more else (a, at)
+        walk = Traversal(a, b, threshold)
+        walk.run()
+        every = {c: np.concatenate([at[c], bt[c]]) for c in at} if more else at
+        hit = np.flatnonzero(walk.links)
+        found = [every["h"][hit], every["g"][hit], walk.links[hit], every["rep"][hit], every["rep"][walk.label[hit]]]
+        return pa.Table.from_batches([batch_of(_FOUND, found)])
 
     return run
 
@@ -356,13 +355,12 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
 
     dealt = attach(nodes, cells.select("cell", "subs"), ["cell"]).withColumn("sub", F.pmod("h", F.col("subs").cast("long")))
     blocks = cut_lineage(dealt.select("cell", "sub", "dim", "h", "g", "rep", "w", "v").groupBy("cell", "sub").applyInArrow(_pack, _PACKED_SQL))
-    other = blocks.select("dim", *(F.col(c).alias(f"{c}_2") for c in ("cell", "sub", "h", "g", "rep", "w", "v", "owner"))).drop("dim")
-    names, names_2 = blocks.select("cell", "sub"), other.select("cell_2", "sub_2")
-    both = pairs.join(names, "cell").join(names_2, "cell_2").filter("cell < cell_2 or cell > cell_2 or sub <= sub_2")
-    tasks = both.count()
-    work = both.join(blocks, ["cell", "sub"]).join(other, ["cell_2", "sub_2"])
-    found = cut_lineage(work.repartition(max(1, min(tasks, 1 << 16)), "cell", "sub", "cell_2", "sub_2")
-                            .mapInArrow(_traverse(threshold), "h long, g long, n long, a long, b long"))
+    names = blocks.select("cell", "sub")
+    both = pairs.join(names, "cell").join(names.toDF("cell_2", "sub_2"), "cell_2").filter("cell <> cell_2 or sub <= sub_2")
+    both = cut_lineage(both.withColumn("pair", F.monotonically_increasing_id()))
+    ends = both.select("pair", F.inline(F.array_distinct(F.array(F.struct("cell", "sub"), F.struct(F.col("cell_2").alias("cell"), F.col("sub_2").alias("sub"))))))
+    sent = attach(blocks, ends, ["cell", "sub"], "inner").repartition(max(1, min(both.count(), 1 << 16)), "pair")
+    found = cut_lineage(sent.groupBy("pair").applyInArrow(_traverse(threshold), "h long, g long, n long, a long, b long"))
 
     links = found.groupBy("h", "g").agg(F.sum("n").alias("n"))
     same = keys.join(nodes.select("h", "g", "rep"), ["h", "g"]).filter("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
