@@ -271,3 +271,20 @@ def test_distance_on_a_frame_with_one_zero(stack_of, array_of):
     got = array_of(stencil.distance_transform(stack_of(a)))
     y, x = np.mgrid[:20, :30]
     assert np.allclose(got[0], np.hypot(y - 3, x - 25)) and np.isnan(got[1].astype(float)).all()
+
+
+def test_channels_are_turned_about_the_middle(stack_of, array_of):
+    from pixelweave.operators import align
+
+    rng = np.random.default_rng(23)
+    a = rng.uniform(size=(2, 7, 9))
+    y, x = np.mgrid[:7, :9]
+    for degrees in (90.0, -180.0, 17.0, -123.4):
+        c, s = (round(v(np.radians(degrees)), 15) for v in (np.cos, np.sin))
+        py, px = c * (y - 3) + s * (x - 4) + 3, -s * (y - 3) + c * (x - 4) + 4
+        inside = (py >= 0) & (py <= 6) & (px >= 0) & (px <= 8)
+        y0, x0 = (np.clip(np.floor(v).astype(int), 0, n) for v, n in ((py, 6), (px, 8)))
+        y1, x1, fy, fx = np.minimum(y0 + 1, 6), np.minimum(x0 + 1, 8), py - y0, px - x0
+        want = (a[:, y0, x0] * (1 - fy) * (1 - fx) + a[:, y1, x0] * fy * (1 - fx) + a[:, y0, x1] * (1 - fy) * fx + a[:, y1, x1] * fy * fx) * inside
+        got = align.channel_alignment(stack_of(a), stack_of(a), rotation=degrees)
+        assert np.allclose(array_of(got, "v2"), want, atol=1e-9) and np.allclose(array_of(got, "v1"), a)
