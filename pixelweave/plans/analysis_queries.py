@@ -374,35 +374,17 @@ def _(spark, sf):
     return LF.to_thunderstorm(fx.locs(spark, sf))
 
 
-@query("read_thunderstorm", f"WITH {fx.LOCS} SELECT CAST(frame AS BIGINT) AS frame, x, y, intensity FROM locs", "x y intensity")
-def _(spark, sf):
-    return LF.from_thunderstorm(LF.to_thunderstorm(fx.locs(spark, sf)))
-
-
 @query("particle_csv_export", f"WITH {fx.LOCS} SELECT id + 1 AS id, CAST(frame + 1 AS BIGINT) AS frame, x * 108 AS xn, y * 108 AS yn, intensity FROM locs", "xn yn intensity")
 def _(spark, sf):
     return LF.to_particle_csv(fx.locs(spark, sf)).toDF("id", "frame", "xn", "yn", "intensity")
 
 
-@query("read_spt_csv", f"WITH {fx.LOCS} SELECT id, CAST(frame AS BIGINT) AS frame, x, y, intensity, CASE WHEN intensity > 50000 THEN -1 ELSE id % 1000 END AS track_id FROM locs", "x y intensity")
-def _(spark, sf):
-    raw = fx.locs(spark, sf).select(F.col("id").alias("ID"), F.col("frame").alias(" Frame"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("intensity").alias("Intensities"),
-                                    F.when(F.col("intensity") <= 50000, F.col("id") % 1000).alias("particle"))
-    return LF.from_spt_csv(raw)
-
-
 @query("write_locs_json", f"WITH {fx.TRACKS} SELECT track_id, count(*) AS n, min(frame) AS first, max(frame) AS last FROM trk GROUP BY 1")
 def _(spark, sf):
     d = LF.track_documents(fx.tracks(spark, sf))
     return d.select("track_id", F.size("points").cast("long").alias("n"), F.col("points")[0]["frame"].alias("first"), F.element_at("points", -1)["frame"].alias("last"))
 
 
-@query("read_locs_json", f"WITH {fx.TRACKS} SELECT track_id, CAST(frame AS BIGINT) AS frame, x, y, intensity FROM trk", "x y intensity")
-def _(spark, sf):
-    docs = LF.track_documents(fx.tracks(spark, sf)).select(F.to_json(F.struct(F.array(F.struct("track_id", "points")).alias("tracks"))).alias("text"))
-    return LF.from_json_documents(docs.select(F.from_json("text", LF.JSON_SCHEMA).alias("d")).select("d.*"))
-
-
 @query("count_export", "SELECT event_id AS number, event_type AS category, format('{:.2f}', value) AS x, format('{:.2f}', CAST(props->>'k' AS DOUBLE)) AS y, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS frame FROM events ORDER BY category, frame, number")
 def _(spark, sf):
     return TB.count_table(fx.markers(spark, sf))

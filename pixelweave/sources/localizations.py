@@ -171,7 +171,10 @@ def read_locs_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spt_json(spark: SparkSession, path: str) -> DataFrame:
-    """txy_pts with index-list tracks (tracks of one point stay unlinked), else as read_locs_json."""
+    """txy_pts with index-list tracks (tracks of one point stay unlinked), else as read_locs_json.
+
+    Point and track numbers count from 0 in each file, which ``file`` names.
+    """
     raw = spark.read.schema("txy_pts array<array<double>>, tracks array<array<bigint>>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     indexed = raw.where("txy_pts is not null").select(F.input_file_name().alias("file"), "txy_pts", "tracks")
     if indexed.isEmpty():
@@ -181,7 +184,7 @@ def read_spt_json(spark: SparkSession, path: str) -> DataFrame:
     members = indexed.select("file", F.posexplode("tracks").alias("track_id", "m")).where(F.size("m") > 1).select(
         "file", F.col("track_id").cast("long").alias("track_id"), F.explode("m").alias("id"))
     owner = members.groupBy("file", "id").agg(F.max("track_id").alias("track_id"))
-    return points.join(owner, ["file", "id"], "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1).cast("long"))).drop("file")
+    return points.join(owner, ["file", "id"], "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1).cast("long")))
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
