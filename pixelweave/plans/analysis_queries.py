@@ -140,7 +140,28 @@ def _(spark, sf):
 
 # -- linking ----------------------------------------------------------------
 
-@query("link_greedy")
+#: Frame by frame: heads take their nearest free point in the order of their seeds (a fold over a list), what is left starts tracks.
+HEAD = "{'sf': %s, 'sid': %s, 'frame': %s, 'x': %s, 'y': %s}"
+NEAR = "(len(list_filter(coalesce(f.p, []), lambda q: sqrt((q.x - k.x) ** 2 + (q.y - k.y) ** 2) < 1.0)) > 0)"
+LINKED = f"""RECURSIVE {fx.LOCS},
+f AS MATERIALIZED (SELECT CAST(frame AS BIGINT) AS frame, list({{'id': CAST(id AS BIGINT), 'x': CAST(x AS DOUBLE), 'y': CAST(y AS DOUBLE)}} ORDER BY id) AS p FROM locs GROUP BY 1),
+none AS MATERIALIZED (SELECT (SELECT max(frame) FROM f) AS last, list_filter([{HEAD % ("CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)")}], lambda h: false) AS h, list_filter([CAST(0 AS BIGINT)], lambda i: false) AS ids),
+step AS (SELECT (SELECT min(frame) FROM f) - 1 AS frame, h AS heads, ids AS own, h AS owners FROM none
+  UNION ALL
+  SELECT frame, list_sort(list_concat(list_filter(list_concat(apart, acc.kept), lambda h: h.frame >= frame - 1), list_concat(acc.links, seeds))), list_concat(acc.taken, list_transform(seeds, lambda s: s.sid)), list_concat(acc.links, seeds)
+  FROM (SELECT frame, acc, apart, list_transform(list_filter(p, lambda q: NOT list_contains(acc.taken, q.id)), lambda q: {HEAD % ("frame", "q.id", "frame", "q.x", "q.y")}) AS seeds
+    FROM (SELECT s.frame + 1 AS frame, coalesce(f.p, []) AS p, list_filter(s.heads, lambda k: NOT {NEAR}) AS apart, list_reduce(list_transform(list_filter(s.heads, lambda k: {NEAR}), lambda h: {{'h': h, 'kept': none.h, 'links': none.h, 'taken': none.ids}}),
+        lambda a, e: list_transform([list_min(list_transform(list_filter(coalesce(f.p, []), lambda q: NOT list_contains(a.taken, q.id) AND sqrt((q.x - e.h.x) ** 2 + (q.y - e.h.y) ** 2) < 1.0),
+            lambda q: {{'d': sqrt((q.x - e.h.x) ** 2 + (q.y - e.h.y) ** 2), 'id': q.id, 'x': q.x, 'y': q.y}}))],
+          lambda c: CASE WHEN c IS NULL THEN {{'h': e.h, 'kept': list_append(a.kept, e.h), 'links': a.links, 'taken': a.taken}}
+            ELSE {{'h': e.h, 'kept': a.kept, 'links': list_append(a.links, {HEAD % ("e.h.sf", "e.h.sid", "s.frame + 1", "c.x", "c.y")}), 'taken': list_append(a.taken, c.id)}} END)[1],
+        {{'h': {HEAD % ("CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)")}, 'kept': none.h, 'links': none.h, 'taken': none.ids}}) AS acc
+      FROM step s CROSS JOIN none LEFT JOIN f ON f.frame = s.frame + 1 WHERE s.frame < none.last) a) b),
+owned AS (SELECT unnest(own) AS id, unnest(owners) AS o FROM step)
+SELECT locs.id, locs.frame, locs.x, locs.y, intensity, CAST(dense_rank() OVER (ORDER BY o.sf, o.sid) - 1 AS BIGINT) AS track_id FROM owned JOIN locs ON owned.id = locs.id"""
+
+
+@query("link_greedy", f"WITH {LINKED}", "x y intensity")
 def _(spark, sf):
     return L.link_greedy(fx.locs(spark, sf).select("id", "frame", "x", "y", "intensity"), 1.0, 1, 1)
 
@@ -360,7 +381,10 @@ def _(spark, sf):
     return B.nms_boxes(fx.boxes(spark, sf), 0.3).select("image_id", "id", "confidence")
 
 
-@query("merge_tiled_boxes")
+TILED = GREEDY.replace("FROM box)", "FROM (SELECT * REPLACE (x + CASE class_name WHEN 'A' THEN 0 ELSE 512 END AS x) FROM box) m)")
+
+
+@query("merge_tiled_boxes", f"WITH {TILED} SELECT image_id, k.id AS id, k.x AS x FROM (SELECT image_id, unnest(kept) AS k FROM (SELECT image_id, arg_max(kept, k) AS kept FROM g GROUP BY 1) a) u", "x")
 def _(spark, sf):
     b = fx.boxes(spark, sf).withColumn("tile_id", F.col("class_name"))
     tiles = b.select("tile_id").distinct().withColumn("x0", F.when(F.col("tile_id") == "A", 0.0).otherwise(512.0)).withColumn("y0", F.lit(0.0))
