@@ -252,7 +252,7 @@ def test_neighbours_however_far(spark):
     far = spark.createDataFrame([(0, 0.0, 0.0, 0), (1, 1000.0, 0.0, 0)], "id long, x double, y double, frame int")
     assert [r.nn_dist for r in S.nearest_neighbour(far, ["frame"], start_radius=1e-9).collect()] == [1000.0, 1000.0]
     pos = S.positions(df, ["frame"])
-    radius = S._typical_spacing(pos, ["frame"], 1e6)
+    radius = S._first_side(pos, ["frame"], 1e6) / 3
     assert S.range_join(pos, pos, radius, ["frame"]).count() < 60 * 301
 
 
