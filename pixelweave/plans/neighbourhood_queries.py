@@ -312,8 +312,7 @@ def _(spark, sf):
 
 @query("density_peaks")
 def _(spark, sf):
-    pts = fx.locs(spark, sf).groupBy("frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("id", F.col("frame").cast("long"))
-    return S.density_peaks(pts, 3.0)
+    return S.density_peaks(fx.locs(spark, sf).select("id", "x", "y"), 3.0)
 
 
 @query("cluster_centres_topk", f"""WITH {LO}, p AS (SELECT frame AS id, avg(x) AS rho, avg(y) AS delta FROM locs GROUP BY 1) SELECT CAST(id AS BIGINT) AS id, rho, delta, rho * delta AS gamma FROM p ORDER BY gamma DESC, id LIMIT 12""", "rho delta gamma")

@@ -11,6 +11,7 @@ from pixelweave.operators import linking as L
 from pixelweave.operators import spatial as S
 from pixelweave.operators import spectral as SP
 from pixelweave.operators import tracks as T
+from pixelweave.operators.density import gaussian_density
 
 
 def points(spark, rows):
@@ -124,6 +125,46 @@ def test_density_filter_against_all_pairs(spark):
     assert {r.id for r in S.local_density_filter(df, 3.0, 4).collect()} == want
 
 
+def test_gaussian_density_against_all_pairs(spark):
+    """A clump in one cell, a heap of copies, a sparse field, negative coordinates and cells far apart."""
+    rng = np.random.default_rng(19)
+    xy = np.concatenate([rng.normal(0, 0.3, size=(1500, 2)), rng.uniform(-40, 40, size=(400, 2)), [[1e6, 1e6], [1e6, 1e6 + 1], [7.0, 7.0]]])
+    m = rng.integers(1, 9, size=len(xy))
+    rows = [(float(a), float(b), int(k)) for (a, b), k in zip(xy, m, strict=True)] + [(None, 1.0, 1), (float("nan"), 0.0, 1)]
+    got = {(r.x, r.y): r.density for r in gaussian_density(spark.createDataFrame(rows, "x double, y double, m long"), 2.0).collect()}
+    assert len(got) == len(xy)
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    want = (np.exp(-d2 / 4.0) * m).sum(axis=1)
+    assert np.allclose([got[tuple(p)] for p in xy], want, rtol=0, atol=1e-12 * m.sum())
+    assert gaussian_density(spark.createDataFrame([], "x double, y double, m long"), 2.0).count() == 0
+
+
+def test_density_peaks_against_all_pairs(spark, monkeypatch):
+    """Densities, nearest denser points and labels by brute force, and how many candidates the joins met."""
+    rng = np.random.default_rng(20)
+    xy = np.concatenate([rng.normal(0, 0.01, size=(900, 2)), rng.uniform(-20, 20, size=(900, 2)), np.repeat([[3.0, 3.0]], 30, axis=0)])
+    seen, plain = [], S.range_join
+    monkeypatch.setattr(S, "range_join", lambda *a: seen.append(a) or plain(*a))
+    rows = S.density_peaks(points(spark, [(0, float(a), float(b)) for a, b in xy]), 2.0, min_density=20.0, min_delta=3.0).collect()
+    got = {r.id: r for r in rows}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    rho = np.exp(-np.square(d / 2.0)).sum(axis=1) - 1
+    assert np.allclose([got[i].rho for i in range(len(xy))], rho, atol=1e-9)
+    mine = np.array([got[i].rho for i in range(len(xy))])  # ties of rounding follow the densities found
+    higher = (mine[None] > mine[:, None]) | ((mine[None] == mine[:, None]) & (np.arange(len(xy))[None] < np.arange(len(xy))[:, None]))
+    far = np.where(higher, d, np.inf)
+    delta = far.min(axis=1)
+    delta[np.isinf(delta)] = delta[np.isfinite(delta)].max()
+    assert np.allclose([got[i].delta for i in range(len(xy))], delta, rtol=1e-12)
+    label = {}
+    for i in np.lexsort((np.arange(len(xy)), -mine)):
+        centre = mine[i] >= 20.0 and delta[i] >= 3.0
+        label[i] = i if centre else label[int(np.argmin(far[i]))] if np.isfinite(far[i].min()) else -1
+    assert {i: got[i].label for i in label} == label
+    candidates = sum(S._cells(left, r, False).join(S._cells(right, r, True), ["_cx", "_cy"]).count() for left, right, r, _ in seen)
+    assert candidates < len(xy) ** 2 / 15  # of all pairs, over all rounds
+
+
 def test_density_peaks_find_two_clumps(spark):
     rng = np.random.default_rng(9)
     xy = np.concatenate([rng.normal(0, 1, size=(40, 2)), rng.normal(30, 1, size=(30, 2))])
