@@ -47,11 +47,12 @@ def _copies(points: DataFrame, keys: list[str], max_distance: float, reach: int,
     wide = home.select("*", around[0]).select("*", around[1])
     found = attach(wide, widths.withColumnsRenamed({"hx": "cx", "hy": "cy"}), [*keys, "cx", "cy"], "inner")
     slabs = F.sequence(F.floor((F.col("frame") - reach) / F.col("w")), F.floor((F.col("frame") + reach) / F.col("w")))
-    return found.select(*keys, "id", "frame", "x", "y", "hx", "hy", "hs", "cx", "cy", F.explode(slabs).alias("cs"))
+    return found.select(*keys, "id", "frame", "x", "y", "sf", "si", "held", "hx", "hy", "hs", "cx", "cy", F.explode(slabs).alias("cs"))
 
 
-_EDGE = pa.struct([("bf", pa.int64()), ("b", pa.int64()), ("af", pa.int64()), ("a", pa.int64()), ("a_in", pa.bool_()), ("b_in", pa.bool_())])
-_EDGE_SQL = "array<struct<bf:bigint,b:bigint,af:bigint,a:bigint,a_in:boolean,b_in:boolean>>"
+_EDGE = pa.struct([("bf", pa.int64()), ("b", pa.int64()), ("sf", pa.int64()), ("si", pa.int64()), ("a", pa.int64()), ("a_in", pa.bool_()), ("b_in", pa.bool_())])
+_EDGE_SQL = "array<struct<bf:bigint,b:bigint,sf:bigint,si:bigint,a:bigint,a_in:boolean,b_in:boolean>>"
+_EDGE_COLUMNS = ("bf", "b", "sf", "si", "a", "a_in", "b_in")
 _HOME = pa.struct([("home", pa.string()), ("id", pa.int64())])
 _STATE = "home string, id bigint, sf bigint, si bigint, next bigint"
 
@@ -82,16 +83,16 @@ def _tile_edges(keys: list[str], max_distance: float, reach: int):
     schema = pa.schema([("tile", pa.string()), *((k, pa.string()) for k in keys), ("edges", pa.list_(_EDGE)), ("border", pa.list_(_HOME))])
 
     def run(table: pa.Table) -> pa.Table:
-        number, frame, x, y, hx, hy, hs = (table.column(c).to_numpy() for c in ("id", "frame", "x", "y", "hx", "hy", "hs"))
+        number, frame, x, y, sf, si, held, hx, hy, hs = (table.column(c).to_numpy() for c in ("id", "frame", "x", "y", "sf", "si", "held", "hx", "hy", "hs"))
         place = [table.column(c)[0].as_py() for c in ("cx", "cy", "cs")]
         movie = [table.column(k)[0].as_py() for k in keys]
         inside = (hx == place[0]) & (hy == place[1]) & (hs == place[2])
         a, b, d = _pairs(frame, x, y, max_distance, reach)
-        some = inside[a] | inside[b]
+        some = (inside[a] | inside[b]) & ~held[b]
         a, b, d = a[some], b[some], d[some]
         order = np.lexsort((number[b], d, frame[b]))
         a, b = a[order], b[order]
-        edges = pa.StructArray.from_arrays([pa.array(c) for c in (frame[b], number[b], frame[a], number[a], inside[a], inside[b])], fields=list(_EDGE))
+        edges = pa.StructArray.from_arrays([pa.array(c) for c in (frame[b], number[b], sf[a], si[a], number[a], inside[a], inside[b])], fields=list(_EDGE))
         across = inside[a] != inside[b]
         border = np.unique(np.concatenate([a[across], b[across]]))
         homes = [":".join(map(str, [*movie, hx[i], hy[i], hs[i]])) for i in border]
@@ -106,17 +107,18 @@ def _tile_edges(keys: list[str], max_distance: float, reach: int):
 def _settled(edges: dict[str, list], around: dict[int, tuple]) -> tuple[dict, dict]:
     """Owner (seed frame, seed id) of the points of a tile, and the point each of them goes on to.
 
-    ``edges`` are columns sorted by frame of b, distance and b; ``around`` says
-    of points outside how they stood: (seed frame, seed id, next point).
+    ``edges`` are columns sorted by frame of b, distance and b, with the seed
+    (sf, si) that a has unless a point before goes on to it; ``around`` says of
+    points outside how they stood: (seed frame, seed id, next point).
     """
     owner, onward, taken = {}, {}, set()
-    rows = list(zip(*(edges[c] for c in ("bf", "b", "af", "a", "a_in", "b_in")), strict=True))
+    rows = list(zip(*(edges[c] for c in _EDGE_COLUMNS), strict=True))
     for _, group in groupby(rows, key=itemgetter(0)):
         wanted, seeds = {}, {}
-        for bf, b, af, a, a_in, b_in in group:
+        for bf, b, sf, si, a, a_in, b_in in group:
             if a_in:
                 if a not in onward:
-                    seeds[a] = owner.get(a, (af, a))
+                    seeds[a] = owner.get(a, (sf, si))
                     wanted.setdefault(a, []).append((b, bf, b_in))
             elif b_in and a in around and around[a][2] == b:
                 seeds[a] = around[a][:2]
@@ -145,17 +147,17 @@ def _claims(every: bool):
             for k in range(batch.num_rows):
                 tile = batch.column(0)[k].as_py()
                 packed, known = batch.column(1)[k].values, batch.column(2)[k]
-                edges = {c: packed.field(c).to_pylist() for c in ("bf", "b", "af", "a", "a_in", "b_in")}
+                edges = {c: packed.field(c).to_pylist() for c in _EDGE_COLUMNS}
                 around = {}
                 if known.is_valid:
                     cols = [known.values.field(c).to_pylist() for c in ("id", "sf", "si", "next")]
                     around = {i: (f, n, to) for i, f, n, to in zip(*cols, strict=True)}
                 owner, onward = _settled(edges, around)
                 own, edge = {}, set()
-                for a, af, a_in, b, bf, b_in in zip(*(edges[c] for c in ("a", "af", "a_in", "b", "bf", "b_in")), strict=True):
-                    for point, frame, inside in ((a, af, a_in), (b, bf, b_in)):
+                for bf, b, sf, si, a, a_in, b_in in zip(*(edges[c] for c in _EDGE_COLUMNS), strict=True):
+                    for point, seed, inside in ((b, (bf, b), b_in), (a, (sf, si), a_in)):
                         if inside:
-                            own[point] = (*owner.get(point, (frame, point)), onward.get(point))
+                            own[point] = (*owner.get(point, seed), onward.get(point))
                             if a_in != b_in:
                                 edge.add(point)
                 out = [(p, *v) for p, v in own.items() if every or p in edge and v != around.get(p)]
@@ -165,25 +167,20 @@ def _claims(every: bool):
     return run
 
 
-def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_track_length: int = 1,
-                limit: int | None = None) -> DataFrame:
-    """Add track_id (-1 for tracks shorter than min_track_length).
+def seeds(points: DataFrame, keys: list[str], max_distance: float, max_gap: int, limit: int | None = None) -> DataFrame:
+    """(keys, id, seed_frame, seed_id) of every point: the first point of its track, by the rule of ``link_greedy``.
 
-    Every free point, in (frame, id) order, starts a track and extends it to
-    the nearest free point (smallest id on ties) closer than max_distance in the
-    first of the next max_gap + 1 frames that has one. Needs unique ids per movie.
+    ``points`` are string keys and id, frame, x, y, sf, si, held. A point that
+    no other goes on to has the seed (sf, si), as a rule its own frame and id;
+    a held one is the open end of an earlier track, so nothing goes on to it.
 
     Tiles of about ``limit`` points are settled side by side. A round sends
     along only the state of points that have an edge into another tile, and
     works only on tiles beside a change, so the number of rounds follows how
     often decisions cross tiles, not the number of frames.
     """
-    keys = [k for k in ("movie_id",) if k in df.columns]
-    base = df.drop("track_id")
-    spark, reach = df.sparkSession, max_gap + 1
-    points = cut_lineage(base.select(*(F.col(k).cast("string").alias(k) for k in keys), F.col("frame").cast("long").alias("frame"),
-                                     F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    limit = limit or min(100_000, max(5_000, points.count() // (2 * spark.sparkContext.defaultParallelism)))
+    reach = max_gap + 1
+    limit = limit or min(100_000, max(5_000, points.count() // (2 * points.sparkSession.sparkContext.defaultParallelism)))
     named = "tile string, " + "".join(f"{k} string, " for k in keys)
     packed = cut_lineage(_copies(points, keys, max_distance, reach, limit).groupBy(*keys, "cx", "cy", "cs").applyInArrow(
         _tile_edges(keys, max_distance, reach), f"{named}edges {_EDGE_SQL}, border array<struct<home:string,id:bigint>>").where("size(edges) > 0"))
@@ -202,9 +199,25 @@ def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_
         work = packed.join(around(news).where(F.col("news") == len(news) - 1), "tile").select("tile", "edges", "around")
         news.append(cut_lineage(work.mapInArrow(_claims(False), _STATE)))
     final = packed.join(around(news), "tile", "left").select("tile", "edges", "around").mapInArrow(_claims(True), _STATE)
-    final = final.select(F.col("home").alias("tile"), "id", "sf", "si").join(packed.select("tile", *keys), "tile")
-    owner = cut_lineage(points.select(*keys, "frame", "id").join(final.drop("tile"), [*keys, "id"], "left").select(
-        *keys, "id", F.coalesce("sf", "frame").alias("seed_frame"), F.coalesce("si", "id").alias("seed_id")))
+    final = final.select(F.col("home").alias("tile"), "id", F.col("sf").alias("_sf"), F.col("si").alias("_si")).join(packed.select("tile", *keys), "tile")
+    return cut_lineage(points.join(final.drop("tile"), [*keys, "id"], "left").select(
+        *keys, "id", F.coalesce("_sf", "sf").alias("seed_frame"), F.coalesce("_si", "si").alias("seed_id")))
+
+
+def link_greedy(df: DataFrame, max_distance: float = 3.0, max_gap: int = 1, min_track_length: int = 1,
+                limit: int | None = None) -> DataFrame:
+    """Add track_id (-1 for tracks shorter than min_track_length).
+
+    Every free point, in (frame, id) order, starts a track and extends it to
+    the nearest free point (smallest id on ties) closer than max_distance in the
+    first of the next max_gap + 1 frames that has one. Needs unique ids per movie.
+    """
+    keys = [k for k in ("movie_id",) if k in df.columns]
+    base = df.drop("track_id")
+    frame, number = F.col("frame").cast("long"), F.col("id").cast("long")
+    points = cut_lineage(base.select(*(F.col(k).cast("string").alias(k) for k in keys), frame.alias("frame"), number.alias("id"), F.col("x").cast("double").alias("x"),
+                                     F.col("y").cast("double").alias("y"), frame.alias("sf"), number.alias("si"), F.lit(False).alias("held")))
+    owner = seeds(points, keys, max_distance, max_gap, limit)
     tracks = owner.groupBy(*keys, "seed_frame", "seed_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_track_length)
     numbered = dense_index(tracks.withColumn("_g", F.lit(0)), [*keys, "_g"], ["seed_frame", "seed_id"], F.floor(F.col("seed_frame") / 64), "_t", None)
     ids = owner.join(numbered.select(*keys, "seed_frame", "seed_id", "_t"), [*keys, "seed_frame", "seed_id"], "left")

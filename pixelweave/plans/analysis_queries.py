@@ -484,7 +484,7 @@ def _(spark, sf):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     points = raw.select(F.col("event_type").alias("source"), F.col("event_id").alias("id"), F.floor(F.unix_timestamp("ts") / 3600).alias("frame"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
     at = folder(spark)
-    S.run_available(S.link(points, 5.0, 1, whole_frames=True), at, "append")
+    S.run_link(points, at, 5.0, 1, whole_frames=True)
     return spark.read.parquet(f"{at}/out").drop("batch_no")
 
 

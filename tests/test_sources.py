@@ -89,7 +89,7 @@ def linked(spark, tmp_path, batches, **options):
     for part, chunk in enumerate(batches):
         spark.createDataFrame(chunk, LINK).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     stream = spark.readStream.schema(LINK).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    S.run_available(S.link(stream, 3.0, 1, **options), str(tmp_path / "out"), "append")
+    S.run_link(stream, str(tmp_path / "out"), 3.0, 1, **options)
     return {(r.source, r.id): r.track_id for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()}
 
 
@@ -125,6 +125,21 @@ def test_stream_link_marks_late_points(spark, tmp_path):
     assert got == {k: v for k, v in batch_link(spark, rows).items() if k[1] < 10}
 
 
+def test_stream_link_of_crowded_batches_equals_the_batch_twin(spark, tmp_path):
+    """Tracks cross batches where points compete; gaps lie on the cut; rows without source or coordinates."""
+    rng = np.random.default_rng(21)
+    rows = [(s, 1000 * k + i, int(i // 12), float(x), float(y)) for k, s in enumerate("ab") for i, (x, y) in enumerate(rng.uniform(0, 14, size=(180, 2))) if i // 12 != 7]
+    batches = [[r for r in rows if low <= r[2] < high] for low, high in ((0, 4), (4, 7), (7, 11), (11, 15))]
+    want = batch_link(spark, rows)
+    assert max(want.values()) < 120  # points are shared out among tracks
+    batches[1] += [(None, 1, 5, 0.0, 0.0), ("a", 999, 5, None, 0.0)]
+    got = linked(spark, tmp_path, batches, whole_frames=True)
+    alone = got.pop(("a", 999))
+    assert all(v != alone for k, v in got.items() if k[0] == "a")
+    pairs = {(k[0], v, want[k]) for k, v in got.items()}  # the lone point takes a number, so numbers may differ by it
+    assert set(got) == set(want) and len(pairs) == len({p[:2] for p in pairs}) == len({(k[0], w) for k, w in want.items()})
+
+
 def test_late_rows_count_without_a_watermark(spark, tmp_path):
     rows = [("2024-01-01 00:00:30", "a", 1), ("2024-01-01 00:00:00", "a", 2)]
     for part, row in enumerate(rows):
