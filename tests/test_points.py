@@ -125,6 +125,22 @@ def test_density_filter_against_all_pairs(spark):
     assert {r.id for r in S.local_density_filter(df, 3.0, 4).collect()} == want
 
 
+def test_neighbour_counts_of_clumps_against_all_pairs(spark, monkeypatch):
+    """Two clumps a radius apart, a sparse field, copies, whole distances, negative coordinates."""
+    rng = np.random.default_rng(22)
+    xy = np.concatenate([rng.normal(0, 0.01, size=(700, 2)), rng.normal(0, 0.01, size=(700, 2)) + [3.0, 0.0], rng.uniform(-40, 40, size=(300, 2)),
+                         np.repeat([[5.0, 5.0]], 9, axis=0), [[-8.0, 5.0], [-8.0, 8.0], [-8.0, 15.0], [22.0, 5.0]]])
+    rows = [(0, float(a), float(b)) for a, b in xy] + [(1, 0.0, 0.0), (1, 3.0, 0.0), (1, None, 1.0)]
+    radii = (3, 5, 10, 20, 30)
+    calls, plain = [], S.tree_counts
+    monkeypatch.setattr(S, "tree_counts", lambda *a: calls.append(a) or plain(*a))
+    got = {r.id: [r[S.within_name(v)] for v in radii] for r in S.neighbour_counts(points(spark, rows), ["frame"], radii).collect()}
+    assert calls and len(got) == len(xy) + 2
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    assert all(got[i] == [int((d[i] <= v).sum()) - 1 for v in radii] for i in range(len(xy)))
+    assert got[len(xy)] == got[len(xy) + 1] == [1] * 5
+
+
 def test_gaussian_density_against_all_pairs(spark):
     """A clump in one cell, a heap of copies, a sparse field, negative coordinates and cells far apart."""
     rng = np.random.default_rng(19)
