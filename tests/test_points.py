@@ -334,3 +334,37 @@ def test_drift_of_a_third_of_the_field(spark):
     rows = [(f, float(x + (30.0 if f >= 100 else 0.0)), float(y - (20.0 if f >= 100 else 0.0))) for f in range(0, 200, 2) for x, y in spots]
     drift = {r.frame: r for r in L.drift_crosscorr(points(spark, rows), 200, 1.0, 100, half_window=0).collect()}
     assert abs(drift[150].drift_x - drift[50].drift_x - 30) < 0.6 and abs(drift[150].drift_y - drift[50].drift_y + 20) < 0.6
+
+
+def test_suppression_across_tiles_equals_the_loop(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    for tile, iou in ((20, 0.3), (8192, 0.1), (20, 0.7)):
+        monkeypatch.setattr(B, "TILE", tile)
+        rows = [(int(m), i, float(x), float(y), float(w), float(h), float(c)) for i, (m, x, y, w, h, c) in enumerate(np.column_stack(
+            [rng.integers(0, 2, 500), rng.uniform(-300, 300, (500, 2)), 2 ** rng.uniform(2, 7, (500, 2)), np.round(rng.uniform(0, 1, 500), 1)]))]
+        rows += [(0, 500, -300.0, -300.0, 650.0, 650.0, 0.55), (0, 501, -300.0, -300.0, 650.0, 650.0, 0.56)]
+        df = spark.createDataFrame(rows, "image_id int, id long, x double, y double, width double, height double, confidence double")
+        want = set()
+        for m in (0, 1):
+            kept = []
+            for p in sorted((r for r in rows if r[0] == m), key=lambda r: (-r[6], r[1])):
+                for q in kept:
+                    iw = max(0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]))
+                    ih = max(0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3]))
+                    if iw * ih / (p[4] * p[5] + q[4] * q[5] - iw * ih + 1e-6) > iou:
+                        break
+                else:
+                    kept.append(p)
+            want |= {p[1] for p in kept}
+        assert {r.id for r in B.nms_boxes(df, iou).collect()} == want
+
+
+def test_suppression_stores_no_pairs(spark, monkeypatch):
+    # 3000 boxes that nearly all overlap each other: every table made on the way stays linear in the boxes
+    rng, made = np.random.default_rng(32), []
+    rows = [(1, i, float(x), float(y), 50.0, 50.0, float(c)) for i, (x, y, c) in enumerate(rng.uniform(0, 4, (3000, 3)))]
+    df = spark.createDataFrame(rows, "image_id int, id long, x double, y double, width double, height double, confidence double")
+    real = B.cut_lineage
+    monkeypatch.setattr(B, "cut_lineage", lambda d: made.append(real(d)) or made[-1])
+    assert {r.id for r in B.nms_boxes(df, 0.3).collect()} == {max(rows, key=lambda r: r[6])[1]}
+    assert max(d.count() for d in made) <= 3000
