@@ -1,36 +1,95 @@
 """Exponential and step-length fits by grid search over the one or two
 non-linear parameters; the linear ones follow in closed form from sums.
 
-For a fixed rate, a exp(-k t) + c is a straight line in exp(-k t). Every rate
-of a grid adds its own set of sums to one combinable aggregate, so a fit reads
-its trace once per refinement, whatever the trace length.
+For a fixed rate, a exp(-k t) + c is a straight line in exp(-k t). Traces of
+bounded length are fitted inside a task. For longer ones every rate of a grid
+adds its own set of sums to one combinable aggregate, so a fit reads its trace
+once per refinement, whatever the trace length.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators.temporal import frame_means
 from pixelweave.schemas import frame_keys, movie_keys
-from pixelweave.session import attach, cut_lineage
+from pixelweave.session import attach, cut_lineage, spread
 
 GRID = 24
 
 
+#: Samples up to which a trace is fitted in one task.
+SHORT = 16_384
+
+
 def _grid_fit(df: DataFrame, keys: list[str], t: str, y: str, low: Column, high: Column, rounds: int = 4, falling: bool = True) -> DataFrame:
     """Least squares of y = a exp(-k t) + c: keys, k, a, c, sse, sst, n.
 
     ``low`` and ``high`` bound log k per key (columns of the key's extent);
     each round splits the bracket into GRID steps and keeps the best two. Without
     ``falling`` a is 0 at most: where the best line falls, the best allowed one is flat.
+
+    Traces of up to SHORT samples meet in one task, which runs all rounds;
+    longer ones are summed up rate by rate, round by round.
     """
-    base = cut_lineage(df.select(*keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")).where("_y is not null"))
+    base = df.select(*keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")).where("_y is not null")
+    base = cut_lineage(base)
     ext = base.groupBy(*keys).agg(F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.count(F.lit(1)).alias("n")).where("n >= 3 and t1 > t0")
-    bracket = ext.select(*keys, low.alias("_lo"), high.alias("_hi"))
+    bracket = cut_lineage(ext.select(*keys, "n", low.alias("_lo"), high.alias("_hi")))
+    names = ("k", "a", "c", "sse", "sst")
+    short = attach(base, bracket.where(F.col("n") <= SHORT).drop("n"), keys, "inner")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema)
+    found = spread(short, *keys).groupBy(*keys).applyInArrow(_fitted(keys, rounds, falling), f"{kinds}, {', '.join(f'{c} double' for c in names)}, n long")
+    long = bracket.where(F.col("n") > SHORT).drop("n")
+    if long.isEmpty():
+        return cut_lineage(found)
+    return cut_lineage(found.unionByName(_summed_fit(base, long, keys, rounds, falling)))
+
+
+def _fitted(keys: list[str], rounds: int, falling: bool):
+    """The fit of one trace (keys, _t, _y, _lo, _hi), as ``_summed_fit`` makes it."""
+    def run(table: pa.Table) -> pa.Table:
+        t, y = (table.column(c).to_numpy() for c in ("_t", "_y"))  # a missing time is NaN here
+        low, high = (table.column(c)[0].as_py() for c in ("_lo", "_hi"))
+        known = ~np.isnan(t)
+        t, y = t[known], y[known]
+        dy = y - y.mean()
+        sst = float(dy @ dy)
+        for _ in range(rounds):
+            best = None
+            for i in range(GRID + 1):
+                k = float(np.exp(low + (high - low) * i / GRID))
+                g = np.exp(-k * t)
+                dg = g - g.mean()
+                sxx, sxy = float(dg @ dg), float(dg @ dy)
+                if sxx == 0:
+                    continue
+                a = sxy / sxx
+                c, sse = float(y.mean() - a * g.mean()), max(sst - a * sxy, 0.0)
+                if not falling and a > 0:
+                    a, c, sse = 0.0, float(y.mean()), sst
+                if best is None or sse < best[3]:
+                    best = (k, a, c, sse, sst)
+            if best is None:
+                break
+            step, middle = (high - low) / GRID, math.log(best[0])
+            low, high = middle - step, middle + step
+        rows = table.select(keys).slice(0, 1 if best else 0)
+        for name, v in zip(("k", "a", "c", "sse", "sst"), best or (None,) * 5, strict=True):
+            rows = rows.append_column(name, pa.array([v] if best else [], pa.float64()))
+        return rows.append_column("n", pa.array([len(table)] if best else [], pa.int64()))
+
+    return run
+
+
+def _summed_fit(base: DataFrame, bracket: DataFrame, keys: list[str], rounds: int, falling: bool) -> DataFrame:
+    """The fit of long traces: every rate of the grid adds its sums to one aggregate."""
     best = None
     for _ in range(rounds):
         rows = attach(base, bracket, keys, "inner")

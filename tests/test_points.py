@@ -368,3 +368,18 @@ def test_suppression_stores_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(B, "cut_lineage", lambda d: made.append(real(d)) or made[-1])
     assert {r.id for r in B.nms_boxes(df, 0.3).collect()} == {max(rows, key=lambda r: r[6])[1]}
     assert max(d.count() for d in made) <= 3000
+
+
+def test_short_and_long_traces_fit_alike(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    rows = [(k, i, float(v)) for k in range(6) for i, v in enumerate((k - 2) * np.exp(-0.1 * np.arange(50)) + rng.normal(0, 0.2, 50))]
+    rows += [(9, 0, 1.0), (9, 1, 2.0)]
+    df = spark.createDataFrame(rows, "trace_id int, t int, value double")
+    for fit in (FT.fit_exp_decay, FT.fit_exp_recovery):
+        monkeypatch.setattr(FT, "SHORT", 16_384)
+        inside = {r.trace_id: r[1:] for r in fit(df).collect()}
+        monkeypatch.setattr(FT, "SHORT", 10)
+        summed = {r.trace_id: r[1:] for r in fit(df).collect()}
+        assert sorted(inside) == sorted(summed) == list(range(6))
+        for k in inside:
+            assert np.allclose(inside[k], summed[k], rtol=1e-5, atol=1e-8)
