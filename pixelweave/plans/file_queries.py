@@ -124,7 +124,7 @@ def _(spark, sf):
   SELECT image_id, 'rectangle' AS kind, pos, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y FROM r""")
 def _(spark, sf):
     block = F.format_string("rectangle\n%s %s\n%s %s\n", *(F.col(c).cast("string") for c in ("x", "y", "width", "height")))
-    fx.boxes(spark, sf).select("image_id", block).write.partitionBy("image_id").text(path := folder(spark))
+    TB.write_rois(fx.boxes(spark, sf).select("image_id", block), path := folder(spark))
     image = F.regexp_extract("file", "image_id=([^/]*)/", 1).cast("long").alias("image_id")
     return TB.read_rois(spark, path).select(image, "kind", "pos", "x", "y")
 

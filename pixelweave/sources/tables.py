@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.session import spread
+
 
 def trace_table(traces: DataFrame, roi_ids: list[str]) -> DataFrame:
     """A frame column plus one column per ROI."""
@@ -32,6 +34,11 @@ def count_table(markers: DataFrame, categories: dict[str, str] | None = None) ->
     return markers.orderBy("category", "frame", "number").select("number", name.alias("category"), two("x").alias("x"), two("y").alias("y"), "frame")
 
 
+def write_rois(rois: DataFrame, path: str, name: str = "image_id") -> None:
+    """ROI texts (name, text) to one folder <name>=<value> with one file for each value of ``name``, however the rows are dealt."""
+    spread(rois, name).write.partitionBy(name).text(path)
+
+
 def read_rois(spark: SparkSession, path: str) -> DataFrame:
     """ROI text files to vertices (file, roi, kind, pos, x, y).
 

@@ -158,3 +158,11 @@ def test_json_of_both_forms_in_one_folder(spark, tmp_path):
 def test_a_long_track_is_one_document(spark, tmp_path):
     df = spark.range(25_000).selectExpr("1L AS track_id", "id AS frame", "0.0D AS x", "0.0D AS y", "1.0D AS intensity")
     assert LF.track_documents(df).count() == 1
+
+
+def test_rois_of_an_image_are_one_file(spark, tmp_path):
+    rows = [(i % 5, f"rectangle\n{i} 0\n{i + 1} 2\n") for i in range(60)]
+    TB.write_rois(spark.createDataFrame(rows, "image_id int, text string").repartition(6), str(tmp_path / "rois"))
+    assert len(list((tmp_path / "rois").rglob("*.txt"))) == 5
+    got = TB.read_rois(spark, str(tmp_path / "rois")).where("pos = 0").collect()
+    assert sorted((int(r.file.split("image_id=")[1].split("/")[0]), r.x) for r in got) == sorted((i % 5, i) for i in range(60))
