@@ -383,3 +383,16 @@ def test_short_and_long_traces_fit_alike(spark, monkeypatch):
         assert sorted(inside) == sorted(summed) == list(range(6))
         for k in inside:
             assert np.allclose(inside[k], summed[k], rtol=1e-5, atol=1e-8)
+
+
+def test_duplicates_in_a_clump_are_not_compared_in_pairs(spark, monkeypatch):
+    rng, joined = np.random.default_rng(34), []
+    spots = np.round(np.concatenate([rng.uniform(0, 3, (800, 2)), rng.uniform(0, 60, (200, 2))]), 3)
+    rows = [(0, i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(spots, rng.integers(0, 50, 1000), strict=True))]
+    df = spark.createDataFrame(rows, "frame int, id long, x double, y double, intensity double")
+    want = {i for _, i, x, y, v in rows if not any(
+        (w > v or w == v and j < i) and np.sqrt((x - p) ** 2 + (y - q) ** 2) <= 4.0 for _, j, p, q, w in rows)}
+    real = S.range_join
+    monkeypatch.setattr(S, "range_join", lambda *a: joined.append(real(*a)) or joined[-1])
+    assert {r.id for r in S.duplicate_remove(df, 4.0).collect()} == want
+    assert joined[0].count() < 20_000
