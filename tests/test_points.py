@@ -410,3 +410,27 @@ def test_samples_around_shared_places_are_taken_once(spark):
         y, x = r.y, int(r.x)
         box = a[:0] if y is None else a[max(int(y) - 2, 0):max(int(y) + 3, 0), max(x - 2, 0):max(x + 3, 0)]
         assert r.sampled == pytest.approx(box.mean()) if box.size else r.sampled is None
+
+
+def test_neighbours_inside_tasks_and_by_joins_agree(spark, monkeypatch):
+    """Frames of 1 to 1500 positions with clumps, copies, ties and far points, counted and searched in tasks and (no group is held) by joins."""
+    rng = np.random.default_rng(31)
+    rows = [(f, float(x) + 1e5, float(y)) for f, n in enumerate((1, 2, 40, 1500, 600)) for x, y in rng.uniform(0, 128, (n, 2)).round(f)]
+    rows += [(3, 1e5 + float(x), float(y)) for x, y in rng.normal(40, 0.5, (700, 2))] + rows[-80:] + [(4, 5e5, 5e5), (2, float("nan"), 1.0), (1, None, 2.0)]
+    df, radii = points(spark, rows), (3, 5, 10, 20, 30)
+    joins, plain = [], S.range_join
+    monkeypatch.setattr(S, "range_join", lambda *a: joins.append(a) or plain(*a))
+    near = S.frame_neighbours(df, radii).collect()
+    assert not joins
+    got = {r.id: (r.nn_dist, r.nn_id, *(r[S.within_name(v)] for v in radii)) for r in near}
+    for f in range(5):
+        ids = np.array([i for i, r in enumerate(rows) if r[0] == f and r[1] is not None and r[1] == r[1]])
+        xy = np.array([rows[i][1:] for i in ids])
+        d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+        others = d + np.where(np.eye(len(ids)), np.inf, 0)
+        for k, i in enumerate(ids):
+            best = others[k].min()
+            assert got.pop(int(i)) == (*((None, None) if best == np.inf else (best, int(ids[others[k] == best].min()))), *(int((d[k] <= v).sum()) - 1 for v in radii))
+    assert not got
+    monkeypatch.setattr("pixelweave.operators.near.HELD", 0)
+    assert sorted(map(str, S.frame_neighbours(df, radii).collect())) == sorted(map(str, near)) and joins
