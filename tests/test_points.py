@@ -434,3 +434,33 @@ def test_neighbours_inside_tasks_and_by_joins_agree(spark, monkeypatch):
     assert not got
     monkeypatch.setattr("pixelweave.operators.near.HELD", 0)
     assert sorted(map(str, S.frame_neighbours(df, radii).collect())) == sorted(map(str, near)) and joins
+
+
+@pytest.mark.parametrize("held", [None, 60, 0])
+def test_matching_of_copies_and_ties_equals_sorted_greedy(spark, monkeypatch, held):
+    """Points on a lattice (many equal distances) with copies and shuffled ids, in islands and frames; an id that comes twice counts once; by tasks, islands and joins."""
+    if held is not None:
+        monkeypatch.setattr("pixelweave.operators.near.HELD", held)
+    rng = np.random.default_rng(32)
+
+    def side(shift, n, twice):
+        xy = [(f, float(x) + shift + 40 * int(rng.integers(3)), float(y)) for f in range(2) for x, y in rng.integers(0, 6, (n, 2))]
+        ids = rng.permutation(len(xy))
+        return [(int(i), *p) for i, p in zip(ids, xy, strict=True)] + [(int(ids[k]), *xy[k + 1]) for k in range(twice)]
+
+    for twice in (0, 3):
+        a, b = side(0.0, 70, twice), side(0.5, 60, twice)
+        want, used_a, used_b = set(), set(), set()
+        for d, i, j, f in sorted((np.hypot(x - u, y - v), i, j, f) for i, f, x, y in a for j, g, u, v in b if f == g):
+            if d <= 1.5 and (f, i) not in used_a and (f, j) not in used_b:
+                used_a.add((f, i)), used_b.add((f, j)), want.add((f, i, j))
+        schema = "id long, frame int, x double, y double"
+        got = E.match_greedy(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 1.5, ["frame"]).collect()
+        assert len(got) == len(want) and {(r.frame, r.det, r.gt) for r in got} == want
+
+
+def test_matching_stores_no_pairs(spark, monkeypatch):
+    """300 copies of a point against 300 of another: no join of candidates, one match for each."""
+    monkeypatch.setattr(E, "range_join", None)
+    a, b = (points(spark, [(0, x, 1.0)] * 300) for x in (1.0, 1.5))
+    assert sorted((r.det, r.gt) for r in E.match_greedy(a, b, 1.0, ["frame"]).collect()) == [(i, i) for i in range(300)]
