@@ -464,3 +464,17 @@ def test_matching_stores_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(E, "range_join", None)
     a, b = (points(spark, [(0, x, 1.0)] * 300) for x in (1.0, 1.5))
     assert sorted((r.det, r.gt) for r in E.match_greedy(a, b, 1.0, ["frame"]).collect()) == [(i, i) for i in range(300)]
+
+
+def test_linking_of_copies_on_a_lattice_equals_the_sequential_rule(spark, monkeypatch):
+    """Places of up to five copies at many equal distances, shared among tracks; a tile stores its points, not its edges."""
+    rng = np.random.default_rng(33)
+    rows = [(f, float(x), float(y)) for f in range(7) for x, y in np.repeat(rng.integers(0, 8, (9, 2)), rng.integers(1, 6, 9), axis=0)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    want, kept, plain = greedy(rows, 2.5, 1), [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: kept.append(plain(df)) or kept[-1])
+    for limit in (None, 20):
+        got = {r.id: r.track_id for r in L.link_greedy(points(spark, rows), 2.5, 1, 1, limit).collect()}
+        assert len(got) == len(rows) and len({(want[i], t) for i, t in got.items()}) == len(set(want.values())) == len(set(got.values()))
+    stored = [df.selectExpr("max(size(points))").first()[0] for df in kept if "points" in df.columns]
+    assert len(stored) == 2 and max(stored) <= len(rows)
