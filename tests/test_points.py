@@ -189,6 +189,40 @@ def test_density_peaks_find_two_clumps(spark):
     assert len(first) == len(second) == 1 and first != second
 
 
+def test_density_peaks_work_on_positions(spark, monkeypatch):
+    """Copies of a position cost no stored rows, and still count in the thresholds and among the centres."""
+    rng = np.random.default_rng(23)
+    xy = np.round(rng.uniform(0, 12, size=(60, 2)), 1)[rng.integers(0, 60, size=900)]
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    stored, plain = [], S.cut_lineage
+
+    def counted(df):
+        out = plain(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    monkeypatch.setattr(S, "TOGETHER", 4)  # many tiles
+    for kind in ({"min_density": 20.0, "min_delta": 0.0}, {"n_clusters": 70}, {"n_clusters": 3}, {}):
+        got = {r.id: r for r in S.density_peaks(points(spark, [(0, *map(float, p)) for p in xy]), 2.0, **kind).collect()}
+        rho = np.array([got[i].rho for i in range(len(xy))])
+        assert np.allclose(rho, np.exp(-np.square(d / 2.0)).sum(axis=1) - 1, atol=1e-9)
+        ids = np.arange(len(xy))
+        far = np.where((rho[None] > rho[:, None]) | ((rho[None] == rho[:, None]) & (ids[None] < ids[:, None])), d, np.inf)
+        delta = far.min(axis=1)
+        delta[np.isinf(delta)] = delta[np.isfinite(delta)].max()
+        assert np.allclose([got[i].delta for i in ids], delta, rtol=1e-12)
+        if "n_clusters" in kind:
+            centre = np.isin(ids, np.lexsort((ids, -rho * delta))[:kind["n_clusters"]])
+        else:
+            centre = (rho >= kind.get("min_density", np.quantile(rho, 0.5))) & (delta >= kind.get("min_delta", np.quantile(delta, 0.9)))
+        label = {}
+        for i in np.lexsort((ids, -rho)):
+            label[i] = i if centre[i] else label[int(np.argmin(far[i]))] if np.isfinite(far[i].min()) else -1
+        assert {i: got[i].label for i in ids} == label
+    assert max(stored) <= 60
+
+
 def test_matching_equals_sorted_greedy(spark):
     rng = np.random.default_rng(10)
     a, b = rng.uniform(0, 10, size=(30, 2)), rng.uniform(0, 10, size=(25, 2))
