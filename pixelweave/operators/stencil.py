@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelweave.operators.blocks import pad_axis
+from pixelweave.operators.near import _group_numbers
 from pixelweave.operators.temporal import gaussian_weights
 from pixelweave.schemas import frame_keys, val
-from pixelweave.session import attach, spread
+from pixelweave.session import attach, cut_lineage, spread
 
 TILE = 256
 
@@ -349,70 +350,164 @@ def lbp_8(df: DataFrame) -> DataFrame:
     return _lbp(Tiles(df, 1, 1, "mirror"), "_v", "value").done(value="_v")
 
 
+#: About how many pixels of tiles make one call, and samples worked on at once in it.
+TOGETHER, SAMPLES = 100_000, 2_000_000
+
+
+def _passes(a: np.ndarray, wy, wx, edge: int, rim: int = 0) -> np.ndarray:
+    """Row pass(wx), then column pass(wy), over frames (n, y, x) that reach ``edge`` samples beyond what is wanted; ``rim`` of these are wanted too."""
+    def along(v: np.ndarray, weights, axis: int) -> np.ndarray:
+        size, total = v.shape[axis] - 2 * (edge - rim), None
+        for i, c in enumerate(weights):
+            if c:
+                start = edge - rim + i - len(weights) // 2
+                term = (v[:, start:start + size] if axis == 1 else v[:, :, start:start + size]) * float(c)
+                total = term if total is None else total + term
+        return np.zeros([n if k != axis else size for k, n in enumerate(v.shape)]) if total is None else total
+
+    return along(along(a, wx, 2), wy, 1)
+
+
+def _mirrored(start: int, stop: int, size: int) -> np.ndarray:
+    """Position in the frame that each of the positions start..stop-1 shows when the edges reflect."""
+    u = np.arange(start, stop) % (2 * size)
+    return np.minimum(u, 2 * size - 1 - u)
+
+
+def _feature_columns(ext: np.ndarray, codes: np.ndarray, edge: int, rows: np.ndarray, columns: np.ndarray, sigmas, gabors) -> list[np.ndarray]:
+    """The features of tiles (n, y, x) with ``edge`` samples around; rows and columns say which product each smoothed sample takes."""
+    def at(dy: int, dx: int, a: np.ndarray = ext) -> np.ndarray:
+        return a[:, edge + dy:a.shape[1] - edge + dy, edge + dx:a.shape[2] - edge + dx]
+
+    def gauss(s: float, oy: int, ox: int, rim: int = 0) -> np.ndarray:
+        return _passes(ext, gaussian_derivative(s, oy), gaussian_derivative(s, ox), edge, rim)
+
+    def mag(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(p * p + q * q)
+
+    here, out, hessians = at(0, 0), [at(0, 0)], []
+    for s in sigmas:
+        yy, xx, xy = gauss(s, 2, 0), gauss(s, 0, 2), gauss(s, 1, 1)
+        out += [gauss(s, 0, 0), mag(gauss(s, 1, 0), gauss(s, 0, 1)), yy + xx]
+        hessians += [yy * xx - xy * xy, yy + xx]
+    for smooth in ((1, 2, 1), (3, 10, 3), (1, 1, 1)):
+        out.append(mag(_passes(ext, smooth, EDGE, edge), _passes(ext, EDGE, smooth, edge)))
+    out.append(mag(here - at(1, 1), at(0, 1) - at(1, 0)))
+    out.append(codes)
+    out += hessians
+    out += [np.abs(_passes(ext, cy, cx, edge) - _passes(ext, sy, sx, edge)) for (cy, cx), (sy, sx) in gabors]
+    u, log = np.full(9, 1 / 9), np.log(ext + 1e-10)
+    m1, m2 = _passes(log, u, u, edge), _passes(log * log, u, u, edge)
+    out.append(np.maximum(m2 - m1 * m1, 0.0))
+    # edge samples of the smoothed products are copies of products, not products of copies
+    window = gaussian_weights(3.0)
+    wide = len(window) // 2
+    ty, tx = gauss(1.0, 1, 0, wide), gauss(1.0, 0, 1, wide)
+    qxx, qyy, qxy = (_passes(p[:, rows][:, :, columns], window, window, wide) for p in (tx * tx, ty * ty, tx * ty))
+    trace, diff = qxx + qyy, qxx - qyy
+    root = np.sqrt(diff * diff + 4 * qxy * qxy)
+    return [*out, 0.5 * np.arctan2(2 * qxy, diff), np.where(trace > 1e-10, root / trace, 0.0), 0.5 * (trace + root)]
+
+
+def _about_border(start: int, stop: int, size: int) -> np.ndarray:
+    """Positions start-1..stop when one sample beyond the frame mirrors about the border pixel."""
+    u = np.abs(np.arange(start - 1, stop + 1))
+    return np.maximum(np.where(u >= size, 2 * size - 2 - u, u), 0)
+
+
+def _lbp_codes(ext: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """8-neighbour codes / 255 of tiles with one sample around."""
+    def at(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+        return a[:, 1 + dy:a.shape[1] - 1 + dy, 1 + dx:a.shape[2] - 1 + dx]
+
+    code = sum(((at(ext, dy, dx) >= at(ext, 0, 0)) | np.isnan(at(ext, dy, dx))) * (1 << b) for b, (dy, dx) in enumerate(LBP_OFFSETS))
+    gap = at(missing, 0, 0) | np.logical_or.reduce([at(missing, dy, dx) for dy, dx in LBP_OFFSETS])
+    return np.where(gap, np.nan, code / 255.0)
+
+
+def _tile_features(keys: list[str], rest: list[str], tile: int, edge: int, sigmas, gabors):
+    """Task code: the pixels of whole tiles with their rims to the features of the pixels that are the tiles' own."""
+    wide = len(gaussian_weights(3.0)) // 2
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group = _group_numbers(table, [*keys, "_ty", "_tx", "h", "w"])
+        y, x, h, w, ty, tx = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "h", "w", "_ty", "_tx"))
+        value, gap = table.column("value").to_numpy(zero_copy_only=False).astype(float), np.asarray(table.column("value").is_null())
+        core = (y // tile == ty) & (x // tile == tx)
+        count = 1 + 3 * len(sigmas) + 5 + 2 * len(sigmas) + len(gabors) + 4
+        found = np.zeros((count, len(y)))
+        inside = np.flatnonzero((y >= 0) & (y < h) & (x >= 0) & (x < w) & (ty >= 0) & (tx >= 0) & (ty * tile < h) & (tx * tile < w))
+        shape = np.unique(np.column_stack([h, w, ty, tx])[inside], axis=0, return_inverse=True)
+        for k, (high, broad, by, bx) in enumerate(shape[0].tolist()):
+            at = inside[shape[1].ravel() == k]
+            y0, x0, y1, x1 = by * tile, bx * tile, min((by + 1) * tile, high), min((bx + 1) * tile, broad)
+            low, left = max(y0 - edge, 0), max(x0 - edge, 0)
+            size = (min(y1 + edge, high) - low, min(x1 + edge, broad) - left)
+            number = np.unique(group[at], return_inverse=True)[1]
+            step = max(1, SAMPLES // ((y1 - y0 + 2 * edge) * (x1 - x0 + 2 * edge)))
+            order = np.argsort(number, kind="stable")
+            starts = np.searchsorted(number[order], np.arange(0, number.max() + 1 + step, step))
+            ry, rx = _mirrored(y0 - edge, y1 + edge, high) - low, _mirrored(x0 - edge, x1 + edge, broad) - left
+            py, px = _mirrored(y0 - wide, y1 + wide, high) - y0 + wide, _mirrored(x0 - wide, x1 + wide, broad) - x0 + wide
+            my, mx = _about_border(y0, y1, high) - low, _about_border(x0, x1, broad) - left
+            for i, (first, last) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                part = at[order[first:last]]
+                slot = number[order[first:last]] - i * step
+                v = np.full((int(slot.max()) + 1, *size), np.nan)
+                lost = np.ones(v.shape, bool)
+                v[slot, y[part] - low, x[part] - left] = value[part]
+                lost[slot, y[part] - low, x[part] - left] = gap[part]
+                own = core[part]
+                mine, slot = part[own], slot[own]
+                with np.errstate(all="ignore"):
+                    codes = _lbp_codes(v[:, my][:, :, mx], lost[:, my][:, :, mx])
+                    columns = _feature_columns(v[:, ry][:, :, rx], codes, edge, py, px, sigmas, gabors)
+                for f, c in zip(found, columns, strict=True):
+                    got = c[slot, y[mine] - y0, x[mine] - x0]
+                    f[mine] = np.where(np.isnan(got), 0.0, got)
+        keep = pa.array(core)
+        out = table.select(rest).filter(keep)
+        for i, f in enumerate(found):
+            out = out.append_column(f"f{i}", pa.array(f[core]))
+        return out
+
+    return run
+
+
 def pixel_features(df: DataFrame, sigmas=(1.0, 2.0), frequencies=(0.1,), orientations: int = 2) -> DataFrame:
-    """Per-pixel feature columns f0.. of the min-max scaled frame, in one tiling.
+    """Per-pixel feature columns f0.. of the min-max scaled frame.
 
     Intensity; per sigma blur, gradient magnitude and Laplacian; Sobel, Scharr,
     Roberts and Prewitt magnitudes; LBP; per sigma Hessian determinant and trace;
     Gabor magnitudes; local variance of the log; tensor orientation, coherency
-    and larger eigenvalue. LBP keeps its mirrored edge through its own pass.
+    and larger eigenvalue. LBP keeps its mirrored edge. A feature that needs a
+    null or missing sample is 0.
+
+    A frame is cut into tiles with a rim as wide as the features reach; tiles
+    are gathered, many to a call, and worked on as arrays of one shape.
     """
     keys = frame_keys(df)
-    ext = df.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    ext = cut_lineage(df.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count(F.lit(1)).alias("_n")))
+    total = ext.agg(F.sum("_n")).first()[0] or 0
     flat = F.col("_hi") > F.col("_lo")
-    scaled = attach(df, ext, keys).withColumn("value", F.when(flat, (val() - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
-    scaled = _lbp(Tiles(scaled, 1, 1, "mirror"), "lbp", "value").done("lbp")
+    scaled = attach(df, ext.drop("_n"), keys).withColumn("value", F.when(flat, (val() - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
     gabors = [gabor_weights(f, o * math.pi / orientations) for f in frequencies for o in range(orientations)]
-    window = gaussian_weights(3.0)
-    reach = max([len(gaussian_weights(s)) // 2 for s in sigmas] + [len(g[0][0]) // 2 for g in gabors]
-                + [len(gaussian_weights(1.0)) // 2, 4])
-    t = Tiles(scaled, reach, reach)
-    names = ["value"]
-
-    def add(name: str, c: Column):
-        t.put(**{name: c})
-        names.append(name)
-
-    def mag(a: str, b: str) -> Column:
-        return F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
-
-    for i, s in enumerate(sigmas):
-        for oy, ox in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)):
-            _gauss_parts(t, f"_g{i}{oy}{ox}", s, oy, ox)
-        add(f"blur{i}", F.col(f"_g{i}00"))
-        add(f"grad{i}", mag(f"_g{i}10", f"_g{i}01"))
-        add(f"log{i}", F.col(f"_g{i}20") + F.col(f"_g{i}02"))
-    for name, smooth in (("sobel", (1, 2, 1)), ("scharr", (3, 10, 3)), ("prewitt", (1, 1, 1))):
-        t.separable("_ex", smooth, EDGE).separable("_ey", EDGE, smooth)
-        add(name, mag("_ex", "_ey"))
-    t.kernel("_ra", [[0, 0, 0], [0, 1, 0], [0, 0, -1]]).kernel("_rb", [[0, 0, 0], [0, 0, 1], [0, -1, 0]])
-    add("roberts", mag("_ra", "_rb"))
-    names.append("lbp")
-    for i, _ in enumerate(sigmas):
-        add(f"hess_det{i}", F.col(f"_g{i}20") * F.col(f"_g{i}02") - F.col(f"_g{i}11") * F.col(f"_g{i}11"))
-        add(f"hess_tr{i}", F.col(f"_g{i}20") + F.col(f"_g{i}02"))
-    for i, ((cy, cx), (sy, sx)) in enumerate(gabors):
-        t.separable("_gc", cy, cx).separable("_gs", sy, sx)
-        add(f"gabor{i}", F.abs(F.col("_gc") - F.col("_gs")))
-    u = np.full(9, 1 / 9)
-    t.put(_log=F.ln(val() + 1e-10)).put(_log2=F.col("_log") * F.col("_log"))
-    t.separable("_m1", u, u, "_log").separable("_m2", u, u, "_log2")
-    add("entropy", F.greatest(F.col("_m2") - F.col("_m1") * F.col("_m1"), F.lit(0.0)))
-    _gauss_parts(_gauss_parts(t, "_ty1", 1.0, 1, 0), "_tx1", 1.0, 0, 1)
-    t.put(_pxx=F.col("_tx1") * F.col("_tx1"), _pyy=F.col("_ty1") * F.col("_ty1"), _pxy=F.col("_tx1") * F.col("_ty1"))
-    # the products are smoothed in a tiling of their own: their edge samples are
-    # copies of products, not products of copies
-    products = t.done(*names[1:], "_pxx", "_pyy", "_pxy")
-    t = Tiles(products, len(window) // 2, len(window) // 2)
-    for n in ("xx", "yy", "xy"):
-        t.separable(f"_q{n}", window, window, f"_p{n}")
-    trace, diff = F.col("_qxx") + F.col("_qyy"), F.col("_qxx") - F.col("_qyy")
-    root = F.sqrt(diff * diff + 4 * F.col("_qxy") * F.col("_qxy"))
-    add("tensor_orientation", 0.5 * F.atan2(2 * F.col("_qxy"), diff))
-    add("tensor_coherency", F.when(trace > 1e-10, root / trace).otherwise(0.0))
-    add("tensor_eigenvalue", 0.5 * (trace + root))
+    edge = max([len(gaussian_weights(s)) // 2 for s in sigmas] + [len(g[0][0]) // 2 for g in gabors]
+               + [len(gaussian_weights(1.0)) // 2 + len(gaussian_weights(3.0)) // 2, 4])
+    tile = max(TILE, edge)
+
+    def span(u: str, size: str) -> Column:
+        low = F.floor(F.least(F.greatest(F.col(u) - edge, F.lit(0)), F.col(u)) / tile)
+        return F.explode(F.sequence(low, F.floor(F.greatest(F.least(F.col(u) + edge, F.col(size) - 1), F.col(u)) / tile)))
+
     rest = [c for c in df.columns if c != "value"]
-    return t.rows.where("_core").select(*rest, *[F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)).alias(f"f{i}") for i, n in enumerate(names)])
+    tiles = scaled.withColumn("_ty", span("y", "h")).withColumn("_tx", span("x", "w"))
+    bucket = F.pmod(F.xxhash64(*keys, "_ty", "_tx"), F.lit(max(1, total // TOGETHER)))
+    names = [f"f{i}" for i in range(10 + 5 * len(sigmas) + len(gabors))]
+    schema = StructType([StructField(f.name, f.dataType) for f in df.select(*rest).schema] + [StructField(n, DoubleType()) for n in names])
+    run = _tile_features(keys, rest, tile, edge, list(sigmas), gabors)
+    return spread(tiles.withColumn("_bucket", bucket), "_bucket").groupBy("_bucket").applyInArrow(run, schema)
 
 
 def skeleton_pixels(df: DataFrame) -> DataFrame:

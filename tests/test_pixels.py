@@ -288,3 +288,31 @@ def test_channels_are_turned_about_the_middle(stack_of, array_of):
         want = (a[:, y0, x0] * (1 - fy) * (1 - fx) + a[:, y1, x0] * fy * (1 - fx) + a[:, y0, x1] * (1 - fy) * fx + a[:, y1, x1] * fy * fx) * inside
         got = align.channel_alignment(stack_of(a), stack_of(a), rotation=degrees)
         assert np.allclose(array_of(got, "v2"), want, atol=1e-9) and np.allclose(array_of(got, "v1"), a)
+
+
+def test_pixel_features_work_on_arrays_of_whole_tiles(spark, stack_of, array_of, monkeypatch):
+    """Features equal those of the single operators, whatever the tiles, without windows over pixels."""
+    rng = np.random.default_rng(31)
+    a = rng.uniform(0, 1, size=(2, 41, 35))
+    a[:, 0, 0], a[:, 0, 1] = 0.0, 1.0  # min-max scaled already
+    stack = stack_of(a)
+    feats = N.pixel_features(stack, (1.0,), (0.25,), 2).cache()
+    assert "Window" not in feats._jdf.queryExecution().toString() and feats.count() == a.size
+    same = {"f0": stack, "f1": N.gaussian_blur(stack, 1.0, mode="reflect"), "f2": N.gaussian_gradient_magnitude(stack, 1.0),
+            "f3": N.gaussian_laplace(stack, 1.0), "f8": N.lbp_8(stack)}
+    for name, want in same.items():
+        assert np.allclose(array_of(feats, name), array_of(want), atol=1e-12), name
+    gabor = array_of(N.gabor(stack, 0.25, np.pi / 2))
+    assert np.allclose(array_of(feats, "f12"), np.abs(gabor), atol=1e-12)
+    monkeypatch.setattr(N, "TILE", 16)
+    small = N.pixel_features(stack, (1.0,), (0.25,), 2).cache()
+    assert small.count() == a.size
+    for i in range(17):
+        assert np.allclose(array_of(small, f"f{i}"), array_of(feats, f"f{i}"), atol=1e-12), i
+    # a missing pixel takes the features that need it, not the place of another
+    gap = N.pixel_features(stack.where("not (y = 20 and x = 20)"), (1.0,), (0.25,), 2).cache()
+    assert gap.count() == a.size - 2
+    left, full = array_of(gap, "f8"), array_of(feats, "f8")
+    near = np.zeros(a.shape, bool)
+    near[:, 19:22, 19:22] = True
+    assert np.allclose(left[~near], full[~near]) and (left[near][~np.isnan(left[near])] == 0).all()
