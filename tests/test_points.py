@@ -189,6 +189,23 @@ def test_density_peaks_find_two_clumps(spark):
     assert len(first) == len(second) == 1 and first != second
 
 
+def test_molecular_merge_joins_only_points_of_cells_that_were_empty(spark, monkeypatch):
+    """Dense frames are settled by cells; what is left is joined, with the result of all pairs."""
+    rng = np.random.default_rng(29)
+    rows = [(int(f), *p) for f in (0, 3, 4, 9) for p in rng.uniform(0, 10, size=(400, 2)).tolist()]
+    rows += [(9, 30.0, 30.0), (4, 33.9, 30.0), (4, 50.0, 50.0), (9, 54.1, 50.0), (9, None, 1.0)]
+    joined, plain = [], S.range_join
+    monkeypatch.setattr(S, "range_join", lambda *a: joined.append(a[1].count()) or plain(*a))
+    got = {r.id for r in S.molecular_merge(points(spark, rows), 4.0, 2).collect()}
+    rank = {0: 0, 3: 1, 4: 2, 9: 3}
+
+    def near(a, b):
+        return None not in a and 1 <= rank[a[0]] - rank[b[0]] <= 2 and None not in b and np.hypot(a[1] - b[1], a[2] - b[2]) <= 4.0
+
+    assert got == {i for i, a in enumerate(rows) if not any(near(a, b) for b in rows)}
+    assert sum(joined) < 450  # the first frame and a few points of the others
+
+
 def test_density_peaks_work_on_positions(spark, monkeypatch):
     """Copies of a position cost no stored rows, and still count in the thresholds and among the centres."""
     rng = np.random.default_rng(23)
