@@ -9,9 +9,10 @@ many tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -414,18 +415,28 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
-@F.pandas_udf(_POINTS)
-def _hull_udf(points: pd.Series) -> pd.Series:
-    return points.map(lambda p: [{"x": a, "y": b} for a, b in _hull(np.array([(q["x"], q["y"]) for q in p]))])
+def _point_lists(points: pa.Array) -> Iterator[np.ndarray]:
+    """The (n, 2) points of every row, cut from one flat array."""
+    xy = np.column_stack([points.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)]).astype(float, copy=False)
+    ends = points.offsets.to_numpy()
+    return (xy[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
-@F.pandas_udf(DoubleType())
-def _diameter_udf(points: pd.Series) -> pd.Series:
-    def widest(p):
-        a = _hull(np.array([(q["x"], q["y"]) for q in p]))
+@F.arrow_udf(_POINTS)
+def _hull_udf(points: pa.Array) -> pa.Array:
+    hulls = [_hull(p) for p in _point_lists(points)]
+    flat = np.concatenate([*hulls, np.empty((0, 2))])
+    ends = np.append(0, np.cumsum([len(h) for h in hulls])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, i].copy()) for i in (0, 1)], names=["x", "y"]))
+
+
+@F.arrow_udf(DoubleType())
+def _diameter_udf(points: pa.Array) -> pa.Array:
+    def widest(p: np.ndarray) -> float:
+        a = _hull(p)
         return max(float(np.sqrt(((a - v) ** 2).sum(axis=1)).max()) for v in a)
 
-    return points.map(widest)
+    return pa.array([widest(p) for p in _point_lists(points)], pa.float64())
 
 
 def track_diameter(df: DataFrame, block: int = BLOCK, fan_in: int = 64) -> DataFrame:

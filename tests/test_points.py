@@ -529,3 +529,23 @@ def test_linking_of_copies_on_a_lattice_equals_the_sequential_rule(spark, monkey
         assert len(got) == len(rows) and len({(want[i], t) for i, t in got.items()}) == len(set(want.values())) == len(set(got.values()))
     stored = [df.selectExpr("max(size(points))").first()[0] for df in kept if "points" in df.columns]
     assert len(stored) == 2 and max(stored) <= len(rows)
+
+
+def test_diameters_come_from_flat_arrays(spark):
+    """A batch of tracks costs little beyond its numbers, and gives the diameters and hulls of each track."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(37)
+    sizes = rng.integers(1, 120, size=400)
+    xy = rng.normal(size=(sizes.sum(), 2))
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    batch = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(xy[:, i].copy()) for i in (0, 1)], names=["x", "y"]))
+    tracemalloc.start()
+    got = T._diameter_udf.func(batch).to_numpy()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)).max() for p in np.split(xy, ends[1:-1])]
+    assert np.allclose(got, want, rtol=1e-12) and peak < 64 * len(xy)
+    assert np.allclose(T._diameter_udf.func(T._hull_udf.func(batch.slice(5, 50))).to_numpy(), want[5:55], rtol=1e-12)
