@@ -549,3 +549,54 @@ def test_diameters_come_from_flat_arrays(spark):
     want = [np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)).max() for p in np.split(xy, ends[1:-1])]
     assert np.allclose(got, want, rtol=1e-12) and peak < 64 * len(xy)
     assert np.allclose(T._diameter_udf.func(T._hull_udf.func(batch.slice(5, 50))).to_numpy(), want[5:55], rtol=1e-12)
+
+
+@pytest.mark.parametrize("limit", [None, 25])
+def test_linking_over_long_gaps_equals_the_sequential_rule(spark, limit):
+    """Points that stay open ask for edges frame after frame, inside tiles and across them."""
+    rng = np.random.default_rng(41)
+    rows = [(int(f), float(x), float(y)) for f in rng.choice(60, 40, replace=False) for x, y in np.concatenate([rng.uniform(0, 16, (4, 2)), rng.integers(0, 5, (2, 2))])]
+    want = greedy(rows, 2.5, 8)
+    got = {r.id: r.track_id for r in L.link_greedy(points(spark, rows), 2.5, 8, 1, limit).collect()}
+    assert len(got) == len(rows) and len({(want[i], t) for i, t in got.items()}) == len(set(want.values())) == len(set(got.values()))
+
+
+def test_a_tile_with_a_long_reach_makes_few_edges():
+    """Chains without gaps cost about the same whatever the gap that is allowed."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    frame, chain = (v.ravel() for v in np.meshgrid(np.arange(100), np.arange(40), indexing="ij"))
+    zero, ident = np.zeros(frame.size, np.int64), frame * 1000 + chain
+    columns = {"id": ident, "frame": frame, "sf": frame, "si": ident, "x": chain * 20.0, "y": frame * 0.02, "held": zero > 0, **{c: zero for c in ("hx", "hy", "hs", "cx", "cy", "cs")}}
+    packed = L._tile_points([], 3.0, 46)(pa.table(columns))
+    batch = pa.record_batch([packed["tile"].combine_chunks(), packed["points"].combine_chunks(), pa.nulls(1, packed.schema.field("points").type)], names=["tile", "points", "around"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(L._claims(3.0, 46, True)([batch])).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(out["id"]) == sorted(ident.tolist()) and all(sf == 0 and si == i % 1000 for i, sf, si in zip(out["id"], out["sf"], out["si"], strict=True))
+    assert peak < 1500 * frame.size, peak / frame.size
+
+
+@pytest.mark.parametrize("apply", [False])
+def test_fiducials_read_their_input_once(spark, tmp_path, apply):
+    rows = [(u * 100 + f, f, 20.0 * u + 0.05 * f, 0.02 * f, float(u)) for u in range(8) for f in range(50) if (f + u) % 9]
+    log = tmp_path / "rows"
+
+    def seen(frames):
+        for pdf in frames:
+            with open(log, "a") as out:
+                out.write("." * len(pdf))
+            yield pdf
+
+    schema = "id long, frame long, x double, y double, intensity double"
+    locs = spark.createDataFrame(rows, schema).mapInPandas(seen, schema)
+    if apply:
+        got = {r.id: r.x for r in L.drift_fiducial_apply(locs, 50, 0.8, 56.0).collect()}
+        assert len(got) == len(rows) and abs(got[325] - 60.0) < 0.2 and abs(rows[-1][2] - got[rows[-1][0]] - 2.3) < 0.2
+    else:
+        got = [r.id for r in L.fiducial_identify(locs, 50, 0.8, 56.0).collect()]
+        assert sorted(got) == [r[0] for r in rows if r[4] >= 4]
+    assert len(log.read_text()) == len(rows)
