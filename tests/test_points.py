@@ -600,3 +600,18 @@ def test_fiducials_read_their_input_once(spark, tmp_path, apply):
         got = [r.id for r in L.fiducial_identify(locs, 50, 0.8, 56.0).collect()]
         assert sorted(got) == [r[0] for r in rows if r[4] >= 4]
     assert len(log.read_text()) == len(rows)
+
+
+def test_line_ids_beyond_64_bits(spark, tmp_path):
+    """Order keys of a table 360 times sf0.1 leave 64 bits; the queries on line items still take every row."""
+    from pixelweave.plans import fixtures as fx
+    from pixelweave.plans import registry
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(300).withColumn("l_orderkey", F.col("l_orderkey") + F.when(F.col("l_linenumber") > 3, 53_000_000).otherwise(11_529_000))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    key = [F.col(f"l_{c}").cast("long") for c in ("orderkey", "linenumber", "partkey", "suppkey", "quantity")]
+    want = {(((((o * 8 + n) * 100000 + p) * 10000 + s) * 100 + q) + 2**63) % 2**64 - 2**63 for o, n, p, s, q in rows.select(*key).collect()}
+    assert {r.id for r in fx.locs(spark, str(tmp_path)).select("id").collect()} == {r.id for r in fx.boxes(spark, str(tmp_path)).select("id").collect()} == want
+    counts = {name: registry.queries()[name](spark, str(tmp_path)).count() for name in ("neighbour_counts", "nms_boxes", "localization_metrics")}
+    assert counts["neighbour_counts"] == 300 and 0 < counts["nms_boxes"] <= 300 and counts["localization_metrics"] == 1
