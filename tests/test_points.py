@@ -615,3 +615,21 @@ def test_line_ids_beyond_64_bits(spark, tmp_path):
     assert {r.id for r in fx.locs(spark, str(tmp_path)).select("id").collect()} == {r.id for r in fx.boxes(spark, str(tmp_path)).select("id").collect()} == want
     counts = {name: registry.queries()[name](spark, str(tmp_path)).count() for name in ("neighbour_counts", "nms_boxes", "localization_metrics")}
     assert counts["neighbour_counts"] == 300 and 0 < counts["nms_boxes"] <= 300 and counts["localization_metrics"] == 1
+
+
+def test_points_of_no_other_tile_are_settled_as_the_tile_is_gathered(spark, monkeypatch):
+    """Two pairs in one tile: the one that a point of the next tile may compete for goes to the rounds, the other does not."""
+    import pyarrow as pa
+
+    near, far = [(0, 7.5, 1.0), (1, 7.8, 1.0)], [(0, 2.0, 2.0), (1, 2.1, 2.0), (1, 2.1, 2.0)]
+    rows = [*((*r, 0) for r in near + far), (0, 8.2, 1.0, 1)]
+    columns = {"id": pa.array(range(len(rows))), "frame": pa.array([r[0] for r in rows]), "sf": pa.array([r[0] for r in rows]), "si": pa.array(range(len(rows))),
+               "x": pa.array([r[1] for r in rows]), "y": pa.array([r[2] for r in rows]), "held": pa.array([False] * len(rows)), "hx": pa.array([r[3] for r in rows])}
+    columns |= {c: pa.array([0] * len(rows)) for c in ("hy", "hs", "cx", "cy", "cs")}
+    row = L._tile_points([], 1.0, 1)(pa.table(columns)).to_pylist()[0]
+    assert {p["id"] for p in row["points"]} == {0, 1, 5}
+    assert row["settled"] == [{"id": 3, "sf": 0, "si": 2}]
+    cloud = points(spark, [(f, float(x), 0.0) for x in range(0, 40, 4) for f in range(6)])
+    for least, tracks in ((1, 10), (6, 10), (7, 0)):
+        got = L.link_greedy(cloud, 1.0, 0, least).collect()
+        assert len(got) == 60 and len({r.track_id for r in got} - {-1}) == tracks
